@@ -54,6 +54,11 @@ def small_side(df: DataFrame, rows: int, width: int) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns of docs in one struct _row, which no name of ours can clash with, beside copies of those named."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes and the byte length of the whole text (null: empty), which stand for the text."""
     t = F.coalesce(text, F.lit(""))
@@ -138,7 +143,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     cur = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct(), "cc")
     for _ in range(max_rounds):
-        n, heads = cur.agg(F.count(F.lit(1)), F.count_distinct("u") if False else F.approx_count_distinct("u")).first()
+        n = cur.count()
         if not n:
             break
         # A forest of stars: no node has two parents, and no parent has one.

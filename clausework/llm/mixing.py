@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 #: A rate above this is drawn as a sum of equal parts, each inverted by itself.
 PART_RATE = 64.0
 _DIGITS = 13
@@ -46,22 +48,21 @@ def _cdf(rate: Column) -> Column:
 
 
 def replicate(docs: DataFrame, *, seed: int = 97, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
-    """docs, each row repeated by its count, with _rate, _copy (from 0) and _place (the hashed place in the global order).
+    """(_row, _rate, _copy, _place): the rows of docs, each repeated by its count, with copy numbers from 0 and hashed places in the global order.
 
     Null sources count as one source named ''. A null id hashes as 'null'. Repeated rows draw the same count and are each
     repeated. Documents with count 0 go. An empty table gives an empty table. The rates (a row per source) are broadcast
     only if Spark finds them under its threshold.
     """
-    names = docs.columns
     r = rates(docs, source_col=source_col, **how)
-    joined = docs.withColumn("_source", F.coalesce(F.col(source_col), F.lit(""))).join(r, "_source")
+    joined = packed(docs).withColumn("_source", F.coalesce(F.col(f"_row.{source_col}"), F.lit(""))).withColumn("_id", F.col(f"_row.{id_col}")).join(r, "_source")
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0),
-        lambda a, k: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(seed), F.col(id_col), k))))
+        lambda a, k: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(seed), F.col("_id"), k))))
     first = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
-    counted = joined.withColumn("_u", uniform(F.lit(seed), F.col(id_col), F.lit(1))).withColumn("_k", F.when(F.col("_parts") == 1, first).otherwise(draw)).where("_k > 0")
+    counted = joined.withColumn("_u", uniform(F.lit(seed), F.col("_id"), F.lit(1))).withColumn("_k", F.when(F.col("_parts") == 1, first).otherwise(draw)).where("_k > 0")
     out = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return out.withColumn("_place", uniform(F.lit(seed + 1), F.col(id_col), F.col("_copy"))).select(*names, "_rate", "_copy", "_place")
+    return out.withColumn("_place", uniform(F.lit(seed + 1), F.col("_id"), F.col("_copy"))).select("_row", "_rate", "_copy", "_place")
 
 
 def shuffled(rows: DataFrame, parts: int | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def shuffled(rows: DataFrame, parts: int | None = None) -> DataFrame:
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     got = shuffled(replicate(docs))
-    return got.select("doc_id", "source", F.col("_copy").alias("copy"), F.round("_rate", 9).alias("rate"), F.floor(F.col("_place") * 1e9).cast("long").alias("place"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return got.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy"), F.round("_rate", 9).alias("rate"), F.floor(F.col("_place") * 1e9).cast("long").alias("place"), F.octet_length("_row.text").cast("long").alias("n_bytes"))
 
 
 OP10_SQL = """

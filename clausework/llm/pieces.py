@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, mix_int
+from .common import MASK, mix_int, packed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -131,14 +131,13 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """docs with _ids array<int>, _variant int and _lossless boolean (decoding gave the text back).
+    """(_row, variant int, ids array<int>, lossless boolean): the rows of docs with their pieces, and whether decoding gave the text back.
 
     A document's variant hashes the seed and its id, so a rerun gives the same pieces. Null texts are empty and have no
     ids. One text is in memory at a time beside the cache, which is cleared at CACHE words.
     """
-    names = docs.columns
-    rows = docs.withColumn("_variant", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)).cast("int"))
-    schema = docs.schema.add("_variant", "int").add("_ids", "array<int>").add("_lossless", "boolean")
+    rows = packed(docs, "text").withColumn("variant", F.pmod(F.xxhash64(F.lit(seed), F.col(f"_row.{id_col}")), F.lit(variants)).cast("int"))
+    schema = rows.select("_row", "variant").schema.add("ids", "array<int>").add("lossless", "boolean")
 
     def run(batches):
         e = Encoder(path, seed=seed, dropout=dropout)
@@ -146,13 +145,13 @@ def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: floa
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 ids, same = [], []
-                for t, v in zip(b.column("text").to_pylist(), b.column("_variant").to_pylist(), strict=True):
+                for t, v in zip(b.column("text").to_pylist(), b.column("variant").to_pylist(), strict=True):
                     x = e.encode(t, v)
                     ids.append(x)
                     same.append(e.decode(x) == (t or "").encode("utf-8", "surrogatepass"))
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), b.column("_variant"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(same)], names=[*names, "_variant", "_ids", "_lossless"])
+                yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("variant"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(same)], names=["_row", "variant", "ids", "lossless"])
 
     return rows.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, media, mixing, pieces, sharding, suffix, toxicity
+from . import chat, embeddings, media, mixing, neardup, paragraphs, pieces, sharding, suffix, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_sentencepiece": pieces.op3,
         "op4_embedding_near_dedup": embeddings.op4,
         "op5_chat_format": chat.op5,
+        "op6_substring_dedup": paragraphs.op6,
+        "op7_prob_minhash": neardup.op7,
         "op8_ogg_media": media.op8,
         "op9_toxicity": toxicity.op9,
         "op10_mixing": mixing.op10,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import U, forget, mix, small_side, text_key, written
+from .common import U, forget, mix, packed, small_side, text_key, written
 
 WINDOW = 200
 GRAM = 48
@@ -372,11 +372,11 @@ def merged(spans: list | None) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with _spans, the repeated windows of its text (null: none)."""
+    """(_row, doc_id, text, _spans): the rows of docs with the repeated windows of their texts (null: none)."""
     spans = repeated_spans(docs)
     rows, total = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
     h1, h2 = text_key(F.col("text"))
-    return docs.withColumn("_h1", h1).withColumn("_h2", h2).join(small_side(spans, 1, 60 * rows + 24 * total), ["_h1", "_h2"], "left").drop("_h1", "_h2")
+    return packed(docs, "doc_id", "text").withColumn("_h1", h1).withColumn("_h2", h2).join(small_side(spans, 1, 60 * rows + 24 * total), ["_h1", "_h2"], "left").drop("_h1", "_h2")
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
@@ -419,10 +419,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out.append(b"".join([*left, raw[at:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    got = with_spans(docs).withColumn("text", keep("text", "_spans")).drop("_spans")
+    row = F.col("_row").withField("text", keep("text", "_spans"))
+    got = with_spans(docs).select(row.alias("_row"))
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+        got = got.select(F.col("_row").withField("n_chars", F.length("_row.text").cast(docs.schema["n_chars"].dataType)).alias("_row"))
+    return got.select("_row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import forget, written
+from .common import forget, packed, written
 
 #: Look-alikes of Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -109,7 +109,7 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_stems: int = 400, min_docs: int = 8) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_stems: int = 400, min_docs: int = 5) -> Lexicon:
     """Learn stems and weights from at most max_rows labelled rows (those first in the hash order of their ids) outside of the held-out fifth.
 
     Stem counts are gathered over distinct texts by partial aggregation; only the best max_stems stems and, of each
@@ -140,11 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_stems
     odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
     least = max(min_docs, bad // 200)
     top = [(r.stem, r.a, r.c) for r in counts.where((F.col("a") >= least) & (odds > 2.0)).orderBy((odds * F.col("a")).desc(), F.length("stem"), "stem").limit(max_stems * 12).collect()]
-    # Of stems with the same counts that extend each other, the longest common one stands for all: keep the first and drop its extensions that add nothing.
-    chosen: list[str] = []
+    # A stem whose documents an extension keeps (97 of 100) gives way to the longest such extension; of the others, an
+    # extension stays beside its stem only if it is much purer.
+    count_of = {s: (a, c) for s, a, c in top}
+    longer: dict[str, list[str]] = {}
+    for s in count_of:
+        for k in range(3, len(s)):
+            longer.setdefault(s[:k], []).append(s)
     have: dict[str, tuple[int, int]] = {}
-    for s, a, c in sorted(top, key=lambda r: (len(r[0]), r[0])):
-        up = next((have[s[:k]] for k in range(len(s) - 1, 2, -1) if s[:k] in have), None)
+    for s, (a, c) in sorted(count_of.items(), key=lambda r: (len(r[0]), r[0])):
+        s = max((x for x in longer.get(s, ()) if count_of[x][0] >= 0.97 * a), key=lambda x: (len(x), x), default=s)
+        a, c = count_of[s]
+        up = next((have[s[:k]] for k in range(len(s), 2, -1) if s[:k] in have), None)
         if up is None or (c + 0.5) / (a + 0.5) < 0.3 * (up[1] + 0.5) / (up[0] + 0.5):
             have[s] = (a, c)
     rank = {s: k for k, (s, _, _) in enumerate(top)}
@@ -195,18 +202,18 @@ def _logistic(x: np.ndarray, t: np.ndarray, ridge: float = 0.3, rounds: int = 40
     return w[:-1], w[-1]
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", out_col: str = "_score") -> DataFrame:
-    """docs with the score of each whole text. Null and empty texts have no hits and get the bias's score."""
+def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(_row, score): the rows of docs with the score of each whole text. Null and empty texts have no hits and get the bias's score."""
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         a = lexicon.automaton()
         return pd.Series([lexicon.score(a, t) for t in texts], dtype=float)
 
-    return docs.withColumn(out_col, score(F.col(text_col)))
+    return packed(docs, "text").select("_row", score("text").alias("score"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lex = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    got = scored(docs, lex, out_col="score")
+    got = scored(docs, lex).select("_row.doc_id", "score")
     return got.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
