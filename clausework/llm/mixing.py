@@ -82,9 +82,9 @@ WITH held AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GRO
 r AS (SELECT s, pow(n::DOUBLE, 0.5) / (SELECT sum(pow(n::DOUBLE, 0.5)) FROM held) * (SELECT sum(n) FROM held)::DOUBLE / n AS rate FROM held),
 cdf AS (
   SELECT s, rate, list_transform(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 16) AS BIGINT) + 1),
-    k -> list_sum(list_transform(range(0, k + 1), j -> exp(j * ln(rate) - rate - lgamma(j + 1))))) AS c FROM r),
+    lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1))))) AS c FROM r),
 u AS (SELECT doc_id, source, text, coalesce(source, '') AS s, ('0x' || substr(md5('97:' || doc_id || ':1'), 1, 13))::BIGINT / pow(16, 13) AS u FROM documents),
-k AS (SELECT doc_id, source, text, rate, unnest(range(0, len(list_filter(c, x -> x <= u)))) AS copy FROM u JOIN cdf USING (s))
+k AS (SELECT doc_id, source, text, rate, unnest(range(0, len(list_filter(c, lambda x: x <= u)))) AS copy FROM u JOIN cdf USING (s))
 SELECT doc_id, source, copy::INT AS copy, round(rate, 9) AS rate,
   CAST(floor(('0x' || substr(md5('98:' || doc_id || ':' || copy), 1, 13))::BIGINT / pow(16, 13) * 1e9) AS BIGINT) AS place,
   strlen(text)::BIGINT AS n_bytes

@@ -29,7 +29,7 @@ PIECE = 1 << 16
 LONGEST_RUN = 824
 #: Distinct segments of one anchor in a sub-array at most; an anchor with more is tiled.
 SEGMENTS = 256
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- anchors
@@ -121,7 +121,7 @@ def suffix_array(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for j in range(7):
         key *= 257
         key += np.where(left > j, padded[j : n + j], 0)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     head = np.ones(n, dtype=bool)
     head[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -136,7 +136,7 @@ def suffix_array(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         beyond = i + h
         second = np.where(beyond < ends[i], rank[np.minimum(beyond, n - 1)] + n, ends[i] - n)  # ends: 1 - n to 0, each segment's own
         g = group[todo]
-        order = np.argsort(g * (2 * n + 1) + second + n, kind="stable")
+        order = np.argsort(g * (2 * n + 1) + second + n)
         i, second = i[order], second[order]
         sa[todo] = i
         fresh = np.ones(len(todo), dtype=bool)
@@ -258,7 +258,7 @@ def _bytes(t: str | None) -> bytes:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(_h1, _h2, _spans): for the key of each text with a repeated window, the runs of windows that repeat: arrays of (first, last) starts.
+    """(_h1, _h2, _spans): for the key of each text with a repeated window, the maximal runs of bytes [lo, hi) that repeated windows cover.
 
     Equal texts are one text for the search; a text of 200 bytes or more with copies repeats wholly.
     """
@@ -311,7 +311,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     forget(crowded, distinct)
     marked = placed.select("_h1", "_h2", "a", "fp", "d1", "d2").join(found, ["fp", "d1", "d2"]).select("_h1", "_h2", F.transform("r", lambda x: F.struct((x["lo"] + F.col("a")).alias("lo"), (x["hi"] + F.col("a")).alias("hi"))).alias("r"))
     whole = texts.where((F.col("_copies") > 1) & (F.col("_n") >= WINDOW)).select("_h1", "_h2", F.array(F.struct(F.lit(0).alias("lo"), last.cast("int").alias("hi"))).alias("r"))
-    spans = written(marked.unionByName(whole).groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("r")).alias("_spans")), "sa-spans")
+    gathered = marked.unionByName(whole).groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("r")).alias("_spans"))
+    spans = written(gathered.mapInArrow(_joined, "_h1 long, _h2 long, _spans array<struct<lo:int,hi:int>>"), "sa-spans")
     forget(placed, found, texts)
     return spans
 
@@ -360,19 +361,28 @@ def _block(rows: list[dict]):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["fp", "d1", "d2", "r"])
 
 
-def merged(spans: list | None) -> list[tuple[int, int]]:
-    """Maximal removed runs of bytes [from, to) from runs of window starts."""
-    out: list[list[int]] = []
-    for s in sorted((s["lo"], s["hi"] + WINDOW) for s in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return [(a, b) for a, b in out]
+def _joined(batches):
+    """Runs of window starts of a text to the maximal runs of bytes [lo, hi) that they cover."""
+    for batch in batches:
+        rows = []
+        for spans in batch.column("_spans").to_pylist():
+            out: list[dict] = []
+            for a, b in sorted((s["lo"], s["hi"] + WINDOW) for s in spans):
+                if out and a <= out[-1]["hi"]:
+                    out[-1]["hi"] = max(out[-1]["hi"], b)
+                else:
+                    out.append({"lo": a, "hi": b})
+            rows.append(out)
+        if rows:
+            yield pa.RecordBatch.from_arrays([batch.column("_h1"), batch.column("_h2"), pa.array(rows, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["_h1", "_h2", "_spans"])
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    return [] if spans is None else [(s["lo"], s["hi"]) for s in spans]
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """(_row, doc_id, text, _spans): the rows of docs with the repeated windows of their texts (null: none)."""
+    """(_row, doc_id, text, _spans): the rows of docs with the repeated runs of their texts (null: none)."""
     spans = repeated_spans(docs)
     rows, total = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
     h1, h2 = text_key(F.col("text"))
