@@ -82,8 +82,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                b = batch.slice(k, 2048)
+            for k in range(0, batch.num_rows, 768):
+                b = batch.slice(k, 768)
                 texts = b.column("text").to_pylist()
                 e, of, w = weighted(texts)
                 some, of = np.unique(of, return_inverse=True)
@@ -94,7 +94,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), bands], names=["doc_id", "_h1", "_h2", "bands"])
 
     signed = keyed.mapInArrow(sign, "doc_id long, _h1 long, _h2 long, bands array<long>")
-    texts = written(signed.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-texts")
+    texts = written(signed.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "mh-texts")
     keys = texts.select(F.col("_h1").alias("u"), F.explode("bands").alias("k"))
     met = written(keys.groupBy("k").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "m"), "mh-met")
     tried = connected_components(keys.join(met, "k").where("u != m").select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -118,7 +118,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     dealt = blocks.tiled(wanted.select("g", "_h1", "text").mapInArrow(elements, "g long, u long, e array<long>"), crowded)
     links = written(blocks.forest(dealt, 2 * parts, TENTHS), "mh-links")
     comps = connected_components(links).select(F.col("node").alias("_h1"), F.col("component").alias("c"))
-    told = written(texts.select("_h1", "_h2", "rep").join(comps, "_h1", "left").withColumn("c", F.coalesce("c", "_h1")), "mh-told")
+    told = written(texts.select("_h1", "_h2", "rep", "copies").join(comps, "_h1", "left").where("c IS NOT NULL OR copies > 1").withColumn("c", F.coalesce("c", "_h1")), "mh-told")
     forget(members, crowded, links, texts)
     least = told.groupBy("c").agg(F.min("rep").alias("class_id"))
     return written(told.join(least, "c").select("_h1", "_h2", "class_id", "rep", "c"), "mh-classes")
@@ -143,8 +143,8 @@ def with_classes(docs: DataFrame) -> DataFrame:
     n = got.count()
     words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x00-\\x20]")
     side = got.select("_h1", "_h2", F.col("class_id").alias("_class"), F.col("c").alias("_c"))
-    out = packed(docs, "doc_id", "text").withColumn("_h1", h1).withColumn("_h2", h2).join(small_side(side, n, 40), ["_h1", "_h2"], "left").drop("_h1", "_h2")
-    return out.withColumn("_class", F.when(words, F.col("_class")).otherwise(F.col("doc_id")))
+    out = packed(docs, "doc_id", "text").withColumn("_h1", h1).withColumn("_h2", h2).join(small_side(side, n, 40), ["_h1", "_h2"], "left").withColumn("_c", F.coalesce("_c", "_h1")).drop("_h1", "_h2")
+    return out.withColumn("_class", F.when(words & F.col("_class").isNotNull(), F.col("_class")).otherwise(F.col("doc_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
