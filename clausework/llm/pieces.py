@@ -2,7 +2,7 @@
 
 A text is cut into words (white space marked before them), and each word's characters are merged by an agenda of
 candidate pairs in order of score. A candidate taken from the agenda is skipped when the hash of (seed, variant, word,
-its place and piece) falls under the dropout rate. Characters outside of the vocabulary become byte pieces. Decoding
+its place and length) falls under the dropout rate. Characters outside of the vocabulary become byte pieces. Decoding
 joins pieces, so every segmentation gives the text back.
 """
 
@@ -18,13 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import MASK, mix_int, packed
+from .common import packed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words kept in a worker's cache before it is cleared.
-CACHE = 150_000
+#: Words up to this length are cut otherwise in each variant; longer ones, which seldom recur, once for all.
+VARIED = 8
+#: Words kept in a worker's cache, at some 220 bytes each, before the long ones are dropped.
+CACHE = 1_500_000
 
 
 @lru_cache(maxsize=2)
@@ -49,55 +52,61 @@ def vocabulary(path: str = MODEL):
 
 
 class Encoder:
-    """variant: texts of one variant share segmentations of equal words; there are as many as asked for."""
+    """Encodes under one seed and dropout rate. Texts of one variant share segmentations of equal words; there are as many variants as asked for."""
 
     def __init__(self, path: str = MODEL, *, seed: int = 11, dropout: float = 0.1):
         self.scores, self.ids, self.surface, self.byte_id = vocabulary(path)
-        self.seed, self.limit = seed, int(dropout * 2**64)
-        self.cache: dict[tuple[int, str], bytes] = {}
-        glued = {c for p in self.ids if len(p) > 1 for c in p if c != SPACE}
-        # Characters that no longer piece has cannot be merged, so words are cut around them; a text's own U+2581 goes to bytes.
-        self.words = re.compile(rf"{SPACE}*[^{SPACE}\n\u0001]+|{SPACE}+|\n|\u0001" if "\n" not in glued else rf"{SPACE}*[^{SPACE}\u0001]+|{SPACE}+|\u0001")
-        self.mark = b"".join(struct.pack("<i", self.byte_id[b]) for b in SPACE.encode())
+        self.ranks = {p: int(-s) for p, s in self.scores.items() if len(p) > 1}
+        self.seed, self.limit = seed, round(dropout * 256)
+        self.cache: dict[int, dict[str, bytes]] = {}
+        self.cached = 0
+        # Words are cut around characters that no longer piece has, which changes nothing.
+        stops = "".join(c for c in "\n\u0001" if not any(c in p for p in self.ids if len(p) > 1))
+        self.words = re.compile(rf"{SPACE}*[^{SPACE}{stops}]+|{SPACE}*[{stops}]+|{SPACE}+" if stops else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.tails = not any(p.rstrip(".,")[-1:].isalpha() for p in self.ids if p[-1] in ".,")
 
     def word(self, variant: int, word: str) -> bytes:
         """Ids of one word as little-endian 32-bit numbers."""
-        scores, n = self.scores, len(word)
-        left, right, size = list(range(-1, n - 1)), list(range(1, n + 1)), [1] * n
-        agenda: list[tuple[float, int, int]] = []
-        key = mix_int(self.seed * 0x9E3779B97F4A7C15 + variant * 0xD1342543DE82EF95 ^ int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")) if self.limit else 0
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b < n:
-                s = scores.get(word[a : b + size[b]])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, a, size[a] + size[b]))
-
-        for k in range(n - 1):
-            s = scores.get(word[k : k + 2])
-            if s is not None:
-                agenda.append((-s, k, 2))
-        heapq.heapify(agenda)
-        while agenda:
-            _, a, total = heapq.heappop(agenda)
-            if not size[a] or right[a] >= n or size[a] + size[right[a]] != total:
-                continue  # one of its parts was merged meanwhile
-            if self.limit and mix_int(key + a * 0x9E3779B97F4A7C15 + total * 0xBF58476D1CE4E5B9 & MASK) < self.limit:
-                continue
-            b = right[a]
-            size[a], size[b] = total, 0
-            right[a] = right[b]
-            if right[b] < n:
-                left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        out, k = [], 0
-        while k < n:
-            p = word[k : k + size[k]]
-            got = self.ids.get(p)
-            out += [got] if got is not None else [self.byte_id[x] for x in p.encode("utf-8", "surrogatepass")]
-            k += size[k]
-        return struct.pack(f"<{len(out)}i", *out)
+        ranks, ids, limit, n = self.ranks, self.ids, self.limit, len(word)
+        # One keyed hash of the word gives a byte for each candidate's place and length.
+        coins = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), key=b"%d/%d" % (self.seed, variant), digest_size=64).digest() if limit else b""
+        agenda = [(r << 40) | (k << 20) | 2 for k in range(n - 1) if (r := ranks.get(word[k : k + 2])) is not None]
+        if agenda:
+            size, left = [1] * n, list(range(-1, n - 1))
+            heapq.heapify(agenda)
+            push, pop = heapq.heappush, heapq.heappop
+            while agenda:
+                x = pop(agenda)
+                a, total = (x >> 20) & 0xFFFFF, x & 0xFFFFF
+                b = a + size[a]
+                if not size[a] or b >= n or size[a] + size[b] != total or limit and coins[(a * 11 + total * 5) & 63] < limit:
+                    continue  # one of its parts was merged meanwhile, or the candidate is dropped
+                size[a], size[b] = total, 0
+                c = a + total
+                if c < n:
+                    left[c] = a
+                    r = ranks.get(word[a : c + size[c]])
+                    if r is not None:
+                        push(agenda, (r << 40) | (a << 20) | (total + size[c]))
+                z = left[a]
+                if z >= 0:
+                    r = ranks.get(word[z:c])
+                    if r is not None:
+                        push(agenda, (r << 40) | (z << 20) | (c - z))
+            out, k = [], 0
+            while k < n:
+                out.append(word[k : k + size[k]])
+                k += size[k]
+        else:
+            out = list(word)
+        got: list[int] = []
+        for p in out:
+            i = ids.get(p)
+            if i is not None:
+                got.append(i)
+            else:
+                got += [self.byte_id[x] for x in p.encode("utf-8", "surrogatepass")]
+        return struct.pack(f"<{len(got)}i", *got)
 
     def encode(self, text: str | None, variant: int = 0) -> bytes:
         """Ids of the whole text (null: empty) as little-endian 32-bit numbers. A space is put before a text that is not empty."""
@@ -109,20 +118,41 @@ class Encoder:
         return self._plain(text, variant, True)
 
     def _plain(self, text: str, variant: int, first: bool) -> bytes:
-        cache = self.cache
         words = self.words.findall((SPACE if first else "") + text.replace(" ", SPACE))
-        table = cache.setdefault(variant, {})
+        table = self.cache.setdefault(variant, {})
         try:
             return b"".join([table[w] for w in words])
         except KeyError:
-            if sum(map(len, cache.values())) > CACHE:
-                cache.clear()
-                table = cache.setdefault(variant, {})
+            if self.cached > CACHE:  # short words recur; long ones make room
+                for v, held in self.cache.items():
+                    self.cache[v] = {w: x for w, x in held.items() if len(w) <= VARIED}
+                self.cached = sum(map(len, self.cache.values()))
+                if self.cached > CACHE // 2:
+                    self.cache, self.cached = {}, 0
+                table = self.cache.setdefault(variant, {})
+            held = len(table)
             for w in words:
                 if w not in table:
-                    table[w] = self.word(variant, w)
+                    table[w] = self._new(table, variant, w)
+            self.cached += len(table) - held
             return b"".join([table[w] for w in words])
 
+    def _new(self, table: dict[str, bytes], variant: int, w: str) -> bytes:
+        stem = w.rstrip(".,")
+        if self.tails and len(stem) < len(w) and stem[-1:].isalpha():  # no piece joins a letter to these, so the parts can be cut apart
+            got = table.get(stem)
+            if got is None:
+                got = table[stem] = self._new(table, variant, stem)
+            return got + self._new(table, variant, w[len(stem) :])
+        if variant and len(w) > VARIED:
+            first = self.cache.setdefault(0, {})
+            got = first.get(w)
+            if got is None:
+                got = first[w] = self._new(first, 0, w)
+                self.cached += 1
+            return got
+        return b"".join(self.word(variant, w[k : k + (1 << 19)]) for k in range(0, len(w), 1 << 19))
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that the ids stand for."""
         surface = self.surface
@@ -130,17 +160,23 @@ class Encoder:
         return out[1:] if out[:1] == b" " else out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, seed: int, dropout: float) -> Encoder:
+    """One encoder a worker process: its cache serves all tasks that the process runs."""
+    return Encoder(path, seed=seed, dropout=dropout)
+
+
 def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = 2, id_col: str = "doc_id") -> DataFrame:
     """(_row, variant int, ids array<int>, lossless boolean): the rows of docs with their pieces, and whether decoding gave the text back.
 
     A document's variant hashes the seed and its id, so a rerun gives the same pieces. Null texts are empty and have no
-    ids. One text is in memory at a time beside the cache, which is cleared at CACHE words.
+    ids. One text is in memory at a time beside the cache, which is bounded by CACHE words.
     """
     rows = packed(docs, "text").withColumn("variant", F.pmod(F.xxhash64(F.lit(seed), F.col(f"_row.{id_col}")), F.lit(variants)).cast("int"))
-    schema = rows.select("_row", "variant").schema.add("ids", "array<int>").add("lossless", "boolean")
+    schema = rows.select("_row", "variant").schema.add("ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
 
     def run(batches):
-        e = Encoder(path, seed=seed, dropout=dropout)
+        e = encoder(path, seed, dropout)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
@@ -161,7 +197,7 @@ def digests(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: floa
     rows = docs.select("doc_id", "text").withColumn("_variant", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(variants)).cast("int"))
 
     def run(batches):
-        e = Encoder(path, seed=seed, dropout=dropout)
+        e = encoder(path, seed, dropout)
         for batch in batches:
             rows = []
             for i, t, v in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_variant")), strict=True):
