@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import packed, small_side, written
 
 #: A rate above this is drawn as a sum of equal parts, each inverted by itself.
 PART_RATE = 64.0
@@ -52,10 +52,11 @@ def replicate(docs: DataFrame, *, seed: int = 97, id_col: str = "doc_id", source
 
     Null sources count as one source named ''. A null id hashes as 'null'. Repeated rows draw the same count and are each
     repeated. Documents with count 0 go. An empty table gives an empty table. The rates (a row per source) are broadcast
-    only if Spark finds them under its threshold.
+    if their counted size is within the bound.
     """
-    r = rates(docs, source_col=source_col, **how)
-    joined = packed(docs).withColumn("_source", F.coalesce(F.col(f"_row.{source_col}"), F.lit(""))).withColumn("_id", F.col(f"_row.{id_col}")).join(r, "_source")
+    r = written(rates(docs, source_col=source_col, **how), "mix-rates")
+    n, width = r.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_cdf")), F.lit(0))).first()
+    joined = packed(docs).withColumn("_source", F.coalesce(F.col(f"_row.{source_col}"), F.lit(""))).withColumn("_id", F.col(f"_row.{id_col}")).join(small_side(r, n, 200 + 8 * width), "_source")
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0),
         lambda a, k: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(seed), F.col("_id"), k))))
