@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import cnl as C
 from ..functions import text as X
 from ..operators import audit as A
+from ..operators import definitions as D
 from ..operators import knowledge as K
 from ..operators import pairs as P
+from ..operators import routing as R
 from ..operators import segment as S
+from ..sources import artifacts as ART
 from ..sources import kif as KIF
 from . import fixtures as FX
 from .sql import bounded, noise, phenomena_list, scoped, squash, unsupported, values, words
@@ -386,6 +389,67 @@ def val_violations(spark, d):
     return A.violations(table(spark, d, "benchmark"), "item_id", {"short": F.length(t) < 120, "several lines": F.contains(t, F.lit("\n")), "odd id": F.col("item_id") % 2 == 1})
 
 
+# ---------------------------------------------------------------- definitions, routing and artifacts
+
+
+def _known(spark):
+    return FX.frame(spark, FX.KNOWN, "term string")
+
+
+@query(values(FX.DECLARED, ["id", "cnl", "passage", "evidence", "symbol", "alias", "cue", "reason"], "SELECT id, coalesce(reason, 'accepted') AS reason"))
+def grd_declared(spark, d):
+    """GRD-16 to GRD-28"""
+    rows = FX.frame(spark, FX.DECLARED, "id int, cnl string, passage string, evidence string, symbol string, alias string, cue string, want string")
+    return D.declared_gate(rows.withColumn("parents", F.split(F.lit(FX.PARENTS), ",")), _known(spark)).select("id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+@query(values(FX.PROPOSED, ["seq", "candidate", "evidence", "symbol", "genus_phrase", "parents", "kept"], "SELECT seq, symbol, genus_phrase, parents, kept") + " WHERE symbol IS NOT NULL")
+def grd_proposed(spark, d):
+    """GRD-29 to GRD-31, PRJ-27, SRC-15, SET-05"""
+    rows = FX.frame(spark, [r[:3] for r in FX.PROPOSED], "seq int, candidate string, evidence string")
+    got = D.proposals(rows, _known(spark)).where("symbol IS NOT NULL")
+    return D.registry(D.parent_candidates(got, ["Process"], _known(spark))).select("seq", "symbol", "genus_phrase", F.array_join("parents", ",").alias("parents"), "kept")
+
+
+@query(values(FX.ROUTED, ["id", "text", "template", "cnl"], "SELECT id, template, cnl"))
+def rte_predictions(spark, d):
+    """RTE-02 to RTE-21, SRT-10, JON-09"""
+    rows = FX.frame(spark, [r[:2] for r in FX.ROUTED], "id int, text string")
+    return R.predictions(rows, _known(spark), FX.frame(spark, FX.ROUTE_RELATIONS, "term string")).select("id", "template", "cnl")
+
+
+def _memory(spark):
+    return FX.frame(spark, FX.MEMORY, "statement_id string, child string, parent string, path string, line int")
+
+
+@query(values(FX.RECALLED, ["id", "statement_id", "rank"], "SELECT id, statement_id, rank"))
+def jon_recall(spark, d):
+    """JON-10, SRT-02"""
+    return D.recall_by_words(FX.frame(spark, FX.RECALL_SOURCES, "id string, text string"), _memory(spark)).select("id", "statement_id", "rank")
+
+
+@query("SELECT * FROM (VALUES ('g1', 'm5', 1)) t(id, statement_id, rank)")
+def jon_recall_genus(spark, d):
+    """JON-11, SRT-03"""
+    return D.recall_by_genus(FX.frame(spark, [("g1", "primary process"), ("g2", ""), ("g3", "kettle")], "id string, genus_phrase string"), _memory(spark)).select("id", "statement_id", "rank")
+
+
+@query("SELECT 'axiom_' || (row_number() OVER (ORDER BY p_partkey) - 1) AS name, 'fof(axiom_' || (row_number() OVER (ORDER BY p_partkey) - 1) || ',axiom,(subclass(' || chr(39) || 'P' || p_partkey || chr(39) || ',' || chr(39) || 'S' || p_size || chr(39) || '))).' AS line, 'source' AS kind, 'r' || p_partkey AS record_id FROM part UNION ALL "
+       + values([(n, f"fof({n},axiom,({f})).", "rule") for n, f in ART.RULES], ["name", "line", "kind"], "SELECT name, line, kind, NULL"))
+def snk_theory(spark, d):
+    """SNK-05, RSN-02, RSN-12, WIN-12"""
+    key = F.col("p_partkey").cast("string")
+    recs = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("r"), key).alias("record_id"), F.lit("source").alias("kind"), F.concat(F.lit("(subclass P"), key, F.lit(" S"), F.col("p_size").cast("string"), F.lit(")")).alias("kif"))
+    return ART.theory(recs)
+
+
+@query("SELECT p_partkey AS seq, ';;; r' || p_partkey || ' | page ' || p_size || ' | section ' || p_brand || chr(10) || '(instance P' || p_partkey || ' Part)' || chr(10) AS text FROM part")
+def snk_bundle(spark, d):
+    """SNK-03, SNK-04"""
+    key = F.col("p_partkey").cast("string")
+    return ART.bundle(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("r"), key).alias("record_id"), F.col("p_size").alias("page"), F.col("p_brand").alias("section"), F.concat(F.lit("(instance P"), key, F.lit(" Part)")).alias("kif")))
+
+
 # ---------------------------------------------------------------- training pairs
 
 

@@ -61,3 +61,34 @@ QUESTIONS = [
     (1, "(subclass Ferry Craft)", "proven"), (2, "(instance Ada Thing)", "proven"), (3, "(not (subclass Ferry Building))", "proven"), (4, "(subclass Ferry Building)", "disproven"), (5, "(subclass Vessel Building)", "disproven"), (6, "(subclass Pilot Ghost)", "disproven"), (7, "(instance Bob Ferry)", "unknown"),
     (8, "(subclass Building Ferry)", "unknown"), (9, "(instance Zed Ferry)", "unknown"), (10, "(not (instance Ada Craft))", "disproven"), (11, "(likes Ada Bob)", "unknown"), (12, "(subclass Ferry Ferry)", "unknown"), (13, "(instance Bob Ghost)", "disproven"),
 ]
+KNOWN = [(t,) for t in ["Process", "IntelligenceProduct", "Vessel", "Ferry", "Tug", "Pilot", "Port", "AutonomousAgent", "CargoShip", "HarbourPilot", "Fleet"]]
+PARENTS = "Process,IntelligenceProduct,Vessel,Nowhere"
+#: id, cnl, passage, evidence, symbol, alias, cue, reason
+DECLARED = [
+    (1, "DredgingProcess subclass-of Process", "Dredging is the process of clearing mud. It is slow.", "Dredging is the process of clearing mud.", "DredgingProcess", "Dredging", "is the", None), (2, "every ?x is-a Ferry", "Dredging is the process.", "Dredging is the process.", "DredgingProcess", "Dredging", "is the", "not_single_subclass"),
+    (3, "Process subclass-of DredgingProcess", "Dredging is the process.", "Dredging is the process.", "DredgingProcess", "Dredging", "is the", "reversed_direction"), (4, "Ferry subclass-of Process", "Dredging is the process.", "Dredging is the process.", "DredgingProcess", "Dredging", "is the", "undeclared_child"),
+    (5, "DredgingProcess subclass-of Nowhere", "Dredging is the process.", "Dredging is the process.", "DredgingProcess", "Dredging", "is the", "parent_not_existing_class"), (6, "DredgingProcess subclass-of Process", "Mud is wet.", "Dredging is the process.", "DredgingProcess", "Dredging", "is the", "evidence_not_in_passage"),
+    (7, "DredgingProcess subclass-of Process", "The crew likes dredging.", "The crew likes dredging.", "DredgingProcess", "Dredging", "is the", "declaration_phrase_not_subject"), (8, "DredgingProcess subclass-of Process", "Dredging is a process.", "Dredging is a process.", "DredgingProcess", "Dredging", "is the", "declaration_sense_not_in_passage"),
+    (9, "DredgingWork subclass-of Process", "Dredging is the process of clearing mud.", "Dredging is the process of clearing mud.", "DredgingWork", "Dredging", "is the", "symbol_sense_mismatch"), (10, "SonarIntelligence subclass-of IntelligenceProduct", "Sonar is intelligence derived from echoes.", "Sonar is intelligence derived from echoes.", "SonarIntelligence", "Sonar", "is", "ambiguous_genus_sense"),
+    (11, "Barge subclass-of Vessel", "A barge is a flat vessel.", "A barge is a flat vessel.", "Barge", "barge", "is a", "unstated_parent"), (12, "Barge subclass-of Vessel", "A barge is a vessel that may carry sand.", "A barge is a vessel that may carry sand.", "Barge", "barge", "is a", "unverified_scope"), (13, "Barge subclass-of Vessel", "Barges are the vessels of the bay.", "Barges are the vessels of the bay.", "Barges", "Barges", "are the", "undeclared_child"),
+    (14, "Barges subclass-of Vessel", "Barges are the vessels of the bay.", "Barges are the vessels of the bay.", "Barges", "Barges", "are the", None), (15, "SonarIntelligence subclass-of IntelligenceProduct", "Sonar is intelligence that is produced at sea.", "Sonar is intelligence that is produced at sea.", "SonarIntelligence", "Sonar", "is", None),
+]
+#: seq, candidate, evidence, symbol, genus, parents, kept
+PROPOSED = [
+    (1, "Dredging is the process", "Dredging is the process of clearing mud.", "DredgingProcess", "process", "Process", True), (2, "Risk control is the primary process", "Risk control is the primary process for ports.", None, None, None, None), (3, "This is a vessel", "This is a vessel.", None, None, None, None),
+    (4, "A barge is a vessel", "A barge is a vessel and boat.", None, None, None, None), (5, "A hull is a part", "A hull is a part of a ship.", None, None, None, None), (6, "The barge is a vessel", "The barge is a flat vessel of the bay.", "BargeVessel", "flat vessel", "Process,Vessel", True), (7, "A barge is a boat", "A barge is a boat of the bay.", "BargeBoat", "boat", "Process", False),
+    (8, "A barge boat is a boat", "A barge boat is a boat.", "BargeBoat", "boat", "Process", True), (9, "A ferry is a vessel", "A ferry is a vessel.", None, None, None, None), (10, "Mooring is useful", "Mooring is useful to ships.", None, None, None, None),
+]
+#: id, text, template, cnl. In row 9 an earlier frame fits, with "tug does not" as its slot, so the negation is lost: the order of the frames decides, and the gate refuses it by its scope word.
+ROUTED = [
+    (1, "For every ferry, the guides relation holds with a pilot.", "conditional_every", "every ?x is-a Ferry implies guides ?x Pilot"), (2, "Every ferry has an autonomous agent.", "conditional_every", "every ?x is-a Ferry implies agent ?x AutonomousAgent"), (3, "Every ferry has a pilot as its agent.", "conditional_every", "every ?x is-a Ferry implies agent ?x Pilot"), (4, "Every ferry has a pilot.", None, None),
+    (5, "The guides relation holds between a pilot and a ferry.", "binary", "guides Pilot Ferry"), (6, "A tug can have a port as its destination.", "binary", "destination Tug Port"), (7, "A ferry can be located in a port.", "binary", "located Ferry Port"), (8, "It is not the case that the guides relation holds between a pilot and a tug.", "negation_binary", "not guides Pilot Tug"), (9, "A tug does not have a pilot as its agent.", "binary", "agent Tug Pilot"),
+    (10, "A tug is not located in a port.", "negation_binary", "not located Tug Port"), (11, "The between relation holds among a port, a ferry, and a tug.", "nary", "between [ Port , Ferry , Tug ]"), (12, "A port, a ferry, and a tug do not stand in the between relation.", "negation_nary", "not between [ Port , Ferry , Tug ]"), (13, "The tows relation holds between a tug and a ferry.", "binary", None), (14, "The guides relation holds between a harbour pilot and a dragon.", "binary", None),
+    (15, "The guides relation holds between a harbour pilot and a small ferry.", "binary", "guides HarbourPilot Ferry"), (16, "The fleet consists of ferries, tugs and cargo ships.", None, "Ferry subclass-of Fleet Tug subclass-of Fleet CargoShip subclass-of Fleet"), (17, "The fleet consists of ferries and dragons.", None, None), (18, "The fleet does not comprise ferries and tugs.", None, None), (19, "Rain fell.", None, None), (20, None, None, None),
+]
+ROUTE_RELATIONS = [(r,) for r in ["guides", "agent", "destination", "located", "between"]]
+#: statement_id, child, parent, path, line
+MEMORY = [("m1", "CargoShip", "Vessel", "a", 3), ("m2", "HarbourPilot", "Person", "a", 1), ("m3", "ShipPilotSchool", "School", "a", 2), ("m4", "ProcessOfShip", "CargoProcess", "b", 1), ("m5", "Loading", "CargoProcess", "a", 9)]
+RECALL_SOURCES = [("s1", "The cargo ship meets the pilot."), ("s2", "A process of information."), ("s3", "")]
+#: id, statement_id, rank
+RECALLED = [("s1", "m1", 1), ("s1", "m3", 2)]
