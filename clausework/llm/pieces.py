@@ -56,7 +56,10 @@ class Encoder:
 
     def __init__(self, path: str = MODEL, *, seed: int = 11, dropout: float = 0.1):
         self.scores, self.ids, self.surface, self.byte_id = vocabulary(path)
-        self.ranks = {p: int(-s) for p, s in self.scores.items() if len(p) > 1}
+        #: The rank of each merge, already in the agenda's high bits, and the stored form of each piece's id.
+        self.ranks = {p: int(-s) << 40 for p, s in self.scores.items() if len(p) > 1}
+        self.packed = {p: struct.pack("<i", k) for p, k in self.ids.items()}
+        self.keyed: dict = {}
         self.seed, self.limit = seed, round(dropout * 256)
         self.cache: dict[int, dict[str, bytes]] = {}
         self.cached = 0
@@ -67,46 +70,48 @@ class Encoder:
 
     def word(self, variant: int, word: str) -> bytes:
         """Ids of one word as little-endian 32-bit numbers."""
-        ranks, ids, limit, n = self.ranks, self.ids, self.limit, len(word)
-        # One keyed hash of the word gives a byte for each candidate's place and length.
-        coins = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), key=b"%d/%d" % (self.seed, variant), digest_size=64).digest() if limit else b""
-        agenda = [(r << 40) | (k << 20) | 2 for k in range(n - 1) if (r := ranks.get(word[k : k + 2])) is not None]
-        if agenda:
-            size, left = [1] * n, list(range(-1, n - 1))
-            heapq.heapify(agenda)
-            push, pop = heapq.heappush, heapq.heappop
-            while agenda:
-                x = pop(agenda)
-                a, total = (x >> 20) & 0xFFFFF, x & 0xFFFFF
-                b = a + size[a]
-                if not size[a] or b >= n or size[a] + size[b] != total or limit and coins[(a * 11 + total * 5) & 63] < limit:
-                    continue  # one of its parts was merged meanwhile, or the candidate is dropped
-                size[a], size[b] = total, 0
-                c = a + total
-                if c < n:
-                    left[c] = a
-                    r = ranks.get(word[a : c + size[c]])
-                    if r is not None:
-                        push(agenda, (r << 40) | (a << 20) | (total + size[c]))
-                z = left[a]
-                if z >= 0:
-                    r = ranks.get(word[z:c])
-                    if r is not None:
-                        push(agenda, (r << 40) | (z << 20) | (c - z))
-            out, k = [], 0
-            while k < n:
-                out.append(word[k : k + size[k]])
-                k += size[k]
-        else:
-            out = list(word)
-        got: list[int] = []
-        for p in out:
-            i = ids.get(p)
-            if i is not None:
-                got.append(i)
-            else:
-                got += [self.byte_id[x] for x in p.encode("utf-8", "surrogatepass")]
-        return struct.pack(f"<{len(got)}i", *got)
+        ranks, packed, n = self.ranks, self.packed, len(word)
+        agenda = [r | (k << 20) | 2 for k in range(n - 1) if (r := ranks.get(word[k : k + 2])) is not None]
+        if not agenda:
+            return b"".join([packed.get(p) or self._bytes(p) for p in word])
+        limit, coins = self.limit, b""
+        if limit:  # one keyed hash of the word gives a byte for each candidate's place and length
+            keyed = self.keyed.get(variant)
+            if keyed is None:
+                keyed = self.keyed[variant] = hashlib.blake2b(key=b"%d/%d" % (self.seed, variant), digest_size=64)
+            h = keyed.copy()
+            h.update(word.encode("utf-8", "surrogatepass"))
+            coins = h.digest()
+        size, left = [1] * n, list(range(-1, n - 1))
+        heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
+        while agenda:
+            x = pop(agenda)
+            a, total = (x >> 20) & 0xFFFFF, x & 0xFFFFF
+            one = size[a]
+            if not one:
+                continue  # merged into its left neighbour meanwhile
+            b = a + one
+            if b >= n or one + size[b] != total or limit and coins[(a * 11 + total * 5) & 63] < limit:
+                continue  # one of its parts was merged meanwhile, or the candidate is dropped
+            size[a], size[b] = total, 0
+            c = a + total
+            if c < n:
+                left[c] = a
+                e = c + size[c]
+                r = ranks.get(word[a:e])
+                if r is not None:
+                    push(agenda, r | (a << 20) | (e - a))
+            z = left[a]
+            if z >= 0:
+                r = ranks.get(word[z:c])
+                if r is not None:
+                    push(agenda, r | (z << 20) | (c - z))
+        return b"".join([packed.get(p) or self._bytes(p) for k, m in enumerate(size) if m for p in (word[k : k + m],)])
+
+    def _bytes(self, piece: str) -> bytes:
+        """Byte pieces of what the vocabulary lacks."""
+        return b"".join([struct.pack("<i", self.byte_id[x]) for x in piece.encode("utf-8", "surrogatepass")])
 
     def encode(self, text: str | None, variant: int = 0) -> bytes:
         """Ids of the whole text (null: empty) as little-endian 32-bit numbers. A space is put before a text that is not empty."""
