@@ -96,6 +96,13 @@ def declared_gate(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).drop("_parent", "_child", "_known", "_alias", "_after", "_g")
 
 
+def stated_parent(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, cnl) for rows (id, passage, evidence, symbol, alias, cue, parents): the one offered parent that the gate accepts; NULL if none or several pass."""
+    tried = rows.withColumn("cnl", F.explode(F.transform("parents", lambda p: F.concat(F.col("symbol"), F.lit(" subclass-of "), p))))
+    passed = declared_gate(tried, classes).where("reason IS NULL").groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("cnl").alias("_c"))
+    return rows.select("id").join(passed, "id", "left").select("id", F.when(F.col("_n") == 1, F.col("_c")).alias("cnl"))
+
+
 def proposals(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """rows (candidate, evidence) with alias, cue, symbol and genus_phrase of a new class; all NULL where declined."""
     frame = r"^(?i)(.+?)\s+(is|are)\s+(?:(a|an|the)\s+)?([A-Za-z][A-Za-z'-]*)$"

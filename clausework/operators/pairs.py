@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,6 +62,86 @@ def relation_pairs(relations: DataFrame, signature: DataFrame) -> DataFrame:
     return binary.unionByName(cond)
 
 
+#: Wordings of three further kinds of pair. {r} is a relation; {1} a class as written, {1n} in words, {1a} in words with its article.
+EDGE_WORDINGS = ["{1} is a type of {2}.", "Every {1} is a {2}.", "{1} is a subclass of {2}.", "A {1n} is a type of {2n}.", "{1A} is a type of {2n}.", "Every {1n} is {2a}.", "A {1n} is a subclass of {2n}."]
+OPEN_TERNARY_WORDINGS = ["The {r} relation holds among three entities.", "{r} connects three entities.", "Three entities stand in the {r} relation."]
+TERNARY_WORDINGS = ["The {r} relation holds among a {1}, a {2}, and a {3}.", "{r} connects a {1}, a {2}, and a {3}.", "A {1}, a {2}, and a {3} stand in the {r} relation.", "The {r} relation holds among {1a}, {2a}, and {3a}.", "{r} connects {1a}, {2a}, and {3a}."]
+IF_WORDINGS = [
+    "If something stands in the {r} relation to a {2}, then it is a {1}.", "If the {r} relation holds from something to a {2}, then the first argument is a {1}.", "Anything that {r}s a {2} is a {1}.",
+    "If something stands in the {r} relation to {2a}, then it is {1a}.", "Anything that {r}s {2a} is {1a}.",
+]
+TOP = "Entity"
+
+
+def worded(template: str, relation: str = "term", classes: tuple[str, ...] = ("a", "b", "c")) -> Column:
+    """A wording as a Column over a relation column and class columns."""
+    out = []
+    for part in re.split(r"(\{\w+\})", template):
+        if not part.startswith("{"):
+            out.append(F.lit(part))
+        elif part == "{r}":
+            out.append(F.col(relation))
+        else:
+            name = classes[int(part[1]) - 1]
+            noun, with_article = _noun(name)
+            out.append({"n": noun, "a": with_article, "A": F.concat(F.upper(F.substring(with_article, 1, 1)), F.substring(with_article, 2, 1000))}.get(part[2], F.col(name)))
+    return F.concat(*out)
+
+
+def edge_pairs(edges: DataFrame) -> DataFrame:
+    """Subclass pairs for true edges (child, parent)."""
+    nl = [worded(t, classes=("child", "parent")) for t in EDGE_WORDINGS]
+    return _rows(edges.distinct(), "subclass", nl, F.concat_ws(" subclass-of ", "child", "parent"), F.concat(F.lit("(subclass "), F.concat_ws(" ", "child", "parent"), F.lit(")"))).distinct()
+
+
+def typed(relations: DataFrame, signature: DataFrame, arity: int, narrower: DataFrame) -> DataFrame:
+    """(term, a, b, ...): a relation's argument classes, each also by its narrower classes (wide, narrow); a missing or odd class counts as the top.
+
+    One argument is expanded at a time by a join on its class, so a relation makes the product of its own expansions and no more.
+    """
+    out = relations.where(F.col("arity") == arity).select("term")
+    ways = signature.select("class").unionByName(narrower.select(F.col("wide").alias("class"))).unionByName(out.sparkSession.range(1).select(F.lit(TOP).alias("class"))).distinct()
+    ways = ways.select("class", F.col("class").alias("narrow")).unionByName(narrower.select(F.col("wide").alias("class"), "narrow")).distinct()
+    for k, name in enumerate("abc"[:arity], 1):
+        kind = signature.where(F.col("position") == k).groupBy("term").agg(F.min("class").alias("class"))
+        out = out.join(kind, "term", "left").withColumn("class", F.when(F.regexp_like("class", F.lit("^[A-Z][A-Za-z0-9]*$")), F.col("class")).otherwise(TOP)).join(ways, "class").withColumnRenamed("narrow", name).drop("class")
+    return out.distinct()
+
+
+def ternary_pairs(relations: DataFrame, signature: DataFrame, narrower: DataFrame) -> DataFrame:
+    """Pairs for relations of three arguments: open, and for each typed triple of classes."""
+    listed = lambda *x: F.concat(F.col("term"), F.lit(" [ "), F.concat_ws(" , ", *x), F.lit(" ]"))
+    form = lambda *x: F.concat(F.lit("("), F.concat_ws(" ", "term", *x), F.lit(")"))
+    free = [F.lit(v) for v in ("?x", "?y", "?z")]
+    abstract = _rows(relations.where("arity = 3"), "nary", [worded(t) for t in OPEN_TERNARY_WORDINGS], listed(*free), form(*free))
+    return abstract.unionByName(_rows(typed(relations, signature, 3, narrower), "nary", [worded(t) for t in TERNARY_WORDINGS], listed("a", "b", "c"), form("a", "b", "c")))
+
+
+def if_pairs(relations: DataFrame, signature: DataFrame, narrower: DataFrame) -> DataFrame:
+    """If-then pairs: what stands in a relation to a class is of another class."""
+    head, body = F.concat(F.lit("if "), F.col("term"), F.lit(" ?x "), F.col("b")), F.concat(F.lit("?x is-a "), F.col("a"))
+    kif = F.concat(F.lit("(=> ("), F.col("term"), F.lit(" ?x "), F.col("b"), F.lit(") (instance ?x "), F.col("a"), F.lit("))"))
+    return _rows(typed(relations, signature, 2, narrower), "conditional", [worded(t) for t in IF_WORDINGS], F.concat_ws(" then ", head, body), kif)
+
+
+def minimal_pairs(aliases: DataFrame, variants: DataFrame) -> DataFrame:
+    """One definition for each alias and variant (parent, cue, tail): they differ in the genus alone. The variants are a short written list, so they are exploded, not joined."""
+    listed = variants.agg(F.array_sort(F.collect_list(F.struct("parent", "cue", "tail"))).alias("v"))
+    subject = F.concat(F.upper(F.substring("alias", 1, 1)), F.substring("alias", 2, 1000))
+    got = aliases.select("alias", F.lit(1).alias("_k")).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k").select("alias", F.explode("v").alias("v"))
+    return got.select("alias", X.pascal(F.lower("alias")).alias("symbol"), F.col("v.parent").alias("stated_parent"), F.concat_ws(" ", subject, F.col("v.tail")).alias("sentence"), F.concat_ws(" ", subject, F.col("v.cue")).alias("candidate_text"))
+
+
+def prepared(rows: DataFrame, excluded: DataFrame, pinned: DataFrame, cap: int) -> DataFrame:
+    """rows (pattern, nl, cnl, kif) without texts of `excluded` (nl); pinned rows stay whatever the cap, others fill each pattern up to it."""
+    key = lambda df: df.withColumn("_k", F.lower(X.squash(F.col("nl"))))
+    left = key(rows).join(key(excluded).select("_k").distinct(), "_k", "left_anti")
+    fixed = key(pinned).join(key(excluded).select("_k").distinct(), "_k", "left_anti").withColumn("_fixed", F.lit(0)).select("_k", "_fixed", "pattern", "nl", "cnl", "kif")
+    pool = left.join(fixed.select("_k").distinct(), "_k", "left_anti").withColumn("_fixed", F.lit(1)).select("_k", "_fixed", "pattern", "nl", "cnl", "kif")
+    w = W.partitionBy("pattern").orderBy("_fixed", F.md5(F.concat_ws("|", "nl", "cnl")))
+    return fixed.unionByName(pool).withColumn("_n", F.row_number().over(w)).where((F.col("_fixed") == 0) | (F.col("_n") <= cap)).select("pattern", "nl", "cnl", "kif")
+
+
 def balanced(rows: DataFrame, cap: int, *, by: str = "pattern", order: list | None = None) -> DataFrame:
     """At most cap rows of each group, in hash order unless another is given; short groups are not filled up from others."""
     w = W.partitionBy(by).orderBy(*(order or [F.md5(F.concat_ws("|", "nl", "cnl"))]))

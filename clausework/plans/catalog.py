@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import cnl as C
 from ..functions import text as X
 from ..operators import audit as A
+from ..operators import baseline as B
+from ..operators import candidates as N
 from ..operators import definitions as D
 from ..operators import knowledge as K
 from ..operators import pairs as P
@@ -450,6 +452,118 @@ def snk_bundle(spark, d):
     return ART.bundle(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("r"), key).alias("record_id"), F.col("p_size").alias("page"), F.col("p_brand").alias("section"), F.concat(F.lit("(instance P"), key, F.lit(" Part)")).alias("kif")))
 
 
+# ---------------------------------------------------------------- candidate statements, background edges, the phrase baseline
+
+
+def _prompts(spark):
+    return FX.frame(spark, FX.PROMPTS, "id string, text string"), _known(spark), FX.frame(spark, FX.PROMPT_RELATIONS, "term string")
+
+
+@query(values(FX.LANGUAGE, ["id", "cnl"], "SELECT id, cnl"))
+def dec_language(spark, d):
+    """DEC-01 to DEC-05, RTE-18"""
+    rows, classes, relations = _prompts(spark)
+    return N.language(rows.where("id IN ('p1', 'p2', 'p4', 'p5')"), classes, relations).select("id", "cnl")
+
+
+@query(values([(i, c, int(w)) for i, c, w in FX.ADMITTED], ["id", "cnl", "admitted"], "SELECT id, cnl, admitted = 1 AS admitted"))
+def dec_admitted(spark, d):
+    """DEC-01, DEC-03, DEC-04"""
+    rows, classes, relations = _prompts(spark)
+    return N.admitted(rows.join(FX.frame(spark, [r[:2] for r in FX.ADMITTED], "id string, cnl string"), "id"), classes, relations).select("id", "cnl", "admitted")
+
+
+@query(values([(r[0], c) for r in FX.CHILDREN for c in r[4].split("|") if c], ["id", "cnl"], "SELECT id, cnl"))
+def dec_definition(spark, d):
+    """DEC-06"""
+    return N.definition_language(FX.frame(spark, [r[:4] for r in FX.CHILDREN], "id string, text string, child string, parents string").withColumn("parents", F.split("parents", ",")))
+
+
+@query("SELECT * FROM (VALUES ('b1', '?x is-a Vessel'), ('b2', 'some ?x is-a Port')) t(id, cnl)")
+def dec_best(spark, d):
+    """DEC-08"""
+    return N.best(FX.frame(spark, FX.SCORED, "id string, cnl string, logp double, n_tokens int"))
+
+
+@query("SELECT * FROM (VALUES ('a1', 'Process', 'IntelligenceProduct'), ('a2', 'Process', 'Process')) t(id, raw_choice, calibrated_choice)")
+def dec_parent_choice(spark, d):
+    """DEC-11"""
+    return N.parent_choice(FX.frame(spark, FX.PARENT_SCORES, "id string, seq int, parent string, raw double, empty double"))
+
+
+@query("SELECT l_orderkey, l_linenumber, -l_discount < -l_tax AS veto FROM lineitem")
+def dec_veto(spark, d):
+    """DEC-12"""
+    return N.vetoed(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (-F.col("l_discount")).alias("logp_accept"), (-F.col("l_tax")).alias("logp_reject"))).select("l_orderkey", "l_linenumber", "veto")
+
+
+@query("SELECT * FROM (VALUES (1, 0.75::DOUBLE), (2, 0.5), (3, NULL)) t(id, confidence)")
+def dec_confidence(spark, d):
+    """DEC-09"""
+    return FX.frame(spark, [r[:2] for r in FX.LOGITS], "id int, logits array<array<double>>").select("id", N.confidence(F.col("logits")).alias("confidence"))
+
+
+def _background(spark):
+    return FX.frame(spark, FX.BACKGROUND, "child string, parent string")
+
+
+@query(values([(i, c) for i, _, c in FX.IMPLIED if c], ["id", "cnl"], "SELECT id, cnl"))
+def rte_implied(spark, d):
+    """RTE-01"""
+    return N.implied(FX.frame(spark, [r[:2] for r in FX.IMPLIED], "id string, text string"), _known(spark), _background(spark))
+
+
+@query(values([(r[0], int(r[3])) for r in FX.LICENSED], ["id", "licensed"], "SELECT id, licensed = 1 AS licensed"))
+def grd_licensed(spark, d):
+    """GRD-14"""
+    return N.licensed(FX.frame(spark, [r[:3] for r in FX.LICENSED], "id string, cnl string, text string"), _background(spark)).select("id", "licensed")
+
+
+@query(values([(r[0], r[6]) for r in FX.STATED], ["id", "cnl"], "SELECT id, cnl"))
+def rte_stated_parent(spark, d):
+    """RTE-22"""
+    rows = FX.frame(spark, [r[:6] for r in FX.STATED], "id string, passage string, alias string, cue string, symbol string, parents string")
+    return D.stated_parent(rows.withColumns({"evidence": F.col("passage"), "parents": F.split("parents", ",")}), _known(spark))
+
+
+@query(values([(r[0], r[7], r[8]) for r in FX.CLAIMS if r[7]], ["id", "cnl", "kif"], "SELECT id, cnl, kif"))
+def arc_claims(spark, d):
+    """ARC-02 to ARC-05"""
+    rows = FX.frame(spark, [r[:7] for r in FX.CLAIMS], "id int, pattern string, subject string, predicate string, object string, quantifier string, negated boolean")
+    return B.map_claims(rows, _known(spark), FX.frame(spark, FX.PROMPT_RELATIONS, "term string"), FX.frame(spark, [("sea bus", "Ferry")], "phrase string, term string"), FX.frame(spark, [("shows the way", "guides")], "phrase string, term string")).select("id", "cnl", "kif")
+
+
+@query(values([(i, n) for i, _, n in FX.RESPONSES], ["id", "n"], "SELECT id, n"))
+def arc_parse(spark, d):
+    """ARC-01"""
+    got = B.parse_claims(F.col("text"))
+    return FX.frame(spark, [r[:2] for r in FX.RESPONSES], "id int, text string").select("id", F.when(got.isNotNull(), F.size(got)).alias("n"))
+
+
+@query(values([(r[0], v) for r in FX.PACKET for v in r[15].split(",") if v], ["record_id", "rule"], "SELECT record_id, rule"))
+def val_packet(spark, d):
+    """VAL-02"""
+    names = "record_id doc_id page source_span status reviewer_type reviewed_by decision abstention_reason coverage claim_text cnl kif compiled terms".split()
+    rows = FX.frame(spark, [r[:15] for r in FX.PACKET], ", ".join(f"{n} string" for n in names)).withColumn("terms", F.split("terms", ","))
+    return A.packet_violations(rows, FX.frame(spark, FX.PASSAGES, "record_id string, doc_id string, page string, excerpt string"), FX.frame(spark, FX.PAGES, "page string, text string"), FX.frame(spark, [("(subclass Tug Vessel)",)], "kif string"), ["deixis", "scope"])
+
+
+@query(values([(r[2], v) for r in FX.REGISTRY for v in r[4].split(",") if v], ["symbol", "rule"], "SELECT symbol, rule"))
+def val_registry(spark, d):
+    """VAL-07"""
+    return A.registry_violations(FX.frame(spark, [r[:4] for r in FX.REGISTRY], "alias string, evidence_cue string, symbol string, declaration string"), _known(spark))
+
+
+@query("SELECT doc_id AS record_id, unnest(['source changed'] || CASE WHEN doc_id % 7 = 0 THEN ['span'] ELSE [] END) AS rule FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'span' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0")
+def val_run(spark, d):
+    """VAL-05: a run over all documents in which every fifth hash and every seventh span is wrong"""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    sha = F.when(F.col("record_id") % 5 == 0, "stale").otherwise(F.sha2(F.encode("text", "UTF-8"), 256))
+    span = F.when(F.col("record_id") % 7 == 0, F.concat(F.substring("text", 1, 4), F.lit("\u0000"))).otherwise(F.substring("text", 1, 4))
+    runs = docs.select("record_id", sha.alias("source_sha256"), F.lit(0).alias("span_start"), F.least(F.length("text"), F.lit(4)).alias("span_end"), span.alias("span"), F.substring("text", 1, 3).alias("evidence"))
+    return A.run_violations(runs, docs)
+
+
 # ---------------------------------------------------------------- training pairs
 
 
@@ -466,12 +580,39 @@ def gen_adjacent(spark, d):
     return P.adjacent(FX.frame(spark, FX.CLASSES, "seq int, term string"))
 
 
+def _typed(spark):
+    return FX.frame(spark, FX.RELATIONS, "term string, arity int").where("arity IS NOT NULL"), FX.frame(spark, FX.TYPED_SIGNATURE, "term string, position int, class string"), FX.frame(spark, FX.NARROWER, "wide string, narrow string")
+
+
+@query("WITH v AS (SELECT unnest(['Vessel', 'Ferry', 'OreShip']) AS c) SELECT 'between' AS term, v.c AS a, 'Port' AS b, 'Entity' AS c FROM v")
+def gen_typed(spark, d):
+    """GEN-05, GEN-07, GEN-10, JON-13, JON-14"""
+    rel, sig, narrow = _typed(spark)
+    return P.typed(rel, sig, 3, narrow)
+
+
+@query("SELECT DISTINCT n_name AS alias, t.parent AS stated_parent, upper(n_name[1]) || n_name[2:] || ' ' || t.tail AS sentence FROM nation, " + values(FX.VARIANTS, ["parent", "cue", "tail"], "(SELECT parent, tail") + ") t")
+def gen_minimal_pairs(spark, d):
+    """GEN-11, GEN-12"""
+    return P.minimal_pairs(table(spark, d, "nation").select(F.col("n_name").alias("alias")), FX.frame(spark, FX.VARIANTS, "parent string, cue string, tail string")).select("alias", "stated_parent", "sentence")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS pattern, l_orderkey || '-' || l_linenumber AS nl, l_orderkey::VARCHAR AS cnl, l_linenumber AS n FROM lineitem WHERE l_orderkey % 10 <> 0),
+k AS (SELECT pattern, nl, n = 7 AS fixed, row_number() OVER (PARTITION BY pattern ORDER BY (n <> 7)::INT, md5(nl || '|' || cnl)) AS rk FROM r) SELECT pattern, nl FROM k WHERE fixed OR rk <= 50""")
+def gen_prepared(spark, d):
+    """GEN-13, SET-06: order tenths are held out, seventh lines are pinned, 50 rows a pattern"""
+    key = F.col("l_orderkey").cast("string")
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("pattern"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("nl"), key.alias("cnl"), key.alias("kif"), "l_orderkey", "l_linenumber")
+    return P.prepared(rows, rows.where("l_orderkey % 10 = 0"), rows.where("l_linenumber = 7"), 50).select("pattern", "nl")
+
+
 @query()
 def gen_compiled(spark, d):
-    """GEN-04, GEN-06, FLT-08, VAL-04: every generated text compiles to its formula"""
+    """GEN-03 to GEN-07, FLT-08, VAL-04: every generated text compiles to its formula"""
     sig = KIF.signatures(FX.frame(spark, FX.KIF, "file string, line int, text string"))
     classes, relations = FX.frame(spark, FX.CLASSES, "seq int, term string"), FX.frame(spark, FX.RELATIONS, "term string, arity int")
-    rows = P.relation_pairs(relations, sig).unionByName(P.subclass_pairs(P.adjacent(classes))).withColumnRenamed("kif", "want")
+    more = [P.edge_pairs(FX.frame(spark, [("Ferry", "Vessel")], "child string, parent string")), P.ternary_pairs(*_typed(spark)), P.if_pairs(*_typed(spark))]
+    rows = A.union_all([P.relation_pairs(relations, sig), P.subclass_pairs(P.adjacent(classes)), *more]).withColumnRenamed("kif", "want")
     return C.compile_cnl(rows, classes, relations).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kif") == F.col("want")).alias("n_same"))
 
 

@@ -92,3 +92,55 @@ MEMORY = [("m1", "CargoShip", "Vessel", "a", 3), ("m2", "HarbourPilot", "Person"
 RECALL_SOURCES = [("s1", "The cargo ship meets the pilot."), ("s2", "A process of information."), ("s3", "")]
 #: id, statement_id, rank
 RECALLED = [("s1", "m1", 1), ("s1", "m3", 2)]
+
+#: id, text of prompts for the candidate language, over KNOWN and PROMPT_RELATIONS
+PROMPTS = [("p1", "A tug is a vessel."), ("p2", "There is a port."), ("p3", "The guides relation holds between a pilot and a tug."), ("p4", "No pilot is a tug."), ("p5", "It sails. They wait."), ("p6", "Every tug guides a pilot.")]
+PROMPT_RELATIONS = [("guides",), ("located",)]
+#: prompt, statement, whether the prompt admits it
+ADMITTED = [
+    ("p1", "?x is-a Tug", True), ("p1", "?x is-a Vessel.", True), ("p1", "?x is-a Port", False), ("p1", "Tug subclass-of Vessel", False), ("p1", "guides Tug Vessel", False), ("p2", "some ?x is-a Port", True), ("p2", "some ?y is-a Port", False), ("p3", "guides Pilot Tug", True), ("p3", "guides ?b Tug", True),
+    ("p3", "guides ?d Tug", False), ("p3", "located Pilot Tug", False), ("p3", "not guides Pilot Tug", False), ("p4", "not ?x is-a Tug", True), ("p4", "?x is-a Pilot", True), ("p5", "?x is-a Tug", False), ("p6", "every ?x is-a Tug implies guides ?x Pilot", True), ("p6", "if guides ?x Pilot then ?x is-a Tug", True), ("p6", None, False),
+]
+#: the whole language of p1, p2 and p4
+LANGUAGE = [("p1", "?x is-a Tug"), ("p1", "?x is-a Vessel"), ("p2", "?x is-a Port"), ("p2", "some ?x is-a Port"), ("p4", "?x is-a Pilot"), ("p4", "?x is-a Tug"), ("p4", "not ?x is-a Pilot"), ("p4", "not ?x is-a Tug")]
+#: id, text, child, parents, offered statements
+CHILDREN = [("c1", "A dredger is a vessel.", "Dredger", "Vessel,Tug,Dredger", "Dredger subclass-of Tug|Dredger subclass-of Vessel"), ("c2", "Dredgers clear mud.", "Dredger", "Vessel", "")]
+BACKGROUND = [("Tug", "Vessel"), ("CargoShip", "Vessel"), ("Pilot", "Procedure"), ("Fleet", "MilitaryProcess")]
+#: id, text, implied statement
+IMPLIED = [("i1", "A tug is a small boat.", "Tug subclass-of Vessel"), ("i2", "A pilot is a guide.", None), ("i3", "A tug is not a barge.", None), ("i4", "Tugs sail.", None), ("i5", "A port is a place.", None), ("i6", "Every tug is a boat.", None), ("i7", "The cargo ship was the largest.", "CargoShip subclass-of Vessel")]
+#: id, cnl, text, licensed
+LICENSED = [("l1", "Tug subclass-of Vessel", "A tug is a boat.", True), ("l2", "Tug subclass-of Vessel", "Tugs tow.", False), ("l3", "Vessel subclass-of Tug", "A tug is a vessel.", False), ("l4", "Pilot subclass-of Procedure", "A pilot is a guide.", False), ("l5", "Tug subclass-of Vessel", "A barge is a boat.", False)]
+#: id, passage, alias, cue, symbol, parents, the one parent's statement
+STATED = [
+    ("s1", "Dredging is the process of clearing mud.", "Dredging", "is the", "DredgingProcess", "Process,Vessel", "DredgingProcess subclass-of Process"), ("s2", "Dredging is the process of clearing mud.", "Dredging", "is the", "DredgingProcess", "Vessel,Tug", None),
+    ("s3", "A coaster is a vessel.", "coaster", "is a", "Coaster", "Vessel,Tug", "Coaster subclass-of Vessel"),
+]
+#: id, cnl, log-likelihood, tokens
+SCORED = [("b1", "?x is-a Tug", -4.0, 4), ("b1", "?x is-a Vessel", -5.0, 8), ("b1", "?x is-a Port", -9.0, 4), ("b2", "some ?x is-a Port", -1.0, 1), ("b2", "another", -1.0, 1), ("b3", "empty", -1.0, 0)]
+#: id, seq, parent, with the sentence, with an empty one
+PARENT_SCORES = [("a1", 1, "Process", -2.0, -1.0), ("a1", 2, "IntelligenceProduct", -3.0, -4.0), ("a2", 1, "Process", -2.0, -2.0), ("a2", 2, "IntelligenceProduct", -2.0, -2.0)]
+#: id, logits of two or three steps, confidence: softmax of equal logits is one half, of a lone one 1
+LOGITS = [(1, [[0.0, 0.0], [3.0]], 0.75), (2, [[1.0, 1.0]], 0.5), (3, [], None)]
+#: id, pattern, subject, predicate, object, quantifier, negated, cnl and kif
+CLAIMS = [
+    (1, "instance", "harbour tug", None, "ocean vessel", None, False, "Tug subclass-of Vessel", "(subclass Tug Vessel)"), (2, "instance", "a tug", None, "", None, True, "not ?x is-a Tug", "(not (instance ?x Tug))"), (3, "existential", "port", None, None, None, False, "some ?x is-a Port", "(exists (?x) (instance ?x Port))"),
+    (4, "relation", "pilot", "shows the way", "tug", None, False, "guides Pilot Tug", "(guides Pilot Tug)"), (5, "relation", "pilot", "guides", "tug", "universal", True, "every ?x is-a Pilot implies guides ?x Tug", "(forall (?x) (=> (instance ?x Pilot) (not (guides ?x Tug))))"), (6, "relation", "the sea", "guides", "tug", None, True, "not guides ?x Tug", "(not (guides ?x Tug))"),
+    (7, "relation", "pilot", "eats", "tug", None, False, None, None), (8, "conditional", "harbour pilot", "is located near", "moon", None, False, "every ?x is-a HarbourPilot implies located ?x ?y", "(forall (?x) (=> (instance ?x HarbourPilot) (located ?x ?y)))"), (9, "subclass", "tug", None, "moon", None, False, None, None),
+    (10, "existential", "deep water port", None, None, None, False, "some ?x is-a Port", "(exists (?x) (instance ?x Port))"), (11, "odd", "tug", None, "vessel", None, False, None, None), (12, "instance", "sea bus", None, None, None, False, "?x is-a Ferry", "(instance ?x Ferry)"),
+]
+#: id, answer, claims in it
+RESPONSES = [(1, 'Here: [{"pattern":"instance","subject":"tug"}] done', 1), (2, '{"pattern":"subclass","subject":"tug","object":"vessel"}', 1), (3, "no claims", None), (4, "[]", 0), (5, None, None)]
+PASSAGES = [("r1", "d", "1-1", "A tug is a vessel that tows."), ("r2", "d", "1-1", "Pilots guide tugs."), ("r3", "d", "1-2", "A fleet is large.")]
+PAGES = [("1-1", "A tug is a  vessel that tows. Pilots guide tugs."), ("1-2", "Nothing here.")]
+#: record_id, doc_id, page, source_span, status, reviewer_type, reviewed_by, decision, abstention_reason, coverage, claim_text, cnl, kif, compiled, terms, broken rules
+PACKET = [
+    ("r1", "d", "1-1", "A tug is a vessel", "reviewed", "ai", "x", "positive", None, "full", "A tug is a vessel", "Tug subclass-of Vessel", "(subclass Tug Vessel)", "(subclass Tug Vessel)", "Vessel,Tug", "preloaded"),
+    ("r2", "d", "1-1", "Pilots guide", "reviewed", "human", "y", "abstain", "deixis", None, None, None, None, None, "", ""), ("r3", "d", "1-1", "A fleet is large", "draft", "ai", "x", "positive", None, "some", "", "Fleet subclass-of Vessel", "(a)", "(subclass Fleet Vessel)", "Fleet", "compiled,coverage,incomplete,reviewer,source reference,span not on page,terms"),
+    ("r4", "d", "1-1", "A tug", "reviewed", "bot", "x", "abstain", "bored", None, "said", None, None, None, "", "abstention asserts,abstention reason,reviewer,source reference,span not in excerpt,unknown id"), ("r5", "d", "9-9", "", "reviewed", "ai", "x", "maybe", None, None, None, None, None, None, "", "decision,source reference,span not in excerpt,span not on page,unknown id"),
+]
+#: alias, cue, symbol, declaration, broken rules
+REGISTRY = [("dredger", "is a", "Dredger", "(instance Dredger Class)", ""), ("Tug  boat", "is a", "Tug", "(instance Tug Class)", "known class,repeated alias"), ("tug boat", "is a", "TugBoat", "(instance Tugboat Class)", "declaration,repeated alias"), ("barge", "", "barge", "(instance barge Class)", "blank,symbol form")]
+#: Narrower classes for typed pairs, and how many rows each generator then makes
+NARROWER = [("Vessel", "Ferry"), ("Vessel", "OreShip")]
+TYPED_SIGNATURE = [("between", 1, "Vessel"), ("between", 2, "Port"), ("guides", 1, "Pilot"), ("guides", 2, "Vessel"), ("located", 1, "Vessel"), ("located", 2, "Vessel")]
+VARIANTS = [("Process", "is the", "is the process of moving goods."), ("IntelligenceProduct", "is an", "is an intelligence product for planners.")]
