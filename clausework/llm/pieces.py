@@ -1,33 +1,59 @@
 """SentencePiece-style encoding with seeded merge-dropout, and its decoding.
 
 A text is cut into words (white space marked before them), and each word's characters are merged by an agenda of
-candidate pairs in order of score. A candidate taken from the agenda is skipped when the hash of (seed, variant, word,
-its place and length) falls under the dropout rate. Characters outside of the vocabulary become byte pieces. Decoding
-joins pieces, so every segmentation gives the text back.
+candidate pairs in order of score. Each candidate taken from the agenda is skipped with the dropout rate, by numbers
+hashed from (seed, variant, place in the text): every occurrence of a word is cut anew, and a variant's text always
+alike. Characters outside of the vocabulary become byte pieces. Decoding joins pieces, so every segmentation gives the
+text back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed
+from .common import U, mix, mix_int, packed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words up to this length are cut otherwise in each variant; longer ones, which seldom recur, once for all.
-VARIED = 8
-#: Words kept in a worker's cache, at some 220 bytes each, before the long ones are dropped.
+#: When the cache is full, the cuttings of words up to this length stay; longer words seldom recur.
+SHORT = 8
+#: Cuttings kept in a worker's cache, at some 300 bytes each.
 CACHE = 1_500_000
+#: Variants that there are: with these, a document and copy has its own.
+VARIANTS = (1 << 31) - 1
+#: Numbers drawn at once for drops after a word's first.
+AHEAD = 256
+
+
+class Draws:
+    """Numbers of candidates kept before the next is dropped, for one text under one seed and variant; two streams, of which one gives the first of each word."""
+
+    def __init__(self, seed: int, variant: int, dropout: float):
+        self.keys = [mix_int(mix_int(seed * 0x9E3779B97F4A7C15 + 2 * variant + k) + 0x632BE59BD9B4E019) for k in (0, 1)]
+        self.at = [0, 0]
+        self.scale = 1 / math.log1p(-dropout)
+        self.held: list[int] = []
+
+    def many(self, k: int, n: int) -> np.ndarray:
+        x = np.arange(self.at[k] + 1, self.at[k] + 1 + n, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(self.keys[k])
+        self.at[k] += n
+        return (np.log(((mix(x) >> U(11)) + U(1)) * 2.0**-53) * self.scale).astype(np.int64)
+
+    def next(self) -> int:
+        if not self.held:
+            self.held = self.many(1, AHEAD)[::-1].tolist()
+        return self.held.pop()
 
 
 @lru_cache(maxsize=2)
@@ -52,39 +78,33 @@ def vocabulary(path: str = MODEL):
 
 
 class Encoder:
-    """Encodes under one seed and dropout rate. Texts of one variant share segmentations of equal words; there are as many variants as asked for."""
+    """Encodes under one seed and dropout rate. The cache holds a word's ids by which of its candidates were dropped, so it changes no result."""
 
     def __init__(self, path: str = MODEL, *, seed: int = 11, dropout: float = 0.1):
         self.scores, self.ids, self.surface, self.byte_id = vocabulary(path)
         #: The rank of each merge, already in the agenda's high bits, and the stored form of each piece's id.
         self.ranks = {p: int(-s) << 40 for p, s in self.scores.items() if len(p) > 1}
         self.packed = {p: struct.pack("<i", k) for p, k in self.ids.items()}
-        self.keyed: dict = {}
-        self.seed, self.limit = seed, round(dropout * 256)
-        self.cache: dict[int, dict[str, bytes]] = {}
-        self.cached = 0
+        self.seed, self.dropout = seed, dropout
+        #: Ids by word, and by word, sign 1 and a sign for each drop; the number of candidates after the last drop.
+        self.cache: dict[str, bytes] = {}
+        self.after: dict[str, int] = {}
         # Words are cut around characters that no longer piece has, which changes nothing.
         stops = "".join(c for c in "\n\u0001" if not any(c in p for p in self.ids if len(p) > 1))
         self.words = re.compile(rf"{SPACE}*[^{SPACE}{stops}]+|{SPACE}*[{stops}]+|{SPACE}+" if stops else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.tails = not any(p.rstrip(".,")[-1:].isalpha() for p in self.ids if p[-1] in ".,")
 
-    def word(self, variant: int, word: str) -> bytes:
-        """Ids of one word as little-endian 32-bit numbers."""
+    def word(self, word: str, drops: list[int], draws: Draws | None) -> tuple[bytes, int]:
+        """Ids of one word as little-endian 32-bit numbers, and how many candidates came after the last drop.
+
+        drops: how many candidates to keep before each drop; when they are used up, draws gives more, which are added."""
         ranks, packed, n = self.ranks, self.packed, len(word)
         agenda = [r | (k << 20) | 2 for k in range(n - 1) if (r := ranks.get(word[k : k + 2])) is not None]
         if not agenda:
-            return b"".join([packed.get(p) or self._bytes(p) for p in word])
-        limit, coins = self.limit, b""
-        if limit:  # one keyed hash of the word gives a byte for each candidate's place and length
-            keyed = self.keyed.get(variant)
-            if keyed is None:
-                keyed = self.keyed[variant] = hashlib.blake2b(key=b"%d/%d" % (self.seed, variant), digest_size=64)
-            h = keyed.copy()
-            h.update(word.encode("utf-8", "surrogatepass"))
-            coins = h.digest()
+            return b"".join([packed.get(p) or self._bytes(p) for p in word]), 0
         size, left = [1] * n, list(range(-1, n - 1))
         heapq.heapify(agenda)
         push, pop = heapq.heappush, heapq.heappop
+        done, kept, until = 0, 0, drops[0] if drops else -1
         while agenda:
             x = pop(agenda)
             a, total = (x >> 20) & 0xFFFFF, x & 0xFFFFF
@@ -92,8 +112,15 @@ class Encoder:
             if not one:
                 continue  # merged into its left neighbour meanwhile
             b = a + one
-            if b >= n or one + size[b] != total or limit and coins[(a * 11 + total * 5) & 63] < limit:
-                continue  # one of its parts was merged meanwhile, or the candidate is dropped
+            if b >= n or one + size[b] != total:
+                continue  # one of its parts was merged meanwhile
+            if kept == until:  # dropped
+                done, kept = done + 1, 0
+                if done == len(drops):
+                    drops.append(draws.next())
+                until = drops[done]
+                continue
+            kept += 1
             size[a], size[b] = total, 0
             c = a + total
             if c < n:
@@ -107,7 +134,8 @@ class Encoder:
                 r = ranks.get(word[z:c])
                 if r is not None:
                     push(agenda, r | (z << 20) | (c - z))
-        return b"".join([packed.get(p) or self._bytes(p) for k, m in enumerate(size) if m for p in (word[k : k + m],)])
+        del drops[done:]
+        return b"".join([packed.get(p) or self._bytes(p) for k, m in enumerate(size) if m for p in (word[k : k + m],)]), kept
 
     def _bytes(self, piece: str) -> bytes:
         """Byte pieces of what the vocabulary lacks."""
@@ -117,46 +145,50 @@ class Encoder:
         """Ids of the whole text (null: empty) as little-endian 32-bit numbers. A space is put before a text that is not empty."""
         if not text:
             return b""
+        draws = Draws(self.seed, variant, self.dropout) if self.dropout else None
         literal = SPACE in text or "\u0001" in text
         if literal:  # signs that the cutting uses themselves: encode between them
-            return b"".join(self._plain(x, variant, k == 0) if x not in (SPACE, "\u0001") else b"".join(struct.pack("<i", self.byte_id[b]) for b in x.encode()) for k, x in enumerate(re.split(f"([{SPACE}\u0001])", text)))
-        return self._plain(text, variant, True)
+            return b"".join(self._plain(x, draws, k == 0) if x not in (SPACE, "\u0001") else b"".join(struct.pack("<i", self.byte_id[b]) for b in x.encode()) for k, x in enumerate(re.split(f"([{SPACE}\u0001])", text)))
+        return self._plain(text, draws, True)
 
-    def _plain(self, text: str, variant: int, first: bool) -> bytes:
+    def _plain(self, text: str, draws: Draws | None, first: bool) -> bytes:
         words = self.words.findall((SPACE if first else "") + text.replace(" ", SPACE))
-        table = self.cache.setdefault(variant, {})
-        try:
-            return b"".join([table[w] for w in words])
-        except KeyError:
-            if self.cached > CACHE:  # short words recur; long ones make room
-                for v, held in self.cache.items():
-                    self.cache[v] = {w: x for w, x in held.items() if len(w) <= VARIED}
-                self.cached = sum(map(len, self.cache.values()))
-                if self.cached > CACHE // 2:
-                    self.cache, self.cached = {}, 0
-                table = self.cache.setdefault(variant, {})
-            held = len(table)
-            for w in words:
-                if w not in table:
-                    table[w] = self._new(table, variant, w)
-            self.cached += len(table) - held
-            return b"".join([table[w] for w in words])
-
-    def _new(self, table: dict[str, bytes], variant: int, w: str) -> bytes:
-        stem = w.rstrip(".,")
-        if self.tails and len(stem) < len(w) and stem[-1:].isalpha():  # no piece joins a letter to these, so the parts can be cut apart
-            got = table.get(stem)
-            if got is None:
-                got = table[stem] = self._new(table, variant, stem)
-            return got + self._new(table, variant, w[len(stem) :])
-        if variant and len(w) > VARIED:
-            first = self.cache.setdefault(0, {})
-            got = first.get(w)
-            if got is None:
-                got = first[w] = self._new(first, 0, w)
-                self.cached += 1
-            return got
-        return b"".join(self.word(variant, w[k : k + (1 << 19)]) for k in range(0, len(w), 1 << 19))
+        if max(map(len, words), default=0) >= 1 << 19:
+            words = [w[k : k + (1 << 19)] for w in words for k in range(0, len(w), 1 << 19)]
+        if len(self.cache) > CACHE:
+            for full in (self.cache, self.after):
+                for key in [key for key in full if len(key) > SHORT]:
+                    del full[key]
+            if len(self.cache) > CACHE // 2:
+                self.cache, self.after = {}, {}
+        cache, after = self.cache, self.after
+        if draws is None:
+            for w in {w for w in words if w not in cache}:
+                cache[w], after[w] = self.word(w, [], None)
+            return b"".join([cache[w] for w in words])
+        until = draws.many(0, len(words))
+        out = list(map(cache.get, words))
+        # A word that is not known, or one in which a candidate is dropped.
+        for k in np.flatnonzero(until < np.fromiter([after.get(w, 1 << 40) for w in words], np.int64, len(words))).tolist():
+            out[k] = self._dropped(words[k], int(until[k]), draws)
+        return b"".join(out)
+
+    def _dropped(self, w: str, until: int, draws: Draws) -> bytes:
+        """Ids of w, of which `until` candidates are kept before the first drop. Draws are used up alike whatever is in the cache."""
+        cache, after = self.cache, self.after
+        key, drops = w, []
+        while (left := after.get(key)) is not None:
+            if until >= left:
+                return cache[key]
+            drops.append(until)
+            key = (key if len(drops) > 1 else key + "\u0001") + chr(until)
+            until = draws.next()
+        drops.append(until)
+        got, left = self.word(w, drops, draws)
+        if max(drops, default=0) < 0xD800:
+            key = w + "\u0001" * bool(drops) + "".join(map(chr, drops))
+            cache[key], after[key] = got, left
+        return got
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that the ids stand for."""
@@ -171,13 +203,19 @@ def encoder(path: str, seed: int, dropout: float) -> Encoder:
     return Encoder(path, seed=seed, dropout=dropout)
 
 
-def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = 2, id_col: str = "doc_id") -> DataFrame:
+def variant_of(seed: int, variants: int, *keys) -> Column:
+    """A document's (and copy's) variant, hashed from the seed."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(variants)).cast("int")
+
+
+def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = VARIANTS, id_col: str = "doc_id", copy_col: str | None = None) -> DataFrame:
     """(_row, variant int, ids array<int>, lossless boolean): the rows of docs with their pieces, and whether decoding gave the text back.
 
-    A document's variant hashes the seed and its id, so a rerun gives the same pieces. Null texts are empty and have no
-    ids. One text is in memory at a time beside the cache, which is bounded by CACHE words.
+    A document's variant hashes the seed, its id and, if copy_col is given, its copy's number, so copies differ and a rerun
+    gives the same pieces. Null texts are empty and have no ids. One text is in memory at a time beside the cache, which is
+    bounded by CACHE words.
     """
-    rows = packed(docs, "text").withColumn("variant", F.pmod(F.xxhash64(F.lit(seed), F.col(f"_row.{id_col}")), F.lit(variants)).cast("int"))
+    rows = packed(docs, "text").withColumn("variant", variant_of(seed, variants, *[F.col(f"_row.`{c}`") for c in (id_col, copy_col) if c]))
     schema = rows.select("_row", "variant").schema.add("ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
 
     def run(batches):
@@ -197,9 +235,9 @@ def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: floa
     return rows.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = 2) -> DataFrame:
+def digests(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = VARIANTS) -> DataFrame:
     """doc_id, n_tokens, n_tokens_full (without dropout), ids_sha256, decoded_sha256, lossless: encoded() without the ids themselves leaving the task."""
-    rows = docs.select("doc_id", "text").withColumn("_variant", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(variants)).cast("int"))
+    rows = docs.select("doc_id", "text").withColumn("_variant", variant_of(seed, variants, F.col("doc_id")))
 
     def run(batches):
         e = encoder(path, seed, dropout)

@@ -26,13 +26,13 @@ def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights; the rows are in shuffled order."""
-    return mixing.shuffled(mixing.replicate(docs)).select("_row.*")
+    """Sources are brought to their target weights; the rows are in shuffled order, with their copies' numbers."""
+    return mixing.shuffled(mixing.replicate(docs)).select("_row.*", F.col("_copy").alias("copy"))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts as piece ids, with the check that they decode to the text."""
-    got = pieces.encoded(docs)
+    """Texts as piece ids, each copy cut its own way, with the check that they decode to the text."""
+    got = pieces.encoded(docs, copy_col="copy")
     return got.select("_row.doc_id", "_row.text", "_row.lang", "_row.source", "variant", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 

@@ -132,6 +132,24 @@ def test_pieces_decode_and_vary(spark):
     assert pieces.encoded(frame(spark).limit(0)).count() == 0
 
 
+def test_pieces_long_words_vary_by_document_and_copy(spark):
+    word = "▁internationalization"
+    e = pieces.Encoder(dropout=0.3)
+    forms = {e.encode(word[1:], v) for v in range(200)}
+    assert len(forms) > 20
+    text = " ".join([word[1:]] * 50)
+    assert len(set(e.words.findall("▁" + text.replace(" ", "▁")))) == 1
+    assert len({e.encode(text, v) for v in range(20)}) == 20 and e.encode(text, 7) == pieces.Encoder(dropout=0.3).encode(text, 7)
+    # A merge is dropped at the given rate, whether cuttings come from the cache or not.
+    two = next(p for p in e.ids if len(p) == 2 and p[0] == "▁" and p[1].isalpha())
+    kept = sum(len(e.encode(two[1:], v)) == 4 for v in range(4000)) / 4000
+    assert 0.67 < kept < 0.73
+    docs = spark.createDataFrame([(k // 5, k % 5, text) for k in range(20)], "doc_id long, copy int, text string")
+    got = pieces.encoded(docs, copy_col="copy").collect()
+    assert len({tuple(r.ids) for r in got}) == 20 and all(r.lossless for r in got)
+    assert len({tuple(r.ids) for r in pieces.encoded(docs).collect()}) == 4
+
+
 # ---------------------------------------------------------------- toxicity and mixing
 
 
