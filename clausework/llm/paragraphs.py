@@ -1,10 +1,11 @@
 """Substring dedup: paragraphs repeated across documents.
 
-A paragraph is a stretch of 24 words that begins at the smallest of the hashes of five words in a window (a one-row MinHash
-band of the window), so equal passages of 47 words or more, wherever they stand, have a paragraph in common. Paragraphs
-that share the band collide; equal ones are one; of different ones the exact Jaccard similarity of runs of five words
-decides, and components of links are clusters. A band with very many different paragraphs is cut further by bands of two
-MinHashes each, tuned to miss a pair at 0.8 with chance 3e-4. In each cluster the first paragraph stays, the others go.
+A text's units are stretches of 24 words that
+begin at the smallest of the hashes of five words in a window, so equal passages of 47 words or more, wherever they stand,
+have a unit in common. Units are sets of runs of five words (one of under five words is one run, so only equal ones are
+near). Bands of MinHashes over all runs of a unit, tuned to miss a pair at 0.8 with chance 0.7 %, give candidates; the
+exact Jaccard similarity decides, and components of links are clusters. In each cluster the first paragraph stays, the
+others go. A line goes whole; a stretch that is only near others goes from its first to its last run that another text has.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from .common import SHINGLE_WORDS, U, _STEP, connected_components, forget, mix,
 WORDS = 24
 #: Runs of five words among which an anchor is the smallest: 24 words.
 SLIDE = WORDS - SHINGLE_WORDS + 1
-SUB_BANDS, SUB_ROWS = 8, 2
+#: At 0.8 a band of three is equal with chance 0.512, and all of seven differ with 0.0066.
+BANDS, ROWS = 7, 3
 TENTHS = 8
 
 
@@ -75,86 +77,176 @@ def paragraph_anchors(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndar
     return [(fp[a:b], (at[a:b] - first[k]).astype(np.int32)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
+class Units:
+    """Units of texts laid end to end, in order of text: text number, first word in it, number of words, whether it is a line or whole text, hash u of the runs, and the place of the runs among all."""
+
+    def __init__(self, texts: list[str | None]):
+        h, of, start, _, data = word_hashes(texts)
+        words = len(h)
+        anchors = paragraph_anchors(texts)
+        first = np.searchsorted(of, np.arange(len(texts) + 1))
+        line = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10)[start]
+        new = np.flatnonzero(np.diff(line, prepend=-1)) if words else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(new, words))
+        # Whole short texts that are more than a line.
+        count = np.diff(first)
+        lines = np.bincount(of[new], minlength=len(texts))
+        short = np.flatnonzero((lines > 1) & (count < WORDS))
+        new, size, short = new[:0], size[:0], short[:0]
+        at = [new, first[short], *(first[k] + a for k, (_, a) in enumerate(anchors))]
+        n = [size, count[short], np.full(sum(len(a) for _, a in anchors), WORDS)]
+        at, n = np.concatenate(at).astype(np.int64), np.concatenate(n).astype(np.int64)
+        keep = np.unique(at * (words + 1) + n) if words else np.zeros(0, dtype=np.int64)
+        own = len(new) + len(short)
+        self.line = np.isin(keep, at[:own] * (words + 1) + n[:own])
+        at, n = keep // (words + 1), keep % (words + 1)
+        # Runs of five words from each word on, then one run for each unit of fewer words.
+        runs = np.zeros(words, dtype=np.uint64)
+        for k in range(SHINGLE_WORDS):
+            runs[: max(0, words - SHINGLE_WORDS + 1)] += h[k : k + max(0, words - SHINGLE_WORDS + 1)] * _STEP[k]
+        few = np.flatnonzero(n < SHINGLE_WORDS)
+        tail = np.zeros(len(few), dtype=np.uint64)
+        for k in range(SHINGLE_WORDS - 1):
+            tail += np.where(k < n[few], h[np.minimum(at[few] + k, max(0, words - 1))], U(0)) * _STEP[k] if words else U(0)
+        self.runs = mix(np.concatenate((runs, tail)))
+        self.lo, self.hi = at.copy(), at + n - SHINGLE_WORDS + 1
+        self.lo[few] = words + np.arange(len(few))
+        self.hi[few] = self.lo[few] + 1
+        self.few = n < SHINGLE_WORDS
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.runs ^ U(0x9E3779B97F4A7C15)))))
+        self.u = mix(sums[self.hi] - sums[self.lo] + (self.hi - self.lo).astype(np.uint64)).view(np.int64)
+        self.text = of[at] if words else at
+        self.at, self.n = (at - first[self.text]).astype(np.int32), n.astype(np.int32)
+
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """Units of five words or more, and their keys (BANDS for each)."""
+        some = np.flatnonzero(~self.few)
+        keys = np.zeros((len(some), BANDS), dtype=np.uint64)
+        if len(some):
+            ends = np.stack((self.lo[some], self.hi[some]), axis=1).ravel()
+            for k in range(BANDS):
+                key = np.full(len(some), k + 1, dtype=np.uint64)
+                for r in range(ROWS):
+                    v = mix(self.runs ^ mix(np.array([1 + k * ROWS + r], dtype=np.uint64)))
+                    key = mix(key * U(3) + np.minimum.reduceat(np.append(v, U(0)), ends)[::2])
+                keys[:, k] = key
+        return some, keys.view(np.int64)
+
+    def runs_of(self, k: int) -> np.ndarray:
+        return self.runs[self.lo[k] : self.hi[k]]
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, first_word, n_words, keeper_id, removed) for each repeated passage of each document.
 
     keeper_id: the document that keeps the cluster's first paragraph (smallest id, then place). Consecutive paragraphs of a
     document with one keeper that overlap or touch are one passage. Equal texts: all copies have the rows of the first, and
-    a text of 24 words or more with copies repeats wholly. A paragraph repeated only inside one text is left alone. Null
-    texts are empty; rows with a null id take part in the search but are not returned. Empty input: no rows.
+    a text of 24 words or more with copies repeats wholly. A paragraph repeated only inside one text is left alone. Null texts are
+    empty; rows with a null id take part in the search but are not returned. Empty input: no rows.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), *text_key(F.col("text")))
 
-    def anchors(batches):
+    def listed(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 b = batch.slice(k, 128)
-                texts = b.column("_t").to_pylist()
-                got = paragraph_anchors(texts)
-                off = pa.array(np.cumsum([0, *(len(g[0]) for g in got)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([g[c] for g in got]), kind)) for c, kind in ((0, pa.int64()), (1, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), *lists], names=["doc_id", "_h1", "_h2", "fp", "at"])
-
-    seen = keyed.mapInArrow(anchors, "doc_id long, _h1 long, _h2 long, fp array<long>, at array<int>")
-    texts = written(seen.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"), F.first("at").alias("at")), "pg-texts")
-    often = written(texts.select(F.explode(F.array_distinct("fp")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp"), "pg-often")
-    runs = texts.select("rep", "_h1", "_h2", F.explode(F.arrays_zip("fp", "at")).alias("r")).select("rep", "_h1", "_h2", F.col("r.fp").alias("fp"), F.col("r.at").alias("at"))
-    hits = written(runs.join(often, "fp").groupBy("rep", "_h1", "_h2").agg(F.collect_list(F.struct("fp", "at")).alias("runs")), "pg-hits")
-    n_hits = hits.count()
-    ids = hits.select(F.col("rep").alias("doc_id"), "_h1", "_h2")
-    wanted = keyed.join(small_side(ids, n_hits, 24), ["doc_id", "_h1", "_h2"], "left_semi").join(hits.withColumnRenamed("rep", "doc_id"), ["doc_id", "_h1", "_h2"])
+                x = Units(b.column("_t").to_pylist())
+                off = pa.array(np.searchsorted(x.text, np.arange(b.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (x.at, x.n, x.line, x.u)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), *lists], names=["doc_id", "_h1", "_h2", "at", "n", "line", "u"])
 
-    def cut(batches):
-        names = ["rep", "at", "u", "fp", "e"]
+    seen = keyed.mapInArrow(listed, "doc_id long, _h1 long, _h2 long, at array<int>, n array<int>, line array<boolean>, u array<long>")
+    texts = written(seen.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("at").alias("at"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("u").alias("u")), "pg-texts")
+    placed = texts.select("rep", "_h1", "_h2", F.explode(F.arrays_zip("at", "n", "line", "u")).alias("r")).select("rep", "_h1", "_h2", "r.at", "r.n", "r.line", "r.u")
+
+    def banded(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 b = batch.slice(k, 128)
-                _, _, of, s, _, _ = _runs(b.column("_t").to_pylist())
-                first = np.searchsorted(of, np.arange(b.num_rows))
-                cols: list[list] = [[] for _ in names]
-                for x, (i, rs) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(), strict=True)):
-                    for r in rs:
-                        p = first[x] + r["at"]
-                        e = np.unique(s[p : p + SLIDE])
-                        for c, v in zip(cols, (i, r["at"], xxhash.xxh3_64_intdigest(e.tobytes()) - (1 << 63), r["fp"], e.view(np.int64)), strict=True):
-                            c.append(v)
-                off = pa.array(np.cumsum([0, *(len(e) for e in cols[4])]).astype(np.int32))
-                e = pa.ListArray.from_arrays(off, pa.array(np.concatenate(cols[4]) if cols[4] else np.zeros(0), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(cols[:4], (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)), e], names=names)
-
-    placed = written(wanted.select("doc_id", "_t", "runs").mapInArrow(cut, "rep long, at int, u long, fp long, e array<long>"), "pg-placed")
-    forget(often, hits)
-    # A unit is a set of runs under an anchor: equal paragraphs are one.
-    units = written(placed.groupBy("fp", "u").agg(F.first("e").alias("e"), F.min(F.struct("rep", "at")).alias("first"), F.max("rep").alias("last")), "pg-units")
-    several = written(units.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "pg-several")
-    tried = units.join(several, "fp").select("fp", F.xxhash64("fp", "u").alias("u"), "e", "k")
-    direct = tried.where(F.col("k") <= blocks.BLOCK).select(F.col("fp").alias("g"), "u", "e")
-
-    def sub_bands(batches):
+                x = Units(b.column("_t").to_pylist())
+                some, keys = x.bands()
+                of = b.column("_h1").to_numpy()[x.text[some]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(x.u[some], BANDS)), pa.array(np.repeat(of, BANDS))], names=["key", "u", "text"])
+
+    def met(batches):
+        """Groups of different units of different texts under one key; the group's name is a hash of its units, so equal groups are one."""
+        key, u, text = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32))
         for batch in batches:
-            es, fps = batch.column("e").to_pylist(), batch.column("fp").to_numpy()
-            keys = np.zeros((batch.num_rows, SUB_BANDS), dtype=np.uint64)
-            for x, e in enumerate(es):
-                v = np.array(e, dtype=np.int64).view(np.uint64)
-                low = mix(v[None, :] ^ mix(np.arange(1, 1 + SUB_BANDS * SUB_ROWS, dtype=np.uint64))[:, None]).min(axis=1).reshape(SUB_BANDS, SUB_ROWS)
-                keys[x] = mix(mix(low[:, 0]) + low[:, 1] * U(3) + np.arange(SUB_BANDS, dtype=np.uint64) + U(int(fps[x]) & (2**64 - 1)))
-            off = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SUB_BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("e"), pa.ListArray.from_arrays(off, pa.array(keys.ravel().view(np.int64)))], names=["u", "e", "keys"])
-
-    cut_further = tried.where(F.col("k") > blocks.BLOCK).select("fp", "u", "e").mapInArrow(sub_bands, "u long, e array<long>, keys array<long>")
-    groups = written(direct.unionByName(cut_further.select(F.explode("keys").alias("g"), "u", "e")), "pg-groups")
-    crowded = written(blocks.crowds(groups), "pg-crowded")
-    links = written(blocks.forest(blocks.tiled(groups, crowded), 2 * parts, TENTHS), "pg-links")
-    comps = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
-    told = written(units.select("fp", "u", "first", "last", F.xxhash64("fp", "u").alias("id")).join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")), "pg-told")
-    forget(groups, crowded, links, several, units)
-    kept = told.groupBy("c").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where(F.col("keep.rep") != F.col("last"))
-    clusters = written(told.join(kept.select("c", "keep"), "c").select("fp", "u", "keep"), "pg-clusters")
+            key, u, text = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((key, "key"), (u, "u"), (text, "text")))
+            full = np.searchsorted(key, key[-1]) if len(key) else 0
+            yield from groups_of(key[:full], u[:full], text[:full])
+            key, u, text = key[full:], u[full:], text[full:]
+            if len(key) > 1 << 16:  # one key: a row for each unit and text, two texts are enough
+                order = np.lexsort((text, u))
+                u, text = u[order], text[order]
+                head = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                least = np.unique(np.concatenate((head, np.append(head[1:], len(u)) - 1)))
+                key, u, text = key[: len(least)], u[least], text[least]
+        yield from groups_of(key, u, text)
+
+    def groups_of(key, u, text):
+        if not len(key):
+            return
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        good = (np.minimum.reduceat(u, head) != np.maximum.reduceat(u, head)) & (np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head))
+        ends = np.append(head[1:], len(key))
+        gs, us = [], []
+        for a, b in zip(head[good].tolist(), ends[good].tolist(), strict=True):
+            members = np.unique(u[a:b])
+            gs.append(np.full(len(members), xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63), dtype=np.int64))
+            us.append(members)
+        if gs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs)), pa.array(np.concatenate(us))], names=["g", "u"])
+
+    keys = keyed.select("_t", "_h1").mapInArrow(banded, "key long, u long, text int").repartition(parts, "key").sortWithinPartitions("key")
+    groups = written(keys.mapInArrow(met, "g long, u long").distinct(), "pg-groups")
+    tried = groups.select("u").distinct().withColumn("tried", F.lit(True))
+    # Units in several texts, or tried.
+    every = placed.groupBy("u").agg(F.min(F.struct("rep", "at", "n", "_h1", "_h2")).alias("first"), F.max("rep").alias("last"))
+    units = written(every.join(tried, "u", "left").where("tried OR first.rep != last"), "pg-units")
+    hits = written(units.where("tried").groupBy(F.col("first.rep").alias("doc_id"), F.col("first._h1").alias("_h1"), F.col("first._h2").alias("_h2")).agg(F.collect_set("u").alias("us")), "pg-hits")
+    wanted = keyed.join(small_side(hits, *hits.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("us")) * 8 + 24, F.lit(0))).first()), ["doc_id", "_h1", "_h2"])
+
+    def cut(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                b = batch.slice(k, 128)
+                x = Units(b.column("_t").to_pylist())
+                ends = np.searchsorted(x.text, np.arange(b.num_rows + 1))
+                us, es = [], []
+                for j, want in enumerate(b.column("us").to_pylist()):
+                    mine, at = np.unique(x.u[ends[j] : ends[j + 1]], return_index=True)
+                    for i in at[np.isin(mine, np.array(want, dtype=np.int64))].tolist():
+                        us.append(x.u[ends[j] + i])
+                        es.append(x.runs_of(ends[j] + i).view(np.int64))
+                if us:
+                    off = pa.array(np.cumsum([0, *map(len, es)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(us)), pa.ListArray.from_arrays(off, pa.array(np.concatenate(es)))], names=["u", "o"])
+
+    # Rows with one id and text are the same, and any of them will do.
+    sets = written(wanted.select("_t", "us").mapInArrow(cut, "u long, o array<long>").dropDuplicates(["u"]), "pg-sets")
+    members = written(groups.join(sets, "u").select("g", "u", F.array_distinct("o").alias("e")), "pg-members")
+    crowded = written(blocks.crowds(members), "pg-crowded")
+    links = written(blocks.forest(blocks.tiled(members, crowded), 2 * parts, TENTHS), "pg-links")
+    forget(groups, hits, members, crowded)
+    comps = connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("c"))
+    told = written(units.select("u", "first", "last").join(comps, "u", "left").withColumn("near", F.col("c").isNotNull()).withColumn("c", F.coalesce("c", "u")), "pg-told")
+    forget(links, units)
+    kept = told.groupBy("c").agg(F.min(F.struct("first.rep", "first.at", "first.n")).alias("keep"), F.max("last").alias("last")).where(F.col("keep.rep") != F.col("last"))
+    clusters = written(told.join(kept.select("c", "keep"), "c").select("c", "u", "near", "keep", "first", "last"), "pg-clusters")
     forget(told)
-    spots = placed.select("rep", "at", "fp", "u").join(clusters, ["fp", "u"]).select("rep", "at", F.col("keep.rep").alias("keeper"), ((F.col("rep") != F.col("keep.rep")) | (F.col("at") != F.col("keep.at"))).alias("gone"))
-    by_text = spots.groupBy("rep").agg(F.collect_list(F.struct("at", "keeper", "gone")).alias("spots"))
+    # Of units in one text, the runs that another text of the cluster has.
+    runs = clusters.where("near").join(sets, "u").select("c", "u", F.col("first.rep").alias("rep"), "last", F.posexplode("o").alias("k", "x"))
+    common = runs.groupBy("c", "x").agg(F.min("rep").alias("a"), F.max("last").alias("b")).where("a != b").select("c", "x")
+    trims = written(runs.where("rep = last").join(common, ["c", "x"]).groupBy("u").agg(F.min("k").alias("lo"), (F.max("k") + SHINGLE_WORDS).alias("hi")), "pg-trims")
+    whole = clusters.select("u", "keep", (F.col("near") & (F.col("first.rep") == F.col("last"))).alias("only_near"))
+    # What overlaps the kept paragraph in its own text stays with it.
+    stays = (F.col("rep") == F.col("keep.rep")) & (F.col("at") < F.col("keep.at") + F.col("keep.n")) & (F.col("at") + F.col("n") > F.col("keep.at"))
+    spots = placed.join(whole.join(trims, "u", "left"), "u").where("line OR NOT only_near OR lo IS NOT NULL").withColumn("cut", F.expr("only_near AND NOT line"))
+    spots = spots.select("rep", F.expr("IF(cut, at + lo, at)").alias("at"), F.expr("IF(cut, hi - lo, n)").alias("n"), F.col("keep.rep").alias("keeper"), (~stays).alias("gone"))
+    by_text = spots.groupBy("rep").agg(F.collect_list(F.struct("at", "n", "keeper", "gone")).alias("spots"))
 
     def passages(batches):
         for batch in batches:
@@ -163,15 +255,15 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
                 now = None
                 for s in sorted(spots, key=lambda s: (s["keeper"], s["gone"], s["at"])):
                     if now and now[1:3] == [s["keeper"], s["gone"]] and s["at"] <= now[4]:
-                        now[4] = max(now[4], s["at"] + WORDS)
+                        now[4] = max(now[4], s["at"] + s["n"])
                     else:
-                        now = [i, s["keeper"], s["gone"], s["at"], s["at"] + WORDS]
+                        now = [i, s["keeper"], s["gone"], s["at"], s["at"] + s["n"]]
                         rows.append(now)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] - r[3] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])], names=["rep", "first_word", "n_words", "keeper_id", "removed"])
 
     found = written(by_text.mapInArrow(passages, "rep long, first_word int, n_words int, keeper_id long, removed boolean"), "pg-found")
-    forget(clusters, placed)
+    forget(clusters, trims, sets)
     single = found.join(texts.select("rep", "copies"), "rep").where("copies = 1").select(F.col("rep").alias("doc_id"), "first_word", "n_words", "keeper_id", "removed")
     # Copies: whole texts, kept in the first.
     copied = keyed.select("doc_id", "_h1", "_h2", F.size(F.filter(F.split("_t", "[\\x00-\\x20]+"), lambda w: w != "")).alias("n_words")).where(f"n_words >= {WORDS}")

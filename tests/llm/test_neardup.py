@@ -131,3 +131,17 @@ def test_crowded_bands(spark, monkeypatch):
 
 def test_empty(spark):
     assert P.repeated_paragraphs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bands_find_near_units():
+    r = random.Random(4)
+    hit = 0
+    for _ in range(1500):
+        x = [str(r.random()) for _ in range(94)]  # 90 runs; two edits of five runs each: 80 of 100 in common
+        y = list(x)
+        for at in (2 + r.randint(2, 40), 50 + r.randint(0, 35)):
+            y[at] = "new"
+        a, b = (P.Units([" ".join(z)]) for z in (x, y))
+        (i, p), (j, q) = a.bands(), b.bands()
+        hit += bool((p[np.flatnonzero(a.n[i] == 94)[0]] == q[np.flatnonzero(b.n[j] == 94)[0]]).any())
+    assert hit >= 0.985 * 1500
