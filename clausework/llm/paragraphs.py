@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs repeated across documents.
 
-A text's units are stretches of 24 words that
+A text's units are its lines that have words, the whole of it if it has under 24 words, and stretches of 24 words that
 begin at the smallest of the hashes of five words in a window, so equal passages of 47 words or more, wherever they stand,
 have a unit in common. Units are sets of runs of five words (one of under five words is one run, so only equal ones are
 near). Bands of MinHashes over all runs of a unit, tuned to miss a pair at 0.8 with chance 0.7 %, give candidates; the
@@ -92,7 +92,6 @@ class Units:
         count = np.diff(first)
         lines = np.bincount(of[new], minlength=len(texts))
         short = np.flatnonzero((lines > 1) & (count < WORDS))
-        new, size, short = new[:0], size[:0], short[:0]
         at = [new, first[short], *(first[k] + a for k, (_, a) in enumerate(anchors))]
         n = [size, count[short], np.full(sum(len(a) for _, a in anchors), WORDS)]
         at, n = np.concatenate(at).astype(np.int64), np.concatenate(n).astype(np.int64)
@@ -141,7 +140,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
     keeper_id: the document that keeps the cluster's first paragraph (smallest id, then place). Consecutive paragraphs of a
     document with one keeper that overlap or touch are one passage. Equal texts: all copies have the rows of the first, and
-    a text of 24 words or more with copies repeats wholly. A paragraph repeated only inside one text is left alone. Null texts are
+    a text with words and copies repeats wholly. A paragraph repeated only inside one text is left alone. Null texts are
     empty; rows with a null id take part in the search but are not returned. Empty input: no rows.
     """
     spark = docs.sparkSession
@@ -266,7 +265,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     forget(clusters, trims, sets)
     single = found.join(texts.select("rep", "copies"), "rep").where("copies = 1").select(F.col("rep").alias("doc_id"), "first_word", "n_words", "keeper_id", "removed")
     # Copies: whole texts, kept in the first.
-    copied = keyed.select("doc_id", "_h1", "_h2", F.size(F.filter(F.split("_t", "[\\x00-\\x20]+"), lambda w: w != "")).alias("n_words")).where(f"n_words >= {WORDS}")
+    copied = keyed.select("doc_id", "_h1", "_h2", F.size(F.filter(F.split("_t", "[\\x00-\\x20]+"), lambda w: w != "")).alias("n_words")).where("n_words > 0")
     several_texts = texts.where("copies > 1").select("_h1", "_h2", "rep")
     whole = copied.join(several_texts, ["_h1", "_h2"]).select("doc_id", F.lit(0).alias("first_word"), "n_words", F.col("rep").alias("keeper_id"), (F.col("doc_id") != F.col("rep")).alias("removed"))
     firsts = found.join(texts.where("copies > 1").select("rep"), "rep").select(F.col("rep").alias("doc_id"), "first_word", "n_words", "keeper_id", "removed")

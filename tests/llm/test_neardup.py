@@ -133,6 +133,34 @@ def test_empty(spark):
     assert P.repeated_paragraphs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def runs_of(words):
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_and_short_lines_against_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    lines, rows = [], []
+    for k in range(120):
+        n = r.choice([1, 2, 4, 5, 9, 15, 24, 30, 50, 80])
+        x = [word() for _ in range(n)]
+        y = list(x)
+        if k % 3 and n > 5:
+            y[r.choice([0, n - 1, n // 2])] = word()  # an edit at the start, the end or in the middle
+        lines.append((x, y))
+        rows.append((2 * k, "\n".join(" ".join(z) for z in ([word() for _ in range(7)], x, [word() for _ in range(3)]))))
+        rows.append((2 * k + 1, "\n".join(" ".join(z) for z in (y, [word() for _ in range(8)]))))
+    rows += [(900, "just two"), (901, "just two"), (902, ""), (903, "")]
+    got = {x.doc_id: x for x in P.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.removed}
+    near = {k for k, (x, y) in enumerate(lines) if 10 * len(runs_of(x) & runs_of(y)) >= 8 * len(runs_of(x) | runs_of(y))}
+    missed = [k for k in near if 2 * k + 1 not in got]
+    assert len(near) > 60 and len(missed) <= 1, missed
+    for k in near - set(missed):
+        x = got[2 * k + 1]
+        assert (x.first_word, x.n_words, x.keeper_id) == (0, len(lines[k][1]), 2 * k)
+    assert got[901].keeper_id == 900 and got[901].n_words == 2 and 902 not in got and 903 not in got
+
+
 def test_bands_find_near_units():
     r = random.Random(4)
     hit = 0
