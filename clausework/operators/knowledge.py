@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +12,17 @@ from ..functions import text as X
 from ..plans.lineage import cut
 
 
-def closure(pairs: DataFrame, *, rounds: int = 64) -> DataFrame:
-    """Transitive closure of (a, b) with the length of a shortest path and one such path. Cycles are fine: only new pairs are followed."""
+def closure(pairs: DataFrame) -> DataFrame:
+    """Transitive closure of (a, b) with the length of a shortest path and one such path. Cycles are fine: only new pairs are followed, until there are none."""
     start = pairs.select("a", "b").distinct().select("a", "b", F.lit(1).alias("hops"), F.array("a", "b").alias("path"))
     done = fresh = cut(start)
     step = start.select(F.col("a").alias("b"), F.col("b").alias("to"))
-    for k in range(2, rounds + 1):
+    for k in count(2):
         nxt = fresh.join(step, "b").groupBy("a", "to").agg(F.min(F.concat("path", F.array("to"))).alias("path"))
         nxt = cut(nxt.select("a", F.col("to").alias("b"), F.lit(k).alias("hops"), "path").join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if nxt.isEmpty():
-            break
+            return done
         done, fresh = cut(done.unionByName(nxt)), nxt
-    return done
 
 
 def answers(facts: DataFrame, questions: DataFrame) -> DataFrame:

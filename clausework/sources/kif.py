@@ -47,17 +47,16 @@ def arities(sig: DataFrame) -> DataFrame:
     return sig.groupBy("term").agg(F.max("position").alias("arity"))
 
 
-def inherited_arities(arity: DataFrame, parents: DataFrame, *, rounds: int = 64) -> DataFrame:
+def inherited_arities(arity: DataFrame, parents: DataFrame) -> DataFrame:
     """(term, arity): terms without an arity take that of the nearest parent relation (child, parent) that has one; NULL if none has. Smallest on a tie."""
     terms = arity.select("term").unionByName(parents.select(F.col("child").alias("term"))).unionByName(parents.select(F.col("parent").alias("term"))).distinct()
     known = terms.join(arity, "term", "left")
-    for _ in range(rounds):
+    while True:
         up = parents.join(known.where("arity IS NOT NULL").select(F.col("term").alias("parent"), F.col("arity").alias("a")), "parent").groupBy(F.col("child").alias("term")).agg(F.min("a").alias("a"))
         nxt = cut(known.join(up, "term", "left").select("term", F.coalesce("arity", "a").alias("arity")))
         if nxt.where("arity IS NOT NULL").count() == known.where("arity IS NOT NULL").count():
             return nxt
         known = nxt
-    return known
 
 
 def documentation(lines: DataFrame) -> DataFrame:

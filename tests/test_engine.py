@@ -10,6 +10,7 @@ from clausework.functions import cnl as C
 from clausework.operators import knowledge as K
 from clausework.operators import segment as S
 from clausework.plans import catalog
+from clausework.sources import kif as KIF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -95,3 +96,12 @@ def test_stream_routes(spark, tmp_path):
     q.stop()
     assert {(r.route, r.text) for r in spark.read.parquet(out).collect()} == {("candidate", rows[0][1]), ("reject", rows[2][1]), ("abstain", rows[3][1])}
     assert spark.read.parquet(out).count() == 3
+
+
+def test_deep_chains_are_followed_to_their_end(spark):
+    edges = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(66)], "a string, b string")
+    got = {(r.a, r.b): r.hops for r in K.closure(edges).where("a = 'n000'").collect()}
+    assert len(got) == 66 and got["n000", "n066"] == 66
+    known = spark.createDataFrame([("n066", 3)], "term string, arity int")
+    up = KIF.inherited_arities(known, edges.selectExpr("a AS child", "b AS parent"))
+    assert {r.arity for r in up.collect()} == {3}
