@@ -173,14 +173,14 @@ def flt_scope_focus(spark, d):
 
 @query(values(FX.DEFINITIONS, ["id", "sentence", "reason", "subject", "head"], "SELECT id, reason, subject, head"))
 def flt_definition_head(spark, d):
-    """FLT-09, FLT-10"""
+    """FLT-09"""
     t = FX.frame(spark, FX.DEFINITIONS, "id int, sentence string, reason string, subject string, head string")
     return t.select("id", *[c.alias(k) for k, c in X.definition_head(F.col("sentence")).items()])
 
 
 @query(values(FX.COMPOUNDS, ["id", "sentence", "parts"], "SELECT id, parts"))
 def prj_decompose(spark, d):
-    """PRJ-13, FLT-04 (first pass)"""
+    """PRJ-13 in part: one split at semicolons or a relative clause"""
     return S.decomposed(FX.frame(spark, FX.COMPOUNDS, "id int, sentence string, want string")).select("id", F.array_join("parts", "|").alias("parts"))
 
 
