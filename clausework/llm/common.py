@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -16,11 +17,13 @@ U = np.uint64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset: a folder of our own if the master is this machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = "/tmp/clausework-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -45,6 +48,25 @@ def forget(*tables: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def counted(df: DataFrame, name: str, size: Column | None = None) -> tuple[DataFrame, int] | tuple[DataFrame, int, int]:
+    """df written, with its number of rows and, if a size is given, the largest one."""
+    out = written(df, name)
+    if size is None:
+        return out, out.count()
+    return out, *out.agg(F.count(F.lit(1)), F.coalesce(F.max(size), F.lit(0))).first()
+
+
+def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads these scratch tables; clean_up(df) deletes them when it is no longer needed."""
+    df._clausework_owned = [*getattr(df, "_clausework_owned", []), *tables]
+    return df
+
+
+def clean_up(df: DataFrame) -> None:
+    """Delete the scratch tables that a result of these operators reads. The result can't be read after that."""
+    forget(df, *getattr(df, "_clausework_owned", []))
+
+
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 16 << 20
 
@@ -150,30 +172,31 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         twice = cur.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
         if not twice and not cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
-        nxt = written(_small_star(_large_star(cur, n), n), "cc")
-        forget(cur)
-        cur = nxt
+        used: list[DataFrame] = [cur]
+        cur = written(_small_star(_large_star(cur, n, used), n, used), "cc")
+        forget(*used)
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return owning(cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), cur)
 
 
-def _with_min(pairs: DataFrame, n: int) -> DataFrame:
-    """pairs(u, v) with m, the smallest of u and its v."""
+def _with_min(pairs: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
+    """pairs(u, v) with m, the smallest of u and its v. What is written goes on the list `used`."""
     least = written(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("k")), "ccmin")
+    used.append(least)
     hub = max(64, n // 1000)
     hubs = least.where(F.col("k") > hub).select("u", "m")  # at most 2 n / hub rows
     rest = least.where(F.col("k") <= hub).select("u", "m")
     return pairs.join(F.broadcast(hubs), "u").unionByName(pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(rest, "u"))
 
 
-def _large_star(cur: DataFrame, n: int) -> DataFrame:
+def _large_star(cur: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
     both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    got = _with_min(both, n)
+    got = _with_min(both, n, used)
     return got.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(cur: DataFrame, n: int) -> DataFrame:
-    got = _with_min(cur, n)
+def _small_star(cur: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
+    got = _with_min(cur, n, used)
     return got.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()

@@ -1,113 +1,96 @@
 """Substring dedup: paragraphs repeated across documents.
 
-A text's units are its lines that have words, the whole of it if it has under 24 words, and stretches of 24 words that
-begin at the smallest of the hashes of five words in a window, so equal passages of 47 words or more, wherever they stand,
-have a unit in common. Units are sets of runs of five words (one of under five words is one run, so only equal ones are
-near). Bands of MinHashes over all runs of a unit, tuned to miss a pair at 0.8 with chance 0.7 %, give candidates; the
-exact Jaccard similarity decides, and components of links are clusters. In each cluster the first paragraph stays, the
-others go. A line goes whole; a stretch that is only near others goes from its first to its last run that another text has.
+A text's paragraphs are its lines of `line_words` words or more, the whole of it if it has under 20 words, and stretches of
+20 words that begin at the smallest of the hashes of five words in a window, so equal passages of 35 words or more, wherever
+they stand in a line, have a stretch in common (31 and more nearly always). A paragraph is a set of runs of five words (one
+of under five words is one run, so only equal ones are near). Equal paragraphs meet by their hash. Lines and short texts
+also meet in bands of MinHashes over all their runs, tuned to miss a pair at 0.8 with chance 0.7 %; the exact Jaccard
+similarity decides, and components of links are clusters. In each cluster the first paragraph stays, the others go.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import SHINGLE_WORDS, U, _STEP, connected_components, forget, mix, small_side, text_key, word_hashes, written
+from .common import SHINGLE_WORDS, U, _STEP, clean_up, connected_components, counted, forget, mix, owning, small_side, text_key, word_hashes, written
 
-WORDS = 24
-#: Runs of five words among which an anchor is the smallest: 24 words.
-SLIDE = WORDS - SHINGLE_WORDS + 1
+WORDS = 20
+#: Runs of five words among which an anchor is the smallest: 16 words.
+SLIDE = 12
 #: At 0.8 a band of three is equal with chance 0.512, and all of seven differ with 0.0066.
 BANDS, ROWS = 7, 3
 TENTHS = 8
+#: Lines of fewer words recur in documents that share nothing else (40 in 100 of those in a test corpus have such a line).
+LINE_WORDS = 20
+_NONE = np.zeros(0, dtype=np.int64)
 
 
-def _runs(texts: list[str | None]):
-    """Words' first and last bytes, runs' hashes and their texts' numbers, of texts laid end to end; a run starts at each word that has four more in its text."""
-    h, of, start, end, data = word_hashes(texts)
-    n = len(h) - SHINGLE_WORDS + 1
+def _anchors(runs: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Words at which a stretch begins that lies wholly in its text."""
+    span = SLIDE + SHINGLE_WORDS - 1
+    n = len(of) - span + 1
     if n <= 0:
-        z = np.zeros(0, dtype=np.int64)
-        return start, end, of, z.view(np.uint64), z, data
-    s = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE_WORDS):
-        s += h[k : k + n] * _STEP[k]
-    return start, end, of, mix(s), np.flatnonzero(of[:n] == of[SHINGLE_WORDS - 1 :]), data
-
-
-def paragraph_anchors(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the anchors and their words' numbers, of paragraphs that lie wholly in it."""
-    _, _, of, s, _, _ = _runs(texts)
-    none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
-    n = len(of) - WORDS + 1
-    if n <= 0:
-        return [none] * len(texts)
-    m = s
-    width = 1
+        return _NONE
+    m, width = runs, 1
     while 2 * width <= SLIDE:
         m = np.minimum(m[: len(m) - width], m[width:])
         width *= 2
     if SLIDE > width:
         m = np.minimum(m[: len(m) - (SLIDE - width)], m[SLIDE - width :])
     m = m[:n]
-    whole = of[:n] == of[WORDS - 1 :]
+    whole = of[:n] == of[span - 1 :]
     new = whole.copy()
     new[1:] &= (m[1:] != m[:-1]) | ~whole[:-1]
     w = np.flatnonzero(new)  # a window whose smallest is not that of the one before
-    # The first place in the window with that hash.
-    at = w.copy()
-    left = np.ones(len(w), dtype=bool)
-    for k in range(SLIDE):
-        hit = left & (s[np.minimum(w + k, len(s) - 1)] == m[w])
-        at[hit] = w[hit] + k
+    at, left = w.copy(), np.ones(len(w), dtype=bool)
+    for k in range(SLIDE):  # the first place in the window with that hash
+        hit = left & (runs[w + k] == m[w])
+        at[hit] += k
         left &= ~hit
         if not left.any():
             break
-    fits = at + WORDS <= len(of)
-    fits[fits] = of[at[fits]] == of[at[fits] + WORDS - 1]
-    at = np.unique(at[fits])
-    first = np.searchsorted(of, np.arange(len(texts)))
-    cuts = np.searchsorted(of[at], np.arange(len(texts) + 1))
-    fp = s[at].view(np.int64)
-    return [(fp[a:b], (at[a:b] - first[k]).astype(np.int32)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    at = np.unique(at[at + WORDS <= len(of)])
+    return at[of[at] == of[at + WORDS - 1]]
 
 
 class Units:
-    """Units of texts laid end to end, in order of text: text number, first word in it, number of words, whether it is a line or whole text, hash u of the runs, and the place of the runs among all."""
+    """Paragraphs of texts laid end to end, in order of text: text number, first word in it, number of words, whether it is a line or whole text, hash u of the runs, and the place of the runs among all."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], line_words: int = LINE_WORDS):
         h, of, start, _, data = word_hashes(texts)
         words = len(h)
-        anchors = paragraph_anchors(texts)
-        first = np.searchsorted(of, np.arange(len(texts) + 1))
+        self.words = np.bincount(of, minlength=len(texts)) if words else np.zeros(len(texts), dtype=np.int64)
+        first = np.concatenate(([0], np.cumsum(self.words)))[:-1]
+        # Runs of five words from each word on.
+        runs = np.zeros(words, dtype=np.uint64)
+        full = max(0, words - SHINGLE_WORDS + 1)
+        for k in range(SHINGLE_WORDS):
+            runs[:full] += h[k : k + full] * _STEP[k]
+        runs = mix(runs)
         line = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10)[start]
-        new = np.flatnonzero(np.diff(line, prepend=-1)) if words else np.zeros(0, dtype=np.int64)
+        new = np.flatnonzero(np.diff(line, prepend=-1)) if words else _NONE
         size = np.diff(np.append(new, words))
-        # Whole short texts that are more than a line.
-        count = np.diff(first)
         lines = np.bincount(of[new], minlength=len(texts))
-        short = np.flatnonzero((lines > 1) & (count < WORDS))
-        at = [new, first[short], *(first[k] + a for k, (_, a) in enumerate(anchors))]
-        n = [size, count[short], np.full(sum(len(a) for _, a in anchors), WORDS)]
-        at, n = np.concatenate(at).astype(np.int64), np.concatenate(n).astype(np.int64)
-        keep = np.unique(at * (words + 1) + n) if words else np.zeros(0, dtype=np.int64)
-        own = len(new) + len(short)
-        self.line = np.isin(keep, at[:own] * (words + 1) + n[:own])
-        at, n = keep // (words + 1), keep % (words + 1)
-        # Runs of five words from each word on, then one run for each unit of fewer words.
-        runs = np.zeros(words, dtype=np.uint64)
-        for k in range(SHINGLE_WORDS):
-            runs[: max(0, words - SHINGLE_WORDS + 1)] += h[k : k + max(0, words - SHINGLE_WORDS + 1)] * _STEP[k]
-        few = np.flatnonzero(n < SHINGLE_WORDS)
+        short = self.words < WORDS
+        keep = (size >= line_words) | (short[of[new]] & (lines[of[new]] == 1))
+        several = np.flatnonzero(short & (lines > 1))  # whole short texts that are more than a line
+        anchors = _anchors(runs[:full], of)
+        at = np.concatenate((new[keep], first[several], anchors)).astype(np.int64)
+        n = np.concatenate((size[keep], self.words[several], np.full(len(anchors), WORDS))).astype(np.int64)
+        own = int(keep.sum()) + len(several)
+        code, back = np.unique(at * (words + 1) + n, return_inverse=True)
+        self.line = np.zeros(len(code), dtype=bool)
+        self.line[back[:own]] = True
+        at, n = code // (words + 1), code % (words + 1)
+        few = np.flatnonzero(n < SHINGLE_WORDS)  # one run for each of fewer words
         tail = np.zeros(len(few), dtype=np.uint64)
         for k in range(SHINGLE_WORDS - 1):
             tail += np.where(k < n[few], h[np.minimum(at[few] + k, max(0, words - 1))], U(0)) * _STEP[k] if words else U(0)
-        self.runs = mix(np.concatenate((runs, tail)))
+        self.runs = np.concatenate((runs, mix(tail)))
         self.lo, self.hi = at.copy(), at + n - SHINGLE_WORDS + 1
         self.lo[few] = words + np.arange(len(few))
         self.hi[few] = self.lo[few] + 1
@@ -118,8 +101,8 @@ class Units:
         self.at, self.n = (at - first[self.text]).astype(np.int32), n.astype(np.int32)
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """Units of five words or more, and their keys (BANDS for each)."""
-        some = np.flatnonzero(~self.few)
+        """Lines and whole texts of five words or more, and their keys (BANDS for each)."""
+        some = np.flatnonzero(~self.few & self.line)
         keys = np.zeros((len(some), BANDS), dtype=np.uint64)
         if len(some):
             ends = np.stack((self.lo[some], self.hi[some]), axis=1).ravel()
@@ -135,141 +118,120 @@ class Units:
         return self.runs[self.lo[k] : self.hi[k]]
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+def _lists(of: np.ndarray, n: int, *values: np.ndarray, each: int = 1) -> list[pa.ListArray]:
+    """values, whose texts' numbers are `of` (in order), as a list for each of n texts."""
+    off = pa.array((np.searchsorted(of, np.arange(n + 1)) * each).astype(np.int32))
+    return [pa.ListArray.from_arrays(off, pa.array(v)) for v in values]
+
+
+def repeated_paragraphs(docs: DataFrame, *, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, first_word, n_words, keeper_id, removed) for each repeated passage of each document.
 
-    keeper_id: the document that keeps the cluster's first paragraph (smallest id, then place). Consecutive paragraphs of a
-    document with one keeper that overlap or touch are one passage. Equal texts: all copies have the rows of the first, and
-    a text with words and copies repeats wholly. A paragraph repeated only inside one text is left alone. Null texts are
-    empty; rows with a null id take part in the search but are not returned. Empty input: no rows.
+    keeper_id: the smallest id of a document with a paragraph of the cluster; there the first one stays. Consecutive
+    paragraphs of a document with one keeper that overlap or touch are one passage. Equal texts: all copies repeat wholly
+    (a text without words has no row), and the passages inside are told for the first copy only. A paragraph repeated only
+    inside one text is left alone. Null texts are empty; rows with a null id take part in the search, are never keepers
+    unless all in a cluster are, and are not returned. A repeated row is a copy. Paragraphs are told apart by 64-bit hashes,
+    texts by 128 bits. Empty input: no rows.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), *text_key(F.col("text")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), *text_key(F.col("text")))
 
     def listed(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 b = batch.slice(k, 128)
-                x = Units(b.column("_t").to_pylist())
-                off = pa.array(np.searchsorted(x.text, np.arange(b.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (x.at, x.n, x.line, x.u)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), *lists], names=["doc_id", "_h1", "_h2", "at", "n", "line", "u"])
-
-    seen = keyed.mapInArrow(listed, "doc_id long, _h1 long, _h2 long, at array<int>, n array<int>, line array<boolean>, u array<long>")
-    texts = written(seen.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("at").alias("at"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("u").alias("u")), "pg-texts")
-    placed = texts.select("rep", "_h1", "_h2", F.explode(F.arrays_zip("at", "n", "line", "u")).alias("r")).select("rep", "_h1", "_h2", "r.at", "r.n", "r.line", "r.u")
-
-    def banded(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                b = batch.slice(k, 128)
-                x = Units(b.column("_t").to_pylist())
+                x = Units(b.column("_t").to_pylist(), line_words)
                 some, keys = x.bands()
-                of = b.column("_h1").to_numpy()[x.text[some]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(x.u[some], BANDS)), pa.array(np.repeat(of, BANDS))], names=["key", "u", "text"])
-
-    def met(batches):
-        """Groups of different units of different texts under one key; the group's name is a hash of its units, so equal groups are one."""
-        key, u, text = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32))
-        for batch in batches:
-            key, u, text = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((key, "key"), (u, "u"), (text, "text")))
-            full = np.searchsorted(key, key[-1]) if len(key) else 0
-            yield from groups_of(key[:full], u[:full], text[:full])
-            key, u, text = key[full:], u[full:], text[full:]
-            if len(key) > 1 << 16:  # one key: a row for each unit and text, two texts are enough
-                order = np.lexsort((text, u))
-                u, text = u[order], text[order]
-                head = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-                least = np.unique(np.concatenate((head, np.append(head[1:], len(u)) - 1)))
-                key, u, text = key[: len(least)], u[least], text[least]
-        yield from groups_of(key, u, text)
-
-    def groups_of(key, u, text):
-        if not len(key):
-            return
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        good = (np.minimum.reduceat(u, head) != np.maximum.reduceat(u, head)) & (np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head))
-        ends = np.append(head[1:], len(key))
-        gs, us = [], []
-        for a, b in zip(head[good].tolist(), ends[good].tolist(), strict=True):
-            members = np.unique(u[a:b])
-            gs.append(np.full(len(members), xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63), dtype=np.int64))
-            us.append(members)
-        if gs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs)), pa.array(np.concatenate(us))], names=["g", "u"])
-
-    keys = keyed.select("_t", "_h1").mapInArrow(banded, "key long, u long, text int").repartition(parts, "key").sortWithinPartitions("key")
-    groups = written(keys.mapInArrow(met, "g long, u long").distinct(), "pg-groups")
-    tried = groups.select("u").distinct().withColumn("tried", F.lit(True))
-    # Units in several texts, or tried.
-    every = placed.groupBy("u").agg(F.min(F.struct("rep", "at", "n", "_h1", "_h2")).alias("first"), F.max("rep").alias("last"))
-    units = written(every.join(tried, "u", "left").where("tried OR first.rep != last"), "pg-units")
-    hits = written(units.where("tried").groupBy(F.col("first.rep").alias("doc_id"), F.col("first._h1").alias("_h1"), F.col("first._h2").alias("_h2")).agg(F.collect_set("u").alias("us")), "pg-hits")
-    wanted = keyed.join(small_side(hits, *hits.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("us")) * 8 + 24, F.lit(0))).first()), ["doc_id", "_h1", "_h2"])
+                lists = [*_lists(x.text, b.num_rows, x.at, x.n, x.u), *_lists(x.text[some], b.num_rows, x.u[some]), *_lists(x.text[some], b.num_rows, keys.ravel(), each=BANDS)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), pa.array(x.words.astype(np.int32)), *lists], names=["doc_id", "_h1", "_h2", "words", "at", "n", "u", "lu", "keys"])
+
+    seen = keyed.mapInArrow(listed, "doc_id long, _h1 long, _h2 long, words int, at array<int>, n array<int>, u array<long>, lu array<long>, keys array<long>")
+    firsts = [F.first(c).alias(c) for c in ("words", "at", "n", "u", "lu", "keys")]
+    texts = written(seen.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *firsts), "pg-texts")
+    # Equal paragraphs of different texts.
+    shared = texts.select("_h1", F.explode("u").alias("u")).groupBy("u").agg(F.min("_h1").alias("a"), F.max("_h1").alias("b")).where("a != b").select("u")
+    # Different paragraphs under one key; equal groups of them have one name.
+    lines = texts.select("lu", F.posexplode("keys").alias("k", "key")).select("key", F.get("lu", F.floor(F.col("k") / BANDS).cast("int")).alias("u"))
+    several = counted(lines.groupBy("key").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a != b").select("key"), "pg-keys")
+    met = written(lines.join(small_side(*several, 24), "key").distinct(), "pg-met")
+    names = met.groupBy("key").agg(F.bit_xor(F.xxhash64("u")).alias("x"), F.count(F.lit(1)).alias("n")).select("key", F.xxhash64("x", "n").alias("g"))
+    groups = written(met.join(names, "key").select("g", "u").distinct(), "pg-groups")
+    forget(several[0], met)
+    both = shared.select("u", F.lit(False).alias("tried")).unionByName(groups.select("u", F.lit(True).alias("tried")))
+    wanted = counted(both.groupBy("u").agg(F.bool_or("tried").alias("tried")), "pg-wanted")
+    placed = texts.select("rep", "_h1", "_h2", F.explode(F.arrays_zip("at", "n", "u")).alias("r")).select("rep", "_h1", "_h2", "r.at", "r.n", "r.u")
+    spots = written(placed.join(small_side(*wanted, 32), "u"), "pg-spots")
+    copied = written(texts.where("copies > 1 AND words > 0").select("_h1", "_h2", "rep", "words"), "pg-copied")
+    forget(texts, wanted[0])
+    # Each paragraph to verify is cut once more from one text that has it.
+    where = spots.where("tried").groupBy("u").agg(F.min(F.struct("_h1", "_h2", "rep")).alias("r"))
+    hits = counted(where.groupBy("r._h1", "r._h2", F.col("r.rep").alias("doc_id")).agg(F.collect_list("u").alias("us")), "pg-hits", F.size("us"))
+    some = small_side(hits[0], hits[1], 24 + 8 * hits[2]).withColumnRenamed("doc_id", "_rep")
+    cut_from = keyed.join(some, ["_h1", "_h2"]).where("doc_id <=> _rep").select("_t", "us")
 
     def cut(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 b = batch.slice(k, 128)
-                x = Units(b.column("_t").to_pylist())
+                x = Units(b.column("_t").to_pylist(), line_words)
                 ends = np.searchsorted(x.text, np.arange(b.num_rows + 1))
                 us, es = [], []
                 for j, want in enumerate(b.column("us").to_pylist()):
                     mine, at = np.unique(x.u[ends[j] : ends[j + 1]], return_index=True)
                     for i in at[np.isin(mine, np.array(want, dtype=np.int64))].tolist():
                         us.append(x.u[ends[j] + i])
-                        es.append(x.runs_of(ends[j] + i).view(np.int64))
+                        es.append(np.unique(x.runs_of(ends[j] + i)).view(np.int64))
                 if us:
                     off = pa.array(np.cumsum([0, *map(len, es)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(us)), pa.ListArray.from_arrays(off, pa.array(np.concatenate(es)))], names=["u", "o"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(us)), pa.ListArray.from_arrays(off, pa.array(np.concatenate(es)))], names=["u", "e"])
 
     # Rows with one id and text are the same, and any of them will do.
-    sets = written(wanted.select("_t", "us").mapInArrow(cut, "u long, o array<long>").dropDuplicates(["u"]), "pg-sets")
-    members = written(groups.join(sets, "u").select("g", "u", F.array_distinct("o").alias("e")), "pg-members")
+    sets = cut_from.mapInArrow(cut, "u long, e array<long>").dropDuplicates(["u"])
+    members = written(groups.join(sets, "u").select("g", "u", "e"), "pg-members")
     crowded = written(blocks.crowds(members), "pg-crowded")
     links = written(blocks.forest(blocks.tiled(members, crowded), 2 * parts, TENTHS), "pg-links")
-    forget(groups, hits, members, crowded)
-    comps = connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("c"))
-    told = written(units.select("u", "first", "last").join(comps, "u", "left").withColumn("near", F.col("c").isNotNull()).withColumn("c", F.coalesce("c", "u")), "pg-told")
-    forget(links, units)
-    kept = told.groupBy("c").agg(F.min(F.struct("first.rep", "first.at", "first.n")).alias("keep"), F.max("last").alias("last")).where(F.col("keep.rep") != F.col("last"))
-    clusters = written(told.join(kept.select("c", "keep"), "c").select("c", "u", "near", "keep", "first", "last"), "pg-clusters")
-    forget(told)
-    # Of units in one text, the runs that another text of the cluster has.
-    runs = clusters.where("near").join(sets, "u").select("c", "u", F.col("first.rep").alias("rep"), "last", F.posexplode("o").alias("k", "x"))
-    common = runs.groupBy("c", "x").agg(F.min("rep").alias("a"), F.max("last").alias("b")).where("a != b").select("c", "x")
-    trims = written(runs.where("rep = last").join(common, ["c", "x"]).groupBy("u").agg(F.min("k").alias("lo"), (F.max("k") + SHINGLE_WORDS).alias("hi")), "pg-trims")
-    whole = clusters.select("u", "keep", (F.col("near") & (F.col("first.rep") == F.col("last"))).alias("only_near"))
-    # What overlaps the kept paragraph in its own text stays with it.
-    stays = (F.col("rep") == F.col("keep.rep")) & (F.col("at") < F.col("keep.at") + F.col("keep.n")) & (F.col("at") + F.col("n") > F.col("keep.at"))
-    spots = placed.join(whole.join(trims, "u", "left"), "u").where("line OR NOT only_near OR lo IS NOT NULL").withColumn("cut", F.expr("only_near AND NOT line"))
-    spots = spots.select("rep", F.expr("IF(cut, at + lo, at)").alias("at"), F.expr("IF(cut, hi - lo, n)").alias("n"), F.col("keep.rep").alias("keeper"), (~stays).alias("gone"))
-    by_text = spots.groupBy("rep").agg(F.collect_list(F.struct("at", "n", "keeper", "gone")).alias("spots"))
+    forget(groups, hits[0], members, crowded)
+    linked = connected_components(links)
+    comps = counted(linked.select(F.col("node").alias("u"), F.col("component").alias("c")), "pg-comps")
+    clean_up(linked)
+    forget(links)
+    told = written(spots.select("rep", "_h1", "_h2", "at", "n", "u").join(small_side(*comps, 32), "u", "left").withColumn("c", F.coalesce("c", "u")).drop("u"), "pg-told")
+    forget(spots, comps[0])
+    kept = counted(told.groupBy("c").agg(F.min("rep").alias("keeper"), F.min("_h1").alias("a"), F.max("_h1").alias("b")).where("a != b").select("c", "keeper"), "pg-kept")
+    by_text = told.join(small_side(*kept, 32), "c").groupBy("_h1", "_h2").agg(F.min("rep").alias("rep"), F.collect_list(F.struct("at", "n", "c", "keeper")).alias("spots"))
 
     def passages(batches):
         for batch in batches:
             rows = []
-            for i, spots in zip(*(batch.column(c).to_pylist() for c in ("rep", "spots")), strict=True):
+            for h1, h2, i, spots in zip(*(batch.column(c).to_pylist() for c in ("_h1", "_h2", "rep", "spots")), strict=True):
+                if i is None:
+                    continue
+                stays: dict[int, int] = {}  # where the kept paragraph of a cluster ends, in the keeper's own text
+                out = []
+                for s in sorted(spots, key=lambda s: (s["at"], s["n"])):
+                    end = s["at"] + s["n"]
+                    gone = s["keeper"] != i or s["at"] >= stays.setdefault(s["c"], end)
+                    out.append((s["keeper"], gone, s["at"], end))
                 now = None
-                for s in sorted(spots, key=lambda s: (s["keeper"], s["gone"], s["at"])):
-                    if now and now[1:3] == [s["keeper"], s["gone"]] and s["at"] <= now[4]:
-                        now[4] = max(now[4], s["at"] + s["n"])
+                for keeper, gone, at, end in sorted(out):
+                    if now and now[3:5] == [keeper, gone] and at <= now[6]:
+                        now[6] = max(now[6], end)
                     else:
-                        now = [i, s["keeper"], s["gone"], s["at"], s["at"] + s["n"]]
+                        now = [h1, h2, i, keeper, gone, at, end]
                         rows.append(now)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] - r[3] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])], names=["rep", "first_word", "n_words", "keeper_id", "removed"])
-
-    found = written(by_text.mapInArrow(passages, "rep long, first_word int, n_words int, keeper_id long, removed boolean"), "pg-found")
-    forget(clusters, trims, sets)
-    single = found.join(texts.select("rep", "copies"), "rep").where("copies = 1").select(F.col("rep").alias("doc_id"), "first_word", "n_words", "keeper_id", "removed")
-    # Copies: whole texts, kept in the first.
-    copied = keyed.select("doc_id", "_h1", "_h2", F.size(F.filter(F.split("_t", "[\\x00-\\x20]+"), lambda w: w != "")).alias("n_words")).where("n_words > 0")
-    several_texts = texts.where("copies > 1").select("_h1", "_h2", "rep")
-    whole = copied.join(several_texts, ["_h1", "_h2"]).select("doc_id", F.lit(0).alias("first_word"), "n_words", F.col("rep").alias("keeper_id"), (F.col("doc_id") != F.col("rep")).alias("removed"))
-    firsts = found.join(texts.where("copies > 1").select("rep"), "rep").select(F.col("rep").alias("doc_id"), "first_word", "n_words", "keeper_id", "removed")
-    return single.unionByName(whole).unionByName(firsts)
+                h1, h2, i, keeper, gone, at, end = zip(*rows, strict=True)
+                at, end = np.array(at, dtype=np.int32), np.array(end, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1, h2, i)] + [pa.array(at), pa.array(end - at), pa.array(keeper, pa.int64()), pa.array(gone, pa.bool_())], names=["_h1", "_h2", "doc_id", "first_word", "n_words", "keeper_id", "removed"])
+
+    found = written(by_text.mapInArrow(passages, "_h1 long, _h2 long, doc_id long, first_word int, n_words int, keeper_id long, removed boolean").drop("_h1", "_h2"), "pg-found")
+    forget(told, kept[0])
+    n = copied.count()
+    whole = keyed.drop("_t").where("doc_id IS NOT NULL").join(small_side(copied, n, 40), ["_h1", "_h2"])
+    whole = whole.select("doc_id", F.lit(0).alias("first_word"), F.col("words").alias("n_words"), F.col("rep").alias("keeper_id"), (F.col("doc_id") != F.col("rep")).alias("removed"))
+    return owning(found.unionByName(whole), found, copied)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
