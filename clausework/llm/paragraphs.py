@@ -144,32 +144,33 @@ def repeated_paragraphs(docs: DataFrame, *, line_words: int = LINE_WORDS) -> Dat
                 b = batch.slice(k, 128)
                 x = Units(b.column("_t").to_pylist(), line_words)
                 some, keys = x.bands()
-                lists = [*_lists(x.text, b.num_rows, x.at, x.n, x.u), *_lists(x.text[some], b.num_rows, x.u[some]), *_lists(x.text[some], b.num_rows, keys.ravel(), each=BANDS)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), pa.array(x.words.astype(np.int32)), *lists], names=["doc_id", "_h1", "_h2", "words", "at", "n", "u", "lu", "keys"])
+                lists = [*_lists(x.text, b.num_rows, (x.at.astype(np.int64) << 32) | x.n, x.u), *_lists(x.text[some], b.num_rows, x.u[some]), *_lists(x.text[some], b.num_rows, keys.ravel(), each=BANDS)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h1"), b.column("_h2"), pa.array(x.words.astype(np.int32)), *lists], names=["doc_id", "_h1", "_h2", "words", "spot", "u", "lu", "keys"])
 
-    seen = keyed.mapInArrow(listed, "doc_id long, _h1 long, _h2 long, words int, at array<int>, n array<int>, u array<long>, lu array<long>, keys array<long>")
-    firsts = [F.first(c).alias(c) for c in ("words", "at", "n", "u", "lu", "keys")]
+    seen = keyed.mapInArrow(listed, "doc_id long, _h1 long, _h2 long, words int, spot array<long>, u array<long>, lu array<long>, keys array<long>")
+    firsts = [F.first(c).alias(c) for c in ("words", "spot", "u", "lu", "keys")]
     texts = written(seen.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *firsts), "pg-texts")
     # Equal paragraphs of different texts.
     shared = texts.select("_h1", F.explode("u").alias("u")).groupBy("u").agg(F.min("_h1").alias("a"), F.max("_h1").alias("b")).where("a != b").select("u")
     # Different paragraphs under one key; equal groups of them have one name.
     lines = texts.select("lu", F.posexplode("keys").alias("k", "key")).select("key", F.get("lu", F.floor(F.col("k") / BANDS).cast("int")).alias("u"))
-    several = counted(lines.groupBy("key").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a != b").select("key"), "pg-keys")
-    met = written(lines.join(small_side(*several, 24), "key").distinct(), "pg-met")
+    several = lines.groupBy("key").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a != b").select("key")
+    met = written(lines.join(several, "key").distinct(), "pg-met")
     names = met.groupBy("key").agg(F.bit_xor(F.xxhash64("u")).alias("x"), F.count(F.lit(1)).alias("n")).select("key", F.xxhash64("x", "n").alias("g"))
     groups = written(met.join(names, "key").select("g", "u").distinct(), "pg-groups")
-    forget(several[0], met)
+    forget(met)
     both = shared.select("u", F.lit(False).alias("tried")).unionByName(groups.select("u", F.lit(True).alias("tried")))
-    wanted = counted(both.groupBy("u").agg(F.bool_or("tried").alias("tried")), "pg-wanted")
-    placed = texts.select("rep", "_h1", "_h2", F.explode(F.arrays_zip("at", "n", "u")).alias("r")).select("rep", "_h1", "_h2", "r.at", "r.n", "r.u")
-    spots = written(placed.join(small_side(*wanted, 32), "u"), "pg-spots")
+    wanted = both.groupBy("u").agg(F.bool_or("tried").alias("tried"))
+    # Four longs a paragraph are shuffled; a text is named by its hash and smallest id.
+    placed = texts.select("rep", "_h1", F.explode(F.arrays_zip("spot", "u")).alias("r")).select("rep", "_h1", "r.spot", "r.u")
+    spots = written(placed.join(wanted, "u").select("u", "tried", "rep", "_h1", F.shiftright("spot", 32).cast("int").alias("at"), F.col("spot").bitwiseAND((1 << 32) - 1).cast("int").alias("n")), "pg-spots")
     copied = written(texts.where("copies > 1 AND words > 0").select("_h1", "_h2", "rep", "words"), "pg-copied")
-    forget(texts, wanted[0])
+    forget(texts)
     # Each paragraph to verify is cut once more from one text that has it.
-    where = spots.where("tried").groupBy("u").agg(F.min(F.struct("_h1", "_h2", "rep")).alias("r"))
-    hits = counted(where.groupBy("r._h1", "r._h2", F.col("r.rep").alias("doc_id")).agg(F.collect_list("u").alias("us")), "pg-hits", F.size("us"))
+    where = spots.where("tried").groupBy("u").agg(F.min(F.struct("_h1", "rep")).alias("r"))
+    hits = counted(where.groupBy("r._h1", F.col("r.rep").alias("doc_id")).agg(F.collect_list("u").alias("us")), "pg-hits", F.size("us"))
     some = small_side(hits[0], hits[1], 24 + 8 * hits[2]).withColumnRenamed("doc_id", "_rep")
-    cut_from = keyed.join(some, ["_h1", "_h2"]).where("doc_id <=> _rep").select("_t", "us")
+    cut_from = keyed.join(some, "_h1").where("doc_id <=> _rep").select("_t", "us")
 
     def cut(batches):
         for batch in batches:
@@ -197,17 +198,15 @@ def repeated_paragraphs(docs: DataFrame, *, line_words: int = LINE_WORDS) -> Dat
     comps = counted(linked.select(F.col("node").alias("u"), F.col("component").alias("c")), "pg-comps")
     clean_up(linked)
     forget(links)
-    told = written(spots.select("rep", "_h1", "_h2", "at", "n", "u").join(small_side(*comps, 32), "u", "left").withColumn("c", F.coalesce("c", "u")).drop("u"), "pg-told")
+    told = written(spots.drop("tried").join(small_side(*comps, 32), "u", "left").withColumn("c", F.coalesce("c", "u")).drop("u"), "pg-told")
     forget(spots, comps[0])
-    kept = counted(told.groupBy("c").agg(F.min("rep").alias("keeper"), F.min("_h1").alias("a"), F.max("_h1").alias("b")).where("a != b").select("c", "keeper"), "pg-kept")
-    by_text = told.join(small_side(*kept, 32), "c").groupBy("_h1", "_h2").agg(F.min("rep").alias("rep"), F.collect_list(F.struct("at", "n", "c", "keeper")).alias("spots"))
+    kept = told.groupBy("c").agg(F.min("rep").alias("keeper"), F.min("_h1").alias("a"), F.max("_h1").alias("b")).where("a != b").select("c", "keeper")
+    by_text = told.where("rep IS NOT NULL").join(kept, "c").groupBy("_h1", "rep").agg(F.collect_list(F.struct("at", "n", "c", "keeper")).alias("spots"))
 
     def passages(batches):
         for batch in batches:
             rows = []
-            for h1, h2, i, spots in zip(*(batch.column(c).to_pylist() for c in ("_h1", "_h2", "rep", "spots")), strict=True):
-                if i is None:
-                    continue
+            for i, spots in zip(*(batch.column(c).to_pylist() for c in ("rep", "spots")), strict=True):
                 stays: dict[int, int] = {}  # where the kept paragraph of a cluster ends, in the keeper's own text
                 out = []
                 for s in sorted(spots, key=lambda s: (s["at"], s["n"])):
@@ -216,18 +215,18 @@ def repeated_paragraphs(docs: DataFrame, *, line_words: int = LINE_WORDS) -> Dat
                     out.append((s["keeper"], gone, s["at"], end))
                 now = None
                 for keeper, gone, at, end in sorted(out):
-                    if now and now[3:5] == [keeper, gone] and at <= now[6]:
-                        now[6] = max(now[6], end)
+                    if now and now[1:3] == [keeper, gone] and at <= now[4]:
+                        now[4] = max(now[4], end)
                     else:
-                        now = [h1, h2, i, keeper, gone, at, end]
+                        now = [i, keeper, gone, at, end]
                         rows.append(now)
             if rows:
-                h1, h2, i, keeper, gone, at, end = zip(*rows, strict=True)
+                i, keeper, gone, at, end = zip(*rows, strict=True)
                 at, end = np.array(at, dtype=np.int32), np.array(end, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1, h2, i)] + [pa.array(at), pa.array(end - at), pa.array(keeper, pa.int64()), pa.array(gone, pa.bool_())], names=["_h1", "_h2", "doc_id", "first_word", "n_words", "keeper_id", "removed"])
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(at), pa.array(end - at), pa.array(keeper, pa.int64()), pa.array(gone, pa.bool_())], names=["doc_id", "first_word", "n_words", "keeper_id", "removed"])
 
-    found = written(by_text.mapInArrow(passages, "_h1 long, _h2 long, doc_id long, first_word int, n_words int, keeper_id long, removed boolean").drop("_h1", "_h2"), "pg-found")
-    forget(told, kept[0])
+    found = written(by_text.mapInArrow(passages, "doc_id long, first_word int, n_words int, keeper_id long, removed boolean"), "pg-found")
+    forget(told)
     n = copied.count()
     whole = keyed.drop("_t").where("doc_id IS NOT NULL").join(small_side(copied, n, 40), ["_h1", "_h2"])
     whole = whole.select("doc_id", F.lit(0).alias("first_word"), F.col("words").alias("n_words"), F.col("rep").alias("keeper_id"), (F.col("doc_id") != F.col("rep")).alias("removed"))
