@@ -49,11 +49,11 @@ def forget(*tables: DataFrame | None) -> None:
 
 
 def counted(df: DataFrame, name: str, size: Column | None = None) -> tuple[DataFrame, int] | tuple[DataFrame, int, int]:
-    """df written, with its number of rows and, if a size is given, the largest one."""
+    """df written, with its number of rows and, if a size is given, its sum."""
     out = written(df, name)
     if size is None:
         return out, out.count()
-    return out, *out.agg(F.count(F.lit(1)), F.coalesce(F.max(size), F.lit(0))).first()
+    return out, *out.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
 
 
 def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:

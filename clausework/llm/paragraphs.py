@@ -169,7 +169,7 @@ def repeated_paragraphs(docs: DataFrame, *, line_words: int = LINE_WORDS) -> Dat
     # Each paragraph to verify is cut once more from one text that has it.
     where = spots.where("tried").groupBy("u").agg(F.min(F.struct("_h1", "rep")).alias("r"))
     hits = counted(where.groupBy("r._h1", F.col("r.rep").alias("doc_id")).agg(F.collect_list("u").alias("us")), "pg-hits", F.size("us"))
-    some = small_side(hits[0], hits[1], 24 + 8 * hits[2]).withColumnRenamed("doc_id", "_rep")
+    some = small_side(hits[0], 24 * hits[1] + 8 * hits[2], 1).withColumnRenamed("doc_id", "_rep")
     cut_from = keyed.join(some, "_h1").where("doc_id <=> _rep").select("_t", "us")
 
     def cut(batches):
