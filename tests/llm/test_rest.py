@@ -121,6 +121,57 @@ def test_pieces_without_dropout_are_the_library_s():
             assert np.frombuffer(e.encode(t), "<i4").tolist() == sp.encode(t), t
 
 
+def naive(e, word, key=None):
+    """Ids of a word by looking at all pairs of neighbours at each step."""
+    parts, gone, taken = [(k, c) for k, c in enumerate(word)], set(), 0
+    while True:
+        pairs = [(e.ranks[x + y], a, k) for k, ((a, x), (_, y)) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if x + y in e.ranks and (a, x, y) not in gone]
+        if not pairs:
+            break
+        _, a, k = min(pairs)
+        taken += 1
+        if key is not None and pieces.mix_int(key + (taken - 1) * int(pieces._CANDIDATE_STEP)) < e.dropout * 2**64:
+            gone.add((a, parts[k][1], parts[k + 1][1]))
+        else:
+            parts[k : k + 2] = [(a, parts[k][1] + parts[k + 1][1])]
+    return [i for _, p in parts for i in ([e.ids[p]] if p in e.ids else [e.byte_id[x] for x in p.encode()])], taken
+
+
+def test_pieces_against_a_naive_encoder(spark, sf):
+    e = pieces.Encoder(dropout=0.25)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(12).collect()
+    for text, v in [*((r.text, r.doc_id) for r in docs), *((t, 3) for t in ODD)]:
+        want, full = [], 0
+        for k, w in enumerate(e.split(text)):
+            if w[0] == "\u0001":
+                got, base = (np.frombuffer(e.fixed[w], "<i4").tolist(),) * 2
+            else:
+                got, _ = naive(e, w, (pieces.text_key(11, v) + k * int(pieces._WORD_STEP)) & pieces.MASK)
+                base, _ = naive(e, w)
+            want, full = want + got, full + len(base)
+        ids, n = e.encode_many([text], [v])[0]
+        assert np.frombuffer(ids, "<i4").tolist() == want and n == full
+
+
+def test_pieces_query(spark, sf):
+    got = {r.doc_id: r for r in pieces.op3(spark, sf).collect()}
+    e = pieces.Encoder()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        x, g = e.encode(r.text, got[r.doc_id].variant), got[r.doc_id]
+        assert (g.n_tokens, g.ids_sha256, g.decoded_sha256, g.lossless) == (len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest(), True)
+    assert sum(g.n_tokens for g in got.values()) > 1.05 * sum(g.n_tokens_full for g in got.values())
+
+
+def test_pieces_of_one_long_word_and_of_nothing(spark):
+    long = "internationalization" * 60_000  # no cut at any length
+    e = pieces.Encoder(dropout=0.1)
+    assert e.decode(e.encode(long, 5)).decode() == long
+    rows = spark.createDataFrame([(None, None, 1), (None, "", 2), (3, "a b", 3), (3, "a b", 3)], "doc_id long, text string, variant int")
+    got = pieces.encoded(rows).collect()
+    assert [len(r.ids) for r in got][:2] == [0, 0] and got[2] == got[3] and all(r.lossless for r in got) and got[0]._row.variant == 1
+    assert pieces.digests(rows.limit(0)).count() == 0 and pieces.digests(rows).count() == 4
+
+
 def test_pieces_decode_and_vary(spark):
     e = pieces.Encoder(dropout=0.3)
     for t in ODD:
@@ -142,7 +193,7 @@ def test_pieces_long_words_vary_by_document_and_copy(spark):
     assert len({e.encode(text, v) for v in range(20)}) == 20 and e.encode(text, 7) == pieces.Encoder(dropout=0.3).encode(text, 7)
     # A merge is dropped at the given rate, whether cuttings come from the cache or not.
     two = next(p for p in e.ids if len(p) == 2 and p[0] == "▁" and p[1].isalpha())
-    kept = sum(len(e.encode(two[1:], v)) == 4 for v in range(4000)) / 4000
+    kept = sum(len(x) == 4 for x, _ in e.encode_many([two[1:]] * 4000, list(range(4000)))) / 4000
     assert 0.67 < kept < 0.73
     docs = spark.createDataFrame([(k // 5, k % 5, text) for k in range(20)], "doc_id long, copy int, text string")
     got = pieces.encoded(docs, copy_col="copy").collect()
