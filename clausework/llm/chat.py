@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,21 +20,23 @@ from pyspark.sql import functions as F
 
 #: The strings that steer a reader of the format, and the names of their first letters after the escape sign.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|", "|>")
-FIRST = {"<": "l", "[": "b", "|": "p"}
-_BACK = {v: k for k, v in FIRST.items()} | {"\\": "\\"}
-_ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROLS))))
+FIRST = {"<": "l", "[": "b", "|": "p", ">": "g", "\\": "\\"}
+_BACK = {v: k for k, v in FIRST.items()}
+#: A backslash, the first sign of each control string (they may overlap), or a sign at an end that might make one with what is beside.
+_ESCAPE = re.compile(r"\\|(?=%s)." % "|".join(map(re.escape, CONTROLS)) + r"|[<\[|]\Z|\A>", re.S)
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 
 TEMPLATE = (
     "{% for m in messages %}{% if m.role == 'assistant' %}<s><|{{ m.role | escape }}|>{% generation %}{{ m.text | escape }}{% endgeneration %}</s>"
     "{% else %}[INST]<|{{ m.role | escape }}|>{{ m.text | escape }}[/INST]{% endif %}{% endfor %}"
 )
-_TURN = re.compile(r"(?:<s>|\[INST\])<\|(.*?)\|>(.*?)(?:</s>|\[/INST\])", re.S)
+_TURN = re.compile(r"<s><\|(.*?)\|>(.*?)</s>|\[INST\]<\|(.*?)\|>(.*?)\[/INST\]", re.S)
+_ENDS = ("</s>", "[/INST]")
 
 
 def escape(text: str) -> str:
-    r"""No control string is left in the result: a backslash is doubled, and a control string's first character becomes \ and a letter."""
-    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else "\\" + FIRST[m[0][0]] + m[0][1:], text)
+    r"""No control string is left in the result, nor made with what is beside it: a backslash is doubled, and a control string's first character becomes \ and a letter, which no control string holds."""
+    return _ESCAPE.sub(lambda m: "\\" + FIRST[m[0]], text)
 
 
 def unescape(text: str) -> str:
@@ -300,52 +303,87 @@ def formatted(messages: Iterable[dict], render=None) -> tuple[str, list[tuple[in
     return "".join(out), spans
 
 
+class Reader:
+    """Reads turns back from pieces of a formatted conversation as they come; what is not yet a whole turn is kept."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        self.parts.append(piece)
+        if not piece.endswith(_ENDS):
+            return
+        text, at = "".join(self.parts), 0
+        while m := _TURN.match(text, at):
+            yield (unescape(m[1]), unescape(m[2])) if m[1] is not None else (unescape(m[3]), unescape(m[4]))
+            at = m.end()
+        self.parts = [text[at:]] if at < len(text) else []
+
+    def close(self) -> None:
+        if self.parts:
+            raise TemplateError(f"not a turn: {''.join(self.parts)[:60]!r}")
+
+
 def read_back(text: str) -> list[tuple[str, str]]:
-    """Role and text of each turn of a formatted conversation."""
-    return [(unescape(r), unescape(t)) for r, t in _TURN.findall(text)]
+    """Role and text of each turn of a formatted conversation. Anything else in it is an error."""
+    out, at = [], 0
+    while m := _TURN.match(text, at):
+        out.append((unescape(m[1]), unescape(m[2])) if m[1] is not None else (unescape(m[3]), unescape(m[4])))
+        at = m.end()
+    if at < len(text):
+        raise TemplateError(f"not a turn: {text[at:at + 60]!r}")
+    return out
 
 
 _SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def digest(messages: Iterable[dict], render) -> tuple[int, str, int, str, int]:
+    """Turns, their digest, characters under the loss mask, their digest, and characters in all, of one conversation as it is rendered and read back."""
+    reader, n, chars, loss_n, lossy, inside = Reader(), 0, 0, 0, [], False
+    said, loss = hashlib.sha256(), hashlib.sha256()
+    for piece in render(messages):
+        if piece is BEGIN or piece is END:
+            inside = piece is BEGIN
+            t = unescape("".join(lossy))
+            loss_n += len(t)
+            loss.update(t.encode("utf-8", "surrogatepass"))
+            lossy = []
+            continue
+        chars += len(piece)
+        if inside:
+            lossy.append(piece)
+        for role, text in reader.feed(piece):
+            n += 1
+            said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+    reader.close()
+    return n, said.hexdigest(), loss_n, loss.hexdigest(), chars
+
+
 def chat_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """One row per conversation, of what is read back from its formatted form.
 
-    Rows are ordered by turn (nulls first; ties by role and text). A null role is an empty one, a null text an empty text, a
-    null conv_id a conversation of its own. Sorted rows stream through a task, one turn in memory at a time, so a very long
-    conversation is never gathered. Empty input: no rows.
+    Rows are ordered by turn (nulls first; ties by role and text), and a repeated row is one more turn. A null role is an
+    empty one, a null text an empty text; rows with a null conv_id are one conversation. Each conversation is rendered as a
+    whole: sorted rows stream through the template and the reader, one turn in memory at a time, so a very long conversation
+    is never gathered. A template that writes anything but turns of this format stops the job. Empty input: no rows.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    def turns(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True)
+
     def stream(batches):
         render = compile_template(template)
-        state: dict | None = None
         done: list[tuple] = []
-
-        def close():
-            done.append((state["id"], state["n"], state["turns"].hexdigest(), state["loss_n"], state["loss"].hexdigest(), state["chars"]))
-
-        for batch in batches:
-            for cid, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
-                if state is None or state["id"] != cid:
-                    if state is not None:
-                        close()
-                    state = {"id": cid, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0, "chars": 0}
-                out, spans = formatted([{"role": role, "text": text}], render)
-                state["chars"] += len(out)
-                for r, t in read_back(out):
-                    state["n"] += 1
-                    state["turns"].update(f"{r}\n{t}\n".encode())
-                for a, b in spans:
-                    t = unescape(out[a:b])
-                    state["loss_n"] += len(t)
-                    state["loss"].update(t.encode())
-            if done:
+        for cid, told in groupby(turns(batches), key=lambda r: r[0]):
+            done.append((cid, *digest(({"role": role, "text": text} for _, role, text in told), render)))
+            if len(done) >= 1000:
                 yield _batch(done)
-                done.clear()
-        if state is not None:
-            close()
+                done = []
+        if done:
             yield _batch(done)
 
     return rows.mapInArrow(stream, _SCHEMA)
@@ -361,3 +399,21 @@ def op5(spark, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     return chat_digests(told.unionByName(extra))
+
+
+def _escaped(col: str) -> str:
+    """SQL for the length of a text when escaped: a sign more for each backslash, each control string and an end sign that might make one with what is beside."""
+    one = lambda c: f"(length({col}) - length(replace({col}, '{c}', ''))) // {len(c)}"
+    return f"(length({col}) + {' + '.join(map(one, (chr(92), *CONTROLS)))} + ({col} <> '' AND right({col}, 1) IN ('<', '[', '|'))::INT + starts_with({col}, '>')::INT)"
+
+
+OP5_SQL = f"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_escaped('role')} + {_escaped('text')} + CASE WHEN role = 'assistant' THEN 11 ELSE 17 END)::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id
+"""

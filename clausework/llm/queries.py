@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op5_chat_format": chat.OP5_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -70,6 +70,55 @@ def test_round_trip_and_loss(spark):
     assert out.count("</s>") == 1 and "[INST]" not in out and chat.unescape(out[slice(*spans[0])]) == "</s>[INST] ok"
 
 
+def test_escape_leaves_no_control_in_any_overlap():
+    r = random.Random(3)
+    signs = ["<", "|", ">", "[", "]", "/", "s", "INST", "\\", "l", "p", "b", *chat.CONTROLS]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 7))) for _ in range(20_000)] + ["<|>", "<|", "|>|", "\\l|>"]
+    for t in texts:
+        e = chat.escape(t)
+        assert not any(c in e for c in chat.CONTROLS) and chat.unescape(e) == t, t
+    for k in range(0, len(texts) - 4, 4):
+        told = [(texts[k], texts[k + 1]), ("assistant", texts[k + 2]), (texts[k + 3], "")]
+        out, spans = chat.formatted({"role": a, "text": b} for a, b in told)
+        assert chat.read_back(out) == told
+        assert [chat.unescape(out[a:b]) for a, b in spans] == [b for a, b in told if a == "assistant"]
+        assert sum(out.count(c) for c in ("<s>", "</s>")) == 2 * sum(a == "assistant" for a, _ in told) and out.count("<|") == out.count("|>") == 3
+    with pytest.raises(chat.TemplateError):
+        chat.read_back("x" + out)
+
+
+def test_chat_edge_cases(spark):
+    schema = "conv_id long, turn long, role string, text string, n_turns string"
+    assert chat.chat_digests(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, None, None, "x"), (None, 1, "user", "a", "x"), (4, 2, "user", "same", "x"), (4, 2, "user", "same", "x"), (5, 0, "assistant", "é" * 100_000, "x")]
+    got = {r.conv_id: r for r in chat.chat_digests(spark.createDataFrame(rows, schema)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {k: (v.n_turns, v.turns_sha256, v.loss_chars) for k, v in got.items()} == {None: (2, sha("\n\nuser\na\n"), 0), 4: (2, sha("user\nsame\n" * 2), 0), 5: (1, sha("assistant\n" + "é" * 100_000 + "\n"), 100_000)}
+    with pytest.raises(Exception, match="not a turn"):
+        chat.chat_digests(spark.createDataFrame(rows[2:], schema), "head " + chat.TEMPLATE).collect()
+
+
+def against_sql(spark, sf, query, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = query(spark, sf)
+    cols = sorted(df.columns)
+    cur = con.execute(sql)
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == cols
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(dict(zip(names, r, strict=True))[c] for c in cols)) for r in cur.fetchall())
+
+
+def test_queries_against_sql(spark, sf):
+    from clausework.llm import queries
+
+    for name, sql in queries.oracle_sql().items():
+        against_sql(spark, sf, queries.queries()[name], sql)
+
+
 def test_chat_query(spark, sf):
     got = {r.conv_id: r for r in chat.op5(spark, sf).collect()}
     n = {r.conv_id: r["count"] for r in spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").count().collect()}
