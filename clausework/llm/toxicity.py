@@ -2,13 +2,16 @@
 
 Texts are folded (case, look-alike letters, digits for letters, invisible signs), an Aho-Corasick automaton finds lexicon
 stems at word starts, hits inside exception phrases do not count, and a logistic function of the weighted hits, each
-normalised by the text's length in words, is the score. Stems and weights are learned from labelled rows.
+normalised by the text's length in words, is the score. Stems, weights and further exceptions are learned from labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass
 
 import ahocorasick
@@ -28,7 +31,7 @@ HOMOGLYPHS = {
     "​": "", "‌": "", "‍": "", "­": "", "﻿": "",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which a stem is harmless. Learned ones are added.
+#: Phrases of whole words in which a stem is harmless. Learned ones of two words are added.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish")
 
 _GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "]")
@@ -37,7 +40,10 @@ _DIGIT = re.compile(r"(?<=[^\W\d_])[0-9@$!]+(?=[^\W\d_])|\b[0-9@$]+(?=[^\W\d_])"
 _DIGIT_TABLE = str.maketrans(DIGITS)
 _FULL = re.compile("[！-～]")
 _WORD = re.compile(r"[^\W\d_]+")
-STEM_LENGTHS = range(3, 13)
+#: A stem is the first letters of a word, so many of them.
+STEM_LENGTHS = range(3, 65)
+#: A stem is learned if the lower end of its log odds (so many standard errors down) is over LEAST_ODDS and MIN_DOCS toxic texts have it.
+ERRORS, LEAST_ODDS, MIN_DOCS = 1.64, 0.5, 2
 
 
 def fold(text: str | None) -> str:
@@ -55,7 +61,7 @@ def n_words(text: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Stems with weights, the bias, and exception phrases. It is fitted once and shipped with each task; its size is bounded by max_stems."""
+    """Stems with weights, the bias, and exception phrases. It is fitted once and shipped with each task; its size is bounded by the labelled rows that it is learned from."""
 
     stems: list[str]
     weights: list[float]
@@ -63,40 +69,46 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
 
     def automaton(self):
-        a = ahocorasick.Automaton()
+        at: dict[str, list[int]] = {}
         for k, s in enumerate(self.stems):
-            a.add_word(s, (k, len(s)))
+            at[s] = [k, 0]
         for e in self.exceptions:
-            if e not in self.stems:
-                a.add_word(e, (-1, len(e)))
+            at.setdefault(e, [-1, 0])[1] = 1
+        a = ahocorasick.Automaton()
+        for s, (k, spares) in at.items():
+            a.add_word(s, (k, spares, len(s)))
         if len(a):
             a.make_automaton()
         return a
 
     def hits(self, a, folded: str) -> dict[int, int]:
-        """Stem number to count: the longest stem at each word start, outside of exception phrases."""
+        """Stem number to count: all stems at each word start, outside of exception phrases, which must end where a word ends."""
         if not len(a):
             return {}
-        best: dict[int, tuple[int, int]] = {}
+        found: list[tuple[int, int]] = []
         spared: list[tuple[int, int]] = []
-        for end, (k, n) in a.iter(folded):
+        size = len(folded)
+        for end, (k, spares, n) in a.iter(folded):
             at = end - n + 1
             if at and folded[at - 1].isalpha():
                 continue
-            if k < 0:
+            if spares and (end + 1 == size or not folded[end + 1].isalpha()):
                 spared.append((at, end))
-            elif at not in best or best[at][1] < n:
-                best[at] = (k, n)
-        out: dict[int, int] = Counter()
-        for at, (k, _) in best.items():
-            if not any(s <= at <= e for s, e in spared):
-                out[k] += 1
-        return out
+            if k >= 0:
+                found.append((at, k))
+        if spared:
+            spared.sort()
+            starts, ends = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+            found = [(at, k) for at, k in found if (i := bisect_right(starts, at)) == 0 or ends[i - 1] < at]
+        return Counter(k for _, k in found)
+
+    def weight(self, a, folded: str) -> float:
+        """The weighted, normalised hits."""
+        words = n_words(folded)
+        return sum(self.weights[k] * norm(c, words) for k, c in self.hits(a, folded).items())
 
     def score(self, a, text: str | None) -> float:
-        folded = fold(text)
-        z = self.bias + sum(self.weights[k] * norm(c, n_words(folded)) for k, c in self.hits(a, folded).items())
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.weight(a, fold(text)), -500, 500)))
 
 
 def norm(count: int, words: int) -> float:
@@ -109,12 +121,14 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_stems: int = 400, min_docs: int = 5) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000) -> Lexicon:
     """Learn stems and weights from at most max_rows labelled rows (those first in the hash order of their ids) outside of the held-out fifth.
 
-    Stem counts are gathered over distinct texts by partial aggregation; only the best max_stems stems and, of each
-    training text, its sparse hits come to the driver. Without labelled rows, or with labels all alike, the lexicon is
-    empty and every score is the base rate's side of one half.
+    A stem's weight is the lower end of its log odds of toxic against other texts, so rare stems weigh little. Stems, pairs
+    of words and their counts are gathered over distinct texts by partial aggregation; those learned come to the driver, and
+    of each training text one number, on which the scale and bias are fitted. Without labelled rows, or with labels all
+    alike, the lexicon is empty and every score is the base rate's side of one half. Null labels and ids are left out; of
+    labels that disagree on an id, toxic counts.
     """
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 0)
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -123,59 +137,45 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_stems
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
+        forget(sample)
         return Lexicon([], [], 4.0 if bad else -4.0)
 
-    def stems_of(folded: str) -> set[str]:
-        return {w[:k] for w in set(_WORD.findall(folded)) for k in STEM_LENGTHS if len(w) >= k}
+    def counts(of):
+        """In how many toxic (a) and other (c) texts each thing is that `of` finds in a folded text."""
 
-    def count(batches):
-        for batch in batches:
-            seen: Counter = Counter()
-            for t, v in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen.update((s, v) for s in stems_of(fold(t)))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([c if k[1] else 0 for k, c in seen.items()], pa.int64()), pa.array([0 if k[1] else c for k, c in seen.items()], pa.int64())], names=["stem", "a", "c"])
+        def run(batches):
+            for batch in batches:
+                seen: Counter = Counter()
+                for t, v in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    seen.update((x, v) for x in of(fold(t)))
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([c if k[1] else 0 for k, c in seen.items()], pa.int64()), pa.array([0 if k[1] else c for k, c in seen.items()], pa.int64())], names=["x", "a", "c"])
+
+        return sample.mapInArrow(run, "x string, a long, c long").groupBy("x").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
 
-    counts = sample.mapInArrow(count, "stem string, a long, c long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
-    least = max(min_docs, bad // 200)
-    top = [(r.stem, r.a, r.c) for r in counts.where((F.col("a") >= least) & (odds > 2.0)).orderBy((odds * F.col("a")).desc(), F.length("stem"), "stem").limit(max_stems * 12).collect()]
-    # A stem whose documents an extension keeps (97 of 100) gives way to the longest such extension; of the others, an
-    # extension stays beside its stem only if it is much purer.
-    count_of = {s: (a, c) for s, a, c in top}
-    longer: dict[str, list[str]] = {}
-    for s in count_of:
-        for k in range(3, len(s)):
-            longer.setdefault(s[:k], []).append(s)
-    have: dict[str, tuple[int, int]] = {}
-    for s, (a, c) in sorted(count_of.items(), key=lambda r: (len(r[0]), r[0])):
-        s = max((x for x in longer.get(s, ()) if count_of[x][0] >= 0.97 * a), key=lambda x: (len(x), x), default=s)
-        a, c = count_of[s]
-        up = next((have[s[:k]] for k in range(len(s), 2, -1) if s[:k] in have), None)
-        if up is None or (c + 0.5) / (a + 0.5) < 0.3 * (up[1] + 0.5) / (up[0] + 0.5):
-            have[s] = (a, c)
-    rank = {s: k for k, (s, _, _) in enumerate(top)}
-    chosen = sorted(have, key=rank.get)[:max_stems]
-    lex = Lexicon(chosen, [0.0] * len(chosen), 0.0)
-
-    def vectors(batches):
+    error = ERRORS * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
+    stems = counts(lambda f: {w[:k] for w in set(_WORD.findall(f)) for k in STEM_LENGTHS if len(w) >= k})
+    got = {r.x: (r.w, r.a, r.c) for r in stems.where((F.col("a") >= MIN_DOCS) & (odds - error > LEAST_ODDS)).select("x", "a", "c", (odds - error).alias("w")).collect()}
+    # A stem that is in the same texts as one a letter longer gives way to it.
+    same = {x[:-1] for x in got if got.get(x[:-1], ())[1:] == got[x][1:]}
+    chosen = sorted(set(got) - same)
+
+    def pairs(f: str) -> set[str]:
+        return {f"{x} {z}" for x, z in re.findall(r"([^\W\d_]+)(?= ([^\W\d_]+))", f) if any(x[:k] in got for k in STEM_LENGTHS if k <= len(x))}
+
+    spared = sorted(r.x for r in counts(pairs).where((F.col("c") >= MIN_DOCS) & (odds + error < 0)).select("x").collect())
+    lex = Lexicon(chosen, [got[x][0] for x in chosen], 0.0, tuple(dict.fromkeys([*EXCEPTIONS, *spared])))
+
+    def weighed(batches):
         a = lex.automaton()
         for batch in batches:
-            rows = []
-            for t, v in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                f = fold(t)
-                h = lex.hits(a, f)
-                rows.append((v, list(h), [norm(c, n_words(f)) for c in h.values()]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["y", "k", "x"])
-
-    rows = sample.mapInArrow(vectors, "y int, k array<int>, x array<double>").collect()  # at most max_rows, sparse
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("toxic"), pa.int32()), pa.array([float(lex.weight(a, fold(t))) for t in batch.column("text").to_pylist()], pa.float64())], names=["y", "x"])
+
+    rows = sample.mapInArrow(weighed, "y int, x double").collect()  # at most max_rows
     forget(sample)
-    x, t = np.zeros((len(rows), len(chosen))), np.array([r.y for r in rows], dtype=float)
-    for i, r in enumerate(rows):
-        x[i, r.k] = r.x
-    w, b = _logistic(x, t)
-    return Lexicon(chosen, [float(v) for v in w], float(b))
+    w, b = _logistic(np.array([[r.x] for r in rows]), np.array([r.y for r in rows], dtype=float))
+    return Lexicon(chosen, [float(v * w[0]) for v in lex.weights], float(b), lex.exceptions)
 
 
 def _logistic(x: np.ndarray, t: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -203,11 +203,13 @@ def _logistic(x: np.ndarray, t: np.ndarray, ridge: float = 0.3, rounds: int = 40
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(_row, score): the rows of docs with the score of each whole text. Null and empty texts have no hits and get the bias's score."""
+    """(_row, score): the rows of docs with the score of each whole text. Null and empty texts have no hits and get the bias's score. An empty table gives an empty table."""
+
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        a = lexicon.automaton()
-        return pd.Series([lexicon.score(a, t) for t in texts], dtype=float)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        a = lexicon.automaton()  # once a task
+        for batch in texts:
+            yield pd.Series([lexicon.score(a, t) for t in batch], dtype=float)
 
     return packed(docs, "text").select("_row", score("text").alias("score"))
 

@@ -258,18 +258,46 @@ def test_folding_and_exceptions():
     a = lex.automaton()
     assert toxicity.fold("1d10t ІDІОТ ｉｄｉｏｔ i​diot") == "idiot idiot idiot idiot" and toxicity.fold(None) == ""
     assert lex.hits(a, toxicity.fold("Idi0t! an idiotic nonidiot")) == {0: 2} and lex.hits(a, "the trash can") == {} and lex.hits(a, "the trash man") == {1: 1}
+    assert lex.hits(a, "trash candidate") == {1: 1} and lex.hits(a, "trash cannot, trash can. trash") == {1: 2}
+    both = toxicity.Lexicon(["trash", "trash can"], [3.0, 3.0], -2.0)  # an exception stays one if it is a stem as well
+    assert both.hits(both.automaton(), "a trash can") == {} and both.hits(both.automaton(), "a trash canal") == {0: 1, 1: 1}
     assert lex.score(a, "you idiot") > 0.5 > lex.score(a, "you there") == lex.score(a, None) and toxicity.Lexicon([], [], -4.0).score(toxicity.Lexicon([], [], 0.0).automaton(), "x") < 0.5
+    long = "trash can " * 50_000
+    assert lex.hits(a, long) == {} and lex.hits(a, long + "trash") == {1: 1}
 
 
 def test_held_out_toxicity(spark, sf):
     big = sf.replace("sf0.001", "sf0.1")
     got = toxicity.op9(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").toPandas()
     tp, fp, fn = (((got.predicted == p) & (got.toxic == t)).sum() for p, t in ((1, 1), (1, 0), (0, 1)))
-    assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.7
+    assert tp / (tp + fp) > 0.95 and tp / (tp + fn) >= 0.9, (tp, fp, fn)
     none = toxicity.fit(frame(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not none.stems and toxicity.scored(frame(spark), none).where("score < 0.5").count() == len(ODD)
 
 
+def test_fitted_lexicon_and_learned_exceptions(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(400):
+        ws = [word() for _ in range(20)]
+        if k % 4 == 0:
+            ws[5] = "zonkish" if k % 8 else "zonk"
+        elif k % 4 == 1:
+            ws[5:7] = ["zonk", "fish"]
+        rows.append((k, " ".join(ws), int(k % 4 == 0)))
+    rows += [(None, "zonk", 1), (900, None, None), (901, None, 0), (2, rows[2][1], 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "zonk fish" in lex.exceptions and {"zonk", "zonkish"} <= set(lex.stems) | {"zonkish"}
+    clash = df.withColumn("score", F.lit("own"))
+    got = {x._row.doc_id: x for x in toxicity.scored(clash, lex).collect()}
+    assert len(got) == 403 and got[901].score < 0.5 and got[900]._row.score == "own"
+    ok = sum((got[k].score >= 0.5) == (k % 4 == 0) for k in range(400))
+    assert ok > 390, ok
+    assert toxicity.scored(df.limit(0), lex).count() == 0
+
+
 def test_mixing(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 50 == 1, "b").otherwise("c").alias("source"), F.lit(1).alias("_rate"))
     rows = mixing.replicate(df, weights={"a": 1.0, "b": 2.0, "z": 9.0}, total=9000.0)
