@@ -2,7 +2,7 @@
 
 Each source has a mean repetition rate: target weight times target size over what the source holds. Each document's count
 is the inverse of the Poisson distribution function at a number hashed from the seed and its id. Documents are exploded
-by their counts and dealt out by a hash, which shuffles them globally.
+by their counts and dealt out by a hash of id, copy and place in the scan, which shuffles them globally.
 """
 
 from __future__ import annotations
@@ -50,20 +50,22 @@ def _cdf(rate: Column) -> Column:
 def replicate(docs: DataFrame, *, seed: int = 97, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
     """(_row, _rate, _copy, _place): the rows of docs, each repeated by its count, with copy numbers from 0 and hashed places in the global order.
 
-    Null sources count as one source named ''. A null id hashes as 'null'. Repeated rows draw the same count and are each
-    repeated. Documents with count 0 go. An empty table gives an empty table. The rates (a row per source) are broadcast
+    docs must be a deterministic scan. Null sources count as one source named ''. A row with a null id draws by its place in
+    the scan. Rows that repeat an id draw the same count and are each repeated, at places of their own. Documents with
+    count 0 go. A rate of 0 (no weight) gives no copies. An empty table gives an empty table. The rates (a row per source) are broadcast
     if their counted size is within the bound.
     """
     r = written(rates(docs, source_col=source_col, **how), "mix-rates")
     n, width = r.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_cdf")), F.lit(0))).first()
-    joined = packed(docs).withColumn("_source", F.coalesce(F.col(f"_row.{source_col}"), F.lit(""))).withColumn("_id", F.col(f"_row.{id_col}")).join(small_side(r, n, 200 + 8 * width), "_source")
+    rows = packed(docs).withColumn("_scan", F.monotonically_increasing_id()).withColumn("_source", F.coalesce(F.col(f"_row.`{source_col}`"), F.lit("")))
+    joined = rows.withColumn("_id", F.coalesce(F.col(f"_row.`{id_col}`").cast("string"), F.concat(F.lit("row "), "_scan"))).join(small_side(r, n, 200 + 8 * width), "_source")
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0),
         lambda a, k: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(seed), F.col("_id"), k))))
     first = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
     counted = joined.withColumn("_u", uniform(F.lit(seed), F.col("_id"), F.lit(1))).withColumn("_k", F.when(F.col("_parts") == 1, first).otherwise(draw)).where("_k > 0")
     out = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return out.withColumn("_place", uniform(F.lit(seed + 1), F.col("_id"), F.col("_copy"))).select("_row", "_rate", "_copy", "_place")
+    return out.withColumn("_place", uniform(F.lit(seed + 1), F.col("_id"), F.col("_copy"), F.col("_scan"))).select("_row", "_rate", "_copy", "_place")
 
 
 def shuffled(rows: DataFrame, parts: int | None = None) -> DataFrame:
@@ -75,7 +77,7 @@ def shuffled(rows: DataFrame, parts: int | None = None) -> DataFrame:
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     got = shuffled(replicate(docs))
-    return got.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy"), F.round("_rate", 9).alias("rate"), F.floor(F.col("_place") * 1e9).cast("long").alias("place"), F.octet_length("_row.text").cast("long").alias("n_bytes"))
+    return got.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy"), F.round("_rate", 9).alias("rate"), F.octet_length("_row.text").cast("long").alias("n_bytes"))
 
 
 OP10_SQL = """
@@ -86,8 +88,6 @@ cdf AS (
     lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1))))) AS c FROM r),
 u AS (SELECT doc_id, source, text, coalesce(source, '') AS s, ('0x' || substr(md5('97:' || doc_id || ':1'), 1, 13))::BIGINT / pow(16, 13) AS u FROM documents),
 k AS (SELECT doc_id, source, text, rate, unnest(range(0, len(list_filter(c, lambda x: x <= u)))) AS copy FROM u JOIN cdf USING (s))
-SELECT doc_id, source, copy::INT AS copy, round(rate, 9) AS rate,
-  CAST(floor(('0x' || substr(md5('98:' || doc_id || ':' || copy), 1, 13))::BIGINT / pow(16, 13) * 1e9) AS BIGINT) AS place,
-  strlen(text)::BIGINT AS n_bytes
+SELECT doc_id, source, copy::INT AS copy, round(rate, 9) AS rate, strlen(text)::BIGINT AS n_bytes
 FROM k
 """
