@@ -58,7 +58,7 @@ def counted(df: DataFrame, name: str, size: Column | None = None) -> tuple[DataF
 
 def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
     """df, which reads these scratch tables; clean_up(df) deletes them when it is no longer needed."""
-    df._clausework_owned = [*getattr(df, "_clausework_owned", []), *tables]
+    df._clausework_owned = [x for t in tables for x in (t, *getattr(t, "_clausework_owned", []))]
     return df
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, text_key, written  # noqa: F401
+from .common import clean_up, connected_components, counted, forget, owning, small_side, written
 
 #: Vectors in a block at most; larger groups are tiled.
 BLOCK = 1024
@@ -41,14 +41,32 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.93, seed: int = 5, mis
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     # -0.0 and 0.0 are one component; the key stands for label and vector.
     plus = F.transform(e, lambda x: x.cast("double") + F.lit(0.0))
+    as_stored = F.transform(e, lambda x: x + F.lit(0.0).cast(rows.schema["embedding"].dataType.elementType))
     keyed = rows.withColumn("_ok", F.coalesce(ok & fine, F.lit(False))).withColumn("_h1", F.when(F.col("_ok"), F.xxhash64("label", plus))).withColumn("_h2", F.when(F.col("_ok"), F.xxhash64(F.lit(7919), plus, F.col("label"))))
-    classes = written(keyed.where("_ok").groupBy("_h1", "_h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(plus, "vec_id").alias("v"), F.first("label").alias("label")), "veccls")
+    classes = written(keyed.where("_ok").groupBy("_h1", "_h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(as_stored, "vec_id").alias("v"), F.first("label").alias("label")), "veccls")
     sizes = classes.groupBy("label", F.size("v").alias("d")).count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     dims = sorted(r[0] for r in sizes.select("d").distinct().limit(1000).collect())
     bits, tables = plan(largest, threshold, miss)
 
-    def codes(batches):
+    def codes_of(x: np.ndarray, planes: dict) -> np.ndarray:
+        """A code for each vector and table."""
+        d = x.shape[1]
+        if d not in planes:
+            planes[d] = np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, bits * tables))
+        x = x.astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in squares
+        return ((x @ planes[d] >= 0).reshape(len(x), tables, bits) << np.arange(bits)).sum(axis=2).astype(np.int32)
+
+    names = ["t", "code", "label", "d", "rep", "copies"]
+
+    def slim(batches):
+        return coded(batches, False)
+
+    def full(batches):
+        return coded(batches, True)
+
+    def coded(batches, whole):
         planes = {}
         for batch in batches:
             reps, copies, label = (batch.column(c).to_numpy() for c in ("rep", "copies", "label"))
@@ -57,31 +75,30 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.93, seed: int = 5, mis
             flat = vs.flatten().to_numpy()
             at = np.concatenate(([0], np.cumsum(lens)))
             for d in np.unique(lens):
-                if d not in planes:
-                    planes[d] = np.random.Generator(np.random.PCG64([seed, int(d)])).standard_normal((d, bits * tables))
                 mine = np.flatnonzero(lens == d)
                 x = flat[at[mine][:, None] + np.arange(d)]
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in squares
-                signs = (x @ planes[d] >= 0).reshape(len(mine), tables, bits)
-                code = (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
+                code = codes_of(x, planes)
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), t, np.int32)), pa.array(code[:, t].astype(np.int32)), pa.array(label[mine]), pa.array(np.full(len(mine), d, np.int32)), pa.array(reps[mine]), pa.array(copies[mine]),
-                         pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(d)).cast(pa.list_(pa.float64())), pa.FixedSizeListArray.from_arrays(pa.array(code.ravel()), tables).cast(pa.list_(pa.int32()))],
-                        names=["t", "code", "label", "d", "rep", "copies", "v", "codes"])
+                        [pa.array(np.full(len(mine), t, np.int32)), pa.array(code[:, t]), pa.array(label[mine]), pa.array(np.full(len(mine), d, np.int32)), pa.array(reps[mine]), pa.array(copies[mine]),
+                         *([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(d)).cast(vs.type)] if whole else [])], names=names + ["v"] * whole)
 
-    coded = classes.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(codes, "t int, code int, label long, d int, rep long, copies long, v array<double>, codes array<int>") if dims else None
-    if coded is None:
+    if not dims:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
-    coded = written(coded, "veccodes")
+    spread = classes.select("rep", "copies", "label", "v").repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = ["t", "label", "d", "code"]
-    big = written(coded.groupBy(*key).count().where(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("s")), "vecbig")
-    met = coded.join(big, key, "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep", "t"), F.col("s")).cast("int"))
+    # Sizes of buckets first, from codes alone; vectors are then shuffled once a table, as they were stored.
+    sizes = spread.mapInArrow(slim, "t int, code int, label long, d int, rep long, copies long").groupBy(*key).count()
+    big, n_big = counted(sizes.where(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("s")), "vecbig")
+    coded_rows = spread.mapInArrow(full, f"t int, code int, label long, d int, rep long, copies long, v {classes.schema['v'].dataType.simpleString()}")
+    met = coded_rows.join(small_side(big, n_big, 48), key, "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep", "t"), F.col("s")).cast("int"))
     # Chunk c meets every chunk, itself included: tile (i, j) with i <= j.
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
     tile = [*key, "i", "j"]
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.select(*tile, "c", "rep", "copies", "v", "codes").repartition(parts, *tile).sortWithinPartitions(*tile, "rep")
+    dealt = met.select(*tile, "c", "rep", "copies", "v").repartition(parts, *tile).sortWithinPartitions(*tile, "rep")
+
+    planes: dict = {}
 
     def verify(batches):
         held: list[pa.RecordBatch] = []
@@ -106,9 +123,11 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.93, seed: int = 5, mis
             return
         rep, copies, c = (t[x].to_numpy() for x in ("rep", "copies", "c"))
         x = t["v"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        code = t["codes"].combine_chunks().flatten().to_numpy().reshape(n, -1)
         table, i, j = (t[x][0].as_py() for x in ("t", "i", "j"))
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        raw = x
+        x = x.astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         if i != j:
@@ -117,6 +136,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.93, seed: int = 5, mis
         if not len(a):
             return
         if table:
+            code = codes_of(raw, planes)
             new = ~(code[a, :table] == code[b, :table]).any(axis=1)
             a, b = a[new], b[new]
         if not len(a):
@@ -134,16 +154,17 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.93, seed: int = 5, mis
         yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(links[out]), pa.array(rep[root[out]])], names=["rep", "links", "root"])
 
     found = written(dealt.mapInArrow(verify, "rep long, links long, root long"), "vecfound")
-    forget(coded, big)
-    comps = connected_components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    forget(big)
+    comps = linked = connected_components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_class = written(
         classes.select("_h1", "_h2", "rep", "copies").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .select("_h1", "_h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vecout")
-    forget(found)
+    forget(found, classes)
+    clean_up(linked)
     out = keyed.select("vec_id", "_h1", "_h2").join(by_class, ["_h1", "_h2"], "left")
     comp = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
+    return owning(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept")), by_class)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

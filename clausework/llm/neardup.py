@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import U, connected_components, forget, mix, shingles, packed, small_side, text_key, written
+from .common import U, clean_up, connected_components, forget, mix, owning, shingles, packed, small_side, text_key, written
 
 #: 25 bands of 5 registers: a pair at 0.8 is missed with chance 5e-5, a pair at 0.3 is tried with chance 6 in 100.
 BANDS, ROWS = 25, 5
@@ -100,6 +100,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     tried = connected_components(keys.join(met, "k").where("u != m").select(F.col("u").alias("a"), F.col("m").alias("b")))
     members = written(tried.select(F.col("node").alias("_h1"), F.col("component").alias("g")).join(texts.select("_h1", "_h2", "rep"), "_h1"), "mh-members")
     forget(met)
+    clean_up(tried)
     n = members.count()
     parts = _parts(docs)
 
@@ -117,11 +118,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     crowded = written(blocks.crowds(members.select("g")), "mh-crowded")
     dealt = blocks.tiled(wanted.select("g", "_h1", "text").mapInArrow(elements, "g long, u long, e array<long>"), crowded)
     links = written(blocks.forest(dealt, 2 * parts, TENTHS), "mh-links")
-    comps = connected_components(links).select(F.col("node").alias("_h1"), F.col("component").alias("c"))
+    linked = connected_components(links)
+    comps = linked.select(F.col("node").alias("_h1"), F.col("component").alias("c"))
     told = written(texts.select("_h1", "_h2", "rep", "copies").join(comps, "_h1", "left").where("c IS NOT NULL OR copies > 1").withColumn("c", F.coalesce("c", "_h1")), "mh-told")
     forget(members, crowded, links, texts)
+    clean_up(linked)
     least = told.groupBy("c").agg(F.min("rep").alias("class_id"))
-    return written(told.join(least, "c").select("_h1", "_h2", "class_id", "rep", "c"), "mh-classes")
+    got = written(told.join(least, "c").select("_h1", "_h2", "class_id", "rep", "c"), "mh-classes")
+    forget(told)
+    return got
 
 
 def _cuts(of: np.ndarray, n: int) -> list[slice]:
@@ -144,20 +149,21 @@ def with_classes(docs: DataFrame) -> DataFrame:
     words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x00-\\x20]")
     side = got.select("_h1", "_h2", F.col("class_id").alias("_class"), F.col("c").alias("_c"))
     out = packed(docs, "doc_id", "text").withColumn("_h1", h1).withColumn("_h2", h2).join(small_side(side, n, 40), ["_h1", "_h2"], "left").withColumn("_c", F.coalesce("_c", "_h1")).drop("_h1", "_h2")
-    return out.withColumn("_class", F.when(words & F.col("_class").isNotNull(), F.col("_class")).otherwise(F.col("doc_id")))
+    return owning(out.withColumn("_class", F.when(words & F.col("_class").isNotNull(), F.col("_class")).otherwise(F.col("doc_id"))), got)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept) for each row. kept: the document with the smallest id of its class. Null ids: their class is that of their text, and they are kept only where all ids of the class are null."""
     got = with_classes(docs.select("doc_id", "text"))
-    return got.select("doc_id", F.col("_class").alias("class_id"), F.col("doc_id").eqNullSafe(F.col("_class")).alias("kept"))
+    return owning(got.select("doc_id", F.col("_class").alias("class_id"), F.col("doc_id").eqNullSafe(F.col("_class")).alias("kept")), got)
 
 
 def one_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: that with the smallest id. Of rows that repeat an id (or a null one) within a class, one stays; they are gathered only if there are any."""
-    got = with_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("_class")))
+    classed = with_classes(docs)
+    got = classed.where(F.col("doc_id").eqNullSafe(F.col("_class")))
     total, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    return (got if total == distinct else got.dropDuplicates(["doc_id", "_c"])).select("_row.*")
+    return owning((got if total == distinct else got.dropDuplicates(["doc_id", "_c"])).select("_row.*"), classed)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -23,13 +23,14 @@ def frame(spark, texts=ODD):
 def test_shards(spark):
     df = frame(spark, ODD * 7).withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")))
     got = sharding.shard(df, n_shards=4, bucket_bytes=2000).collect()
-    assert len(got) == len(ODD) * 7 and sorted(r.text or "" for r in got) == sorted((t or "") for t in ODD * 7)
+    assert len(got) == len(ODD) * 7 and sorted(r._row.text or "" for r in got) == sorted((t or "") for t in ODD * 7)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
     assert set(by) == {0, 1, 2, 3} and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shard(df.limit(0)).count() == 0
+    assert all(r._row.shard == 9 for r in got) and got[0]._row.asDict().keys() == set(df.columns)
 
 
 def test_shard_query(spark, sf):
@@ -310,5 +311,11 @@ def test_mixing(spark):
     assert mixing.replicate(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, None), (1, None), (1, None)], "doc_id long, source string")
     assert mixing.replicate(nulls, total=300.0).select("_row.*").columns == ["doc_id", "source"]
+    # Rows without an id, or with one id, draw or lie by their place in the scan.
+    same = spark.range(12_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"))
+    for df in (same, same.withColumn("doc_id", F.lit(5).cast("long"))):
+        spread = mixing.shuffled(mixing.replicate(df, total=24_000.0), 16).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert not spread or (len(spread) == 16 and max(r["count"] for r in spread) < 3 * min(r["count"] for r in spread))
+    assert 23_000 < mixing.replicate(same, total=24_000.0).count() < 25_000
     many = mixing.replicate(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")), total=60000.0).count()
     assert 58500 < many < 61500
