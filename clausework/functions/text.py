@@ -5,8 +5,12 @@ Word edges are explicit classes of letters, digits and underscore, which mean th
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Word lists and patterns of the gates.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -21,13 +25,22 @@ PHENOMENA = {
 }
 MARKERS = ("it", "its", "they", "them", "their", "this unit", "that unit", "these units", "those units", "former", "latter", "aforementioned")
 TITLE_STOPWORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+#: Heads of a definition that name no kind, and words that open or refuse one.
+NO_KINDS = ("application", "division", "part", "subset", "one", "type", "kind", "form", "processing", "combination", "group", "set", "component", "aspect")
+LEADS = "within|under|during|when|if|although|according|for"
+REFUSED = "or|either|neither|nor|unless|except|if|not|no|may|might|can|must"
+#: Publication numbers, and a month with its year.
+CITED = rf"FM\s+[0-9][0-9-]*|(ATP|ADP|ADRP|JP)\s+[0-9][0-9.-]*|({MONTHS})\s+[0-9]{{4}}"
+#: White space in any script, in a notation that several dialects share.
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WORD = r"[\p{L}\p{N}_]"
 MAX_TOKENS = 64
 MIN_SENTENCE_WORDS = 5
 
 
 def bounded(words: str) -> str:
     """A pattern for words that stand by themselves, any case."""
-    return rf"(?i)(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])"
+    return rf"(?i)(?<!{WORD})(?:{words})(?!{WORD})"
 
 
 def has_word(text: Column, words: str) -> Column:
@@ -35,8 +48,8 @@ def has_word(text: Column, words: str) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space, of any script, become one blank; ends are trimmed."""
+    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
 def text_key(text: Column) -> Column:
@@ -45,21 +58,26 @@ def text_key(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space, without empty ones."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
     return F.size(words(text))
 
 
+def n_squashed(text: Column) -> Column:
+    """Words of a squashed text: one more than its blanks."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+
+
 def sentences(text: Column) -> Column:
-    """Pieces that end in . ! or ? before white space."""
-    return F.transform(F.split(text, r"(?<=[.!?])\s+"), squash)
+    """Squashed pieces that end in . ! or ? before white space."""
+    return F.split(squash(text), "(?<=[.!?]) ")
 
 
 def is_sentence(s: Column) -> Column:
-    """Five words or more, not only digits and signs, no bullet in front."""
-    return (n_words(s) >= MIN_SENTENCE_WORDS) & F.regexp_like(s, F.lit(r"\p{L}")) & ~F.regexp_like(s, F.lit(rf"^\s*({BULLETS}|[-*] )"))
+    """Of a squashed text: five words or more, not only digits and signs, no bullet in front."""
+    return (n_squashed(s) >= MIN_SENTENCE_WORDS) & F.regexp_like(s, F.lit(r"\p{L}")) & ~F.regexp_like(s, F.lit(rf"^\s*({BULLETS}|[-*] )"))
 
 
 def first_sentence(text: Column) -> Column:
@@ -71,9 +89,18 @@ def first_sentence(text: Column) -> Column:
     return F.when((n_words(first) >= 6) & F.regexp_like(first, F.lit(r"[.!?]$")), first)
 
 
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, for which there is no built-in function."""
+    return pandas_udf(_nfkc, "string")(text)
+
+
 def clean_line(line: Column) -> Column:
-    """A line without soft hyphens, with broken words joined and blanks squashed; NULL for numbers, running heads and short lines in capitals."""
-    t = squash(F.regexp_replace(F.replace(line, F.lit("­"), F.lit("")), r"([A-Za-z0-9_])-\s+([A-Za-z0-9_])", "$1$2"))
+    """A line composed (NFKC), without soft hyphens, with broken words joined and blanks squashed; NULL for numbers, running heads and short lines in capitals."""
+    t = squash(F.regexp_replace(F.replace(nfkc(line), F.lit("­"), F.lit("")), rf"(?<={WORD})-{BLANK}+(?={WORD})", ""))
     head = F.regexp_like(t, F.lit(rf"^(?i)(FM\s+[0-9][0-9-]*|(CHAPTER|SECTION)\s+[A-Za-z0-9_]+(\s+[A-Za-z0-9_]+)*|([0-9]{{1,2}}\s+)?({MONTHS})\s+[0-9]{{4}})$"))
     shout = (n_words(t) < 6) & F.regexp_like(t, F.lit(r"\p{L}")) & (F.upper(t) == t)
     return F.when(t == "", t).when(F.regexp_like(t, F.lit(r"^[0-9]+$")) | head | shout, F.lit(None).cast("string")).otherwise(t)
@@ -89,7 +116,7 @@ def is_heading(line: Column) -> Column:
 
 def join_hyphens(page: Column) -> Column:
     """Words broken over a line end by a hyphen are joined."""
-    return F.regexp_replace(page, r"([A-Za-z0-9_])-[ \t]*\n\s*([A-Za-z0-9_])", "$1$2")
+    return F.regexp_replace(page, rf"(?<={WORD})-[ \t]*\n{BLANK}*(?={WORD})", "")
 
 
 def is_noise(text: Column) -> Column:
@@ -97,27 +124,34 @@ def is_noise(text: Column) -> Column:
     t = squash(text)
     return (
         (t == "") | F.regexp_like(t, F.lit(BULLETS)) | F.regexp_like(t, F.lit(r"^(?i)[(\[]see"))
-        | has_word(t, r"FM\s+[0-9][0-9-]*") | has_word(t, r"(ATP|ADP|ADRP|JP)\s+[0-9][0-9.-]*") | has_word(t, rf"({MONTHS})\s+[0-9]{{4}}") | F.regexp_like(t, F.lit(r"^[0-9]+-[0-9]+($|[^\p{L}\p{N}_])"))
+        | has_word(t, CITED) | F.regexp_like(t, F.lit(r"^[0-9]+-[0-9]+($|[^\p{L}\p{N}_])"))
     )
 
 
 def unsupported_reasons(text: Column) -> Column:
     """Why the controlled fragment cannot hold a sentence: several sentences, over 64 tokens, the first discourse marker."""
-    t = squash(F.regexp_replace(text, r"^(?i)\s*translate(\s+to\s+[A-Za-z0-9_]+)?\s*:\s*", ""))
-    pieces = F.filter(F.split(t, "[.!?]+"), lambda p: F.trim(p) != "")
-    n = F.regexp_count(t, F.lit("[A-Za-z0-9_?'-]+"))
-    said = F.regexp_replace(F.regexp_replace(t, r"^(?i)it is not the case that\s+", ""), r"(?i)(^|[^\p{L}\p{N}_])as\s+its\s+(agent|patient|destination|origin)($|[^\p{L}\p{N}_])", "$1as SLOT$3")
+    t, several, n, said = _fragment(text)
     marker = F.coalesce(*[F.when(has_word(said, m), F.lit(f"marker {m}")) for m in MARKERS])
-    return F.array_compact(F.array(F.when(F.size(pieces) > 1, F.lit("several sentences")), F.when(n > MAX_TOKENS, F.concat(F.lit("too long: "), n.cast("string"))), marker))
+    return F.array_compact(F.array(F.when(several, F.lit("several sentences")), F.when(n > MAX_TOKENS, F.concat(F.lit("too long: "), n.cast("string"))), marker))
+
+
+def _fragment(text: Column) -> tuple[Column, Column, Column, Column]:
+    """A prompt's text, whether it is several sentences, its tokens, and it without the two exempted phrases."""
+    t = squash(F.regexp_replace(text, r"^(?i)\s*translate(\s+to\s+[A-Za-z0-9_]+)?\s*:\s*", ""))
+    several = F.regexp_like(t, F.lit("(?s)[^.!? ].*?[.!?].*?[^.!? ]"))
+    said = F.regexp_replace(F.regexp_replace(t, r"^(?i)it is not the case that\s+", ""), bounded(r"as\s+its\s+(agent|patient|destination|origin)"), "as SLOT")
+    return t, several, F.regexp_count(t, F.lit("[A-Za-z0-9_?'-]+")), said
 
 
 def unsupported(text: Column) -> Column:
-    return F.size(unsupported_reasons(text)) > 0
+    """Whether there is any of unsupported_reasons(), with all markers in one pattern; so many tokens need twice as many characters."""
+    t, several, n, said = _fragment(text)
+    return several | ((F.length(t) > 2 * MAX_TOKENS) & (n > MAX_TOKENS)) | has_word(said, "|".join(MARKERS))
 
 
 def scoped(text: Column) -> Column:
     """Scope or modality words, or a contracted negation."""
-    return has_word(text, SCOPE_WORDS) | F.regexp_like(text, F.lit(r"(?i)n['’]t($|[^\p{L}\p{N}_])"))
+    return F.regexp_like(text, F.lit(rf"{bounded(SCOPE_WORDS)}|n['’]t(?!{WORD})"))
 
 
 def phenomena(text: Column) -> Column:
@@ -144,7 +178,11 @@ def spaced(term: Column) -> Column:
 
 
 def pascal(phrase: Column) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(phrase, F.lit("[A-Za-z0-9]+"), 0), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(phrase, F.lit("[A-Za-z0-9]+"), 0), lambda w: upper_first(w)), "")
+
+
+def upper_first(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
 
 
 def article(word: Column) -> Column:
@@ -152,21 +190,22 @@ def article(word: Column) -> Column:
 
 
 def singular(phrase: Column) -> Column:
-    """The head noun (the last word) in the singular."""
+    """The head noun (the last word) in the singular, in any case: ies (of over four letters) to y, ses, xes, ches and shes without es, other s but ss, us and is without s."""
     w = F.regexp_extract(phrase, r"([^ ]+)$", 1)
     rest = F.regexp_replace(phrase, r"[^ ]+$", "")
     one = (
-        F.when(F.regexp_like(w, F.lit("[^aeiou]ies$")), F.regexp_replace(w, "ies$", "y"))
-        .when(F.regexp_like(w, F.lit("(s|x|z|ch|sh)es$")), F.regexp_replace(w, "es$", ""))
-        .when(F.regexp_like(w, F.lit("[^su]s$")), F.regexp_replace(w, "s$", "")).otherwise(w)
+        F.when(F.regexp_like(w, F.lit("(?i)..ies$")), F.regexp_replace(w, "(?i)ies$", "y"))
+        .when(F.regexp_like(w, F.lit("(?i)(s|x|ch|sh)es$")), F.regexp_replace(w, "(?i)es$", ""))
+        .when(F.regexp_like(w, F.lit("(?i)(^|[^sui])s$")), F.regexp_replace(w, "(?i)s$", "")).otherwise(w)
     )
     return F.concat(rest, one)
 
 
 def ngrams(tokens: Column, longest: int = 6) -> Column:
-    """Runs of 1 to `longest` words, longest first, distinct."""
-    runs = F.transform(F.sequence(F.lit(longest), F.lit(1), F.lit(-1)), lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda k: F.array_join(F.slice(tokens, k, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(runs))
+    """Runs of 1 to `longest` words, longest first, distinct. The tokens are bound once, so they are not made anew for each run."""
+    none = F.array().cast("array<string>")
+    runs = lambda t: F.transform(F.sequence(F.lit(longest), F.lit(1), F.lit(-1)), lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda k: F.array_join(F.slice(t, k, n), " "))).otherwise(none))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(tokens), runs))))
 
 
 def clean_doc(doc: Column) -> Column:
@@ -181,9 +220,9 @@ def definition_head(sentence: Column) -> dict[str, Column]:
     pattern = r"^(?i)\s*([A-Za-z][A-Za-z'-]*(?:\s+[A-Za-z][A-Za-z'-]*){0,5}?)\s+(?:is|are)\s+(?:(?:a|an|the)\s+)?([A-Za-z][A-Za-z'-]*)(?:$|[^\p{L}\p{N}_].*)"
     subject, head = F.regexp_extract(sentence, pattern, 1), F.lower(F.regexp_extract(sentence, pattern, 2))
     reason = (
-        F.when(F.regexp_like(sentence, F.lit(r"(?i)^(within|under|during|when|if|although|according|for)($|[^\p{L}\p{N}_])")), "leading_scope")
-        .when(has_word(sentence, "or|either|neither|nor|unless|except|if|not|no|may|might|can|must"), "condition_negation_or_disjunction")
+        F.when(F.regexp_like(sentence, F.lit(rf"(?i)^({LEADS})(?!{WORD})")), "leading_scope")
+        .when(has_word(sentence, REFUSED), "condition_negation_or_disjunction")
         .when(head == "", "no_simple_definition_head")
-        .when(head.isin("application", "division", "part", "subset", "one", "type", "kind", "form", "processing", "combination", "group", "set", "component", "aspect") | F.endswith(head, F.lit("ed")), "non_kind_predicate")
+        .when(head.isin(*NO_KINDS) | F.endswith(head, F.lit("ed")), "non_kind_predicate")
     )
     return {"reason": reason, "subject": F.when(reason.isNull(), subject), "head": F.when(reason.isNull(), head)}

@@ -80,40 +80,101 @@ def retrieve(records: DataFrame, *, term=None, relation=None, section=None, page
     return out if limit is None else out.limit(max(0, limit))
 
 
-#: Words too common to be credible arguments by themselves.
-WEAK_ARGUMENTS = ("state", "states", "thing", "object", "time", "part", "process", "number", "group", "area", "human", "unit")
-
-
-def _phrase(text: Column, phrase: Column, plural: bool) -> Column:
-    return F.regexp_like(text, F.concat(F.lit("(^|[^a-z0-9])"), phrase, F.lit("(s|es)?" if plural else ""), F.lit("($|[^a-z0-9])")))
-
-
-def gate(rows: DataFrame) -> DataFrame:
-    """rows (id, cnl, source, relations, classes) with pattern and reason (NULL: accepted); the first failing check is the reason."""
-    src = F.lower(X.squash(F.col("source")))
+#: Words that are no credible argument by themselves.
+WEAK_ARGUMENTS = frozenset("""
+on in at by to of for as or up out off into from with over under between through within without near above below
+may can will shall must would could should might
+dangerous likely unlikely key right left large larger largest small smaller smallest high higher highest low lower lowest
+long short full main major minor most least best worst first last next great greater greatest new old
+critical important significant effective current general primary secondary available possible necessary specific particular
+various different common typical normal basic direct indirect rapid continuous simultaneous friendly hostile decisive
+all each every any both such other many few several more less much
+plan power time type kind part way point form role area case line state states level order place step phase stage side
+range scope field base core unit end goal task result effect impact factor method system domain model class value
+input output source target number size depth rate data fact risk cost loss gain term rule view mode means measure degree
+force need act use move turn shift change run set human enemy surprise security
+making planning processing training building running setting moving turning shifting
+fog friction function action operation process report mission structure nature challenge reason aspect consideration
+""".split())
+#: Parents that a background edge does not license.
+NOT_IMPLIED = ("MilitaryProcess", "Procedure")
+_CLAIM = r"([A-Za-z][A-Za-z0-9_]*)\s+subclass-of\s+([A-Za-z][A-Za-z0-9_]*)"
+
+
+def natural(text: Column) -> Column:
+    """Lower words of letters and digits: names in Pascal case and underscores come apart, other signs become blanks."""
+    apart = F.regexp_replace(F.replace(text, F.lit("_"), F.lit(" ")), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    return X.squash(F.regexp_replace(F.lower(apart), r"[^a-z0-9\s]+", " "))
+
+
+def or_plural(phrase: Column) -> Column:
+    """A pattern for a natural phrase or its plural."""
+    return (
+        F.when(F.regexp_like(phrase, F.lit("[^aeiou]y$")), F.concat(F.regexp_replace(phrase, "y$", ""), F.lit("(?:y|ies)")))
+        .when(F.regexp_like(phrase, F.lit("(s|x|z|ch|sh)$")), F.concat(phrase, F.lit("(?:es)?"))).otherwise(F.concat(phrase, F.lit("s?")))
+    )
+
+
+def _said(text: Column, pattern: Column) -> Column:
+    return F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])(?:"), pattern, F.lit(")(?![a-z0-9])")))
+
+
+def gate(rows: DataFrame, *, aliases: dict[str, list[str]] | None = None, background: DataFrame | None = None) -> DataFrame:
+    """rows (id, cnl, source, relations, classes) with pattern, reason (NULL: accepted; the first failing check) and ungrounded terms.
+
+    aliases: further phrases of a class, a short written list. background: edges (child, parent) known beforehand; a lone
+    subclass statement that is one of them needs a definition of its child in the source, but not the parent's name. Every
+    subclass statement of a text is checked. A NULL source supports nothing.
+    """
+    src = natural(F.coalesce("source", F.lit("")))
     pattern = C.classify(F.col("cnl"))
-    nat = lambda t: X.spaced(t)
-    kinds = {"copular": X.has_word(src, r"(is|are|was|were)\s+(an?|the|some)"), "listing": X.has_word(src, r"consists?\s+of|comprises?"), "there": X.has_word(src, r"some|there\s+is|there\s+are|exists|exist")}
-    child, parent = F.regexp_extract("cnl", r"([A-Za-z][A-Za-z0-9_]*)\s+subclass-of\s+([A-Za-z][A-Za-z0-9_]*)", 1), F.regexp_extract("cnl", r"([A-Za-z][A-Za-z0-9_]*)\s+subclass-of\s+([A-Za-z][A-Za-z0-9_]*)", 2)
-    exists = F.exists("classes", lambda t: F.regexp_like(src, F.concat(F.lit(r"(there (is|are|exists?) .*|at least one |some (entity is (an? |the )?)?|an? instance of )"), nat(t), F.lit("($|[^a-z0-9])"))) | F.regexp_like(src, F.concat(F.lit("(an?|the) "), nat(t), F.lit(" exists?($|[^a-z0-9])"))))
-    weak = F.exists("classes", lambda t: nat(t).isin(*WEAK_ARGUMENTS))
-    bad_rel = F.exists("relations", lambda t: ~_phrase(src, nat(t), False))
-    bad_class = F.exists("classes", lambda t: ~_phrase(src, nat(t), True))
-    forward = F.regexp_like(src, F.concat(F.lit("^((a|an|the) )?"), nat(child), F.lit(r" (is|are) ((a|an|the) )?((type|kind|form) of )?"), nat(parent), F.lit("($|[^a-z0-9])")))
-    listed = F.regexp_like(src, F.concat(F.lit("^((a|an|the) )?"), nat(parent), F.lit("(s|es)? (consists? of|comprises?) (.*[^a-z0-9])?"), nat(child), F.lit("(s|es)?($|[^a-z0-9])")))
-    n_c, n_r = F.size("classes"), F.size("relations")
+    told = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in aliases.items() for x in kv]) if aliases else None
+    phrases = lambda t: F.concat(F.array(natural(t)), F.coalesce(F.transform(F.try_element_at(told, t), natural), F.array().cast("array<string>"))) if aliases else F.array(natural(t))
+    named = lambda t: F.exists(phrases(t), lambda p: _said(F.col("_src"), or_plural(p)))
+    rows = rows.withColumns({"_src": src, "_pattern": pattern, "_claims": F.transform(F.regexp_extract_all("cnl", F.lit(_CLAIM), 0), lambda c: F.split(c, r"\s+subclass-of\s+"))})
+    lone = F.regexp_extract("cnl", rf"^\s*{_CLAIM}\s*\.?\s*$", 1)
+    rows = rows.withColumns({"_child": lone, "_parent": F.regexp_extract("cnl", rf"^\s*{_CLAIM}\s*\.?\s*$", 2)})
+    if background is not None:
+        known = background.where(~F.col("parent").isin(*NOT_IMPLIED)).select(F.col("child").alias("_child"), F.col("parent").alias("_parent"), F.lit(True).alias("_edge")).distinct()
+        rows = rows.join(known, ["_child", "_parent"], "left")
+    else:
+        rows = rows.withColumn("_edge", F.lit(None).cast("boolean"))
+    s = F.col("_src")
+    like = lambda p: F.regexp_like(s, F.lit(p))
+    copular, listing = like(r"\b(?:is|are|was|were)\s+(?:an?|the|some)\b"), like(r"\b(?:consists?\s+of|comprises?)\b")
+    implied = F.coalesce("_edge", F.lit(False)) & like(r"\b(?:is|are|was|were)\s+(?:(?:an?|the)\s+|intelligence\b)") & named(F.col("_child"))
+    rows = rows.withColumn("_implied", implied)
+    implied = F.col("_implied")
+    there = lambda p: F.regexp_like(s, F.concat(F.lit(r"\bthere (?:is|are|exists?)\b.*\b"), p, F.lit(r"\b|\b(?:at least one|some(?: entity is(?: an?| the)?)?|an? instance of) "), p, F.lit(r"\b|\b(?:an?|the) "), p, F.lit(r" exists?\b")))
+    exists = like(r"\b(?:some|there\s+is|there\s+are|exists|exist)\b") & F.exists("classes", lambda t: F.exists(phrases(t), there))
+    weak = F.exists("classes", lambda t: F.when(F.contains(natural(t), F.lit(" ")), F.exists(F.split(natural(t), " "), lambda w: w.isin(*WEAK_ARGUMENTS) & F.array_contains("relations", w))).otherwise(natural(t).isin(*WEAK_ARGUMENTS)))
+    bad_rel = F.filter("relations", lambda t: ~_said(s, natural(t)))
+    bad_class = F.filter("classes", lambda t: ~(implied & (t == F.col("_parent"))) & ~named(t))
+
+    def stated(claim: Column) -> Column:
+        """The source says that the claim's child is its parent, by a copula or by listing the parent's members."""
+        child, parent = phrases(F.element_at(claim, 1)), phrases(F.element_at(claim, 2))
+        head = lambda p: F.concat(F.lit(r"^(?:(?:a|an|the) )?"), p, F.lit(r" (?:is|are) "))
+        tail = lambda p: F.concat(F.lit(r"(?:(?:a|an|the) )?(?:(?:type|kind|form) of )?"), p, F.lit("(?![a-z0-9])"))
+        copula = F.exists(child, lambda c: (implied & F.regexp_like(s, head(c))) | F.exists(parent, lambda p: F.regexp_like(s, F.concat(head(c), tail(p)))))
+        members = lambda p, c: F.regexp_like(s, F.concat(F.lit(r"^(?:(?:a|an|the) )?"), or_plural(p), F.lit(r" (?:consists? of|comprises?) (?:.*(?<![a-z0-9]))?(?:"), or_plural(c), F.lit(")(?![a-z0-9])")))
+        return copula | F.exists(parent, lambda p: F.exists(child, lambda c: members(p, c)))
+
+    n_c, n_r, p, claims = F.size("classes"), F.size("relations"), F.col("_pattern"), F.col("_claims")
     reason = (
-        F.when((pattern == "subclass") & (child == parent), "degenerate_form")
-        .when((pattern == "subclass") & ((n_c < 2) | ~(kinds["copular"] | kinds["listing"])), "weak_grounding")
-        .when((pattern == "instance") & ((n_c < 1) | ~kinds["copular"]), "weak_grounding")
-        .when((pattern == "existential") & ((n_c < 1) | ~(kinds["there"] & exists)), "weak_grounding")
-        .when((pattern == "relation") & (n_r > 0) & (n_c == 0), "degenerate_form")
-        .when((pattern == "relation") & weak, "weak_argument")
-        .when((pattern == "nary") & (n_r > 0) & (n_c < 3), "degenerate_form")
-        .when(bad_rel, "ungrounded_relation").when(bad_class, "ungrounded_class_terms").when(X.scoped(F.col("source")), "unverified_scope")
-        .when((child != "") & (F.regexp_like(F.trim("cnl"), F.lit("^not ")) | ~(forward | listed)), "unverified_subclass_direction")
+        F.when((p == "subclass") & F.exists(claims, lambda c: F.element_at(c, 1) == F.element_at(c, 2)), "degenerate_form")
+        .when((p == "subclass") & ((n_c < 2) | ~(copular | listing | implied)), "weak_grounding")
+        .when((p == "instance") & ((n_c < 1) | ~copular), "weak_grounding")
+        .when((p == "existential") & ((n_c < 1) | ~exists), "weak_grounding")
+        .when((p == "relation") & (n_r > 0) & (n_c == 0), "degenerate_form")
+        .when((p == "relation") & weak, "weak_argument")
+        .when((p == "nary") & (n_r > 0) & (n_c < 3), "degenerate_form")
+        .when(F.size("_bad_rel") > 0, "ungrounded_relation").when(F.size("_bad_class") > 0, "ungrounded_class_terms").when(X.scoped(F.coalesce("source", F.lit(""))), "unverified_scope")
+        .when((F.size(claims) > 0) & (F.regexp_like(F.trim("cnl"), F.lit("^not ")) | ~F.forall(claims, stated)), "unverified_subclass_direction")
     )
-    return rows.withColumn("pattern", pattern).withColumn("reason", reason)
+    rows = rows.withColumns({"_bad_rel": bad_rel, "_bad_class": bad_class})
+    rows = rows.withColumns({"pattern": p, "reason": reason, "ungrounded": F.array_distinct(F.concat("_bad_rel", "_bad_class"))})
+    return rows.drop("_src", "_pattern", "_claims", "_child", "_parent", "_edge", "_implied", "_bad_rel", "_bad_class")
 
 
 def evaluation(results: DataFrame, by: list[str] | None = None) -> DataFrame:

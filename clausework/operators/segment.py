@@ -60,7 +60,7 @@ def decomposed(rows: DataFrame, text: str = "sentence") -> DataFrame:
     """rows with parts: a sentence cut at semicolons, or at one relative clause, unless it holds a scope word."""
     t = X.squash(F.col(text))
     tidy = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^(?i)(and|but|or)\s+", ""), r"^[ ,;]+|[ ,;]+$", ""), r"([^.!?])$", "$1.")
-    lift = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100000))
+    lift = X.upper_first
     rel = r"^(?i)([^,;]+?),\s*(?:which|who|that)\s+([^,;]+?),\s*(.+)$"
     semis = F.filter(F.transform(F.split(t, ";"), lambda x: F.trim(x)), lambda x: x != "")
     parts = F.when(X.has_word(t, "or|either|neither|nor|if|unless|not|no|never"), F.array(t)).when(F.size(semis) > 1, semis).when(

@@ -17,7 +17,7 @@ from ..operators import segment as S
 from ..sources import artifacts as ART
 from ..sources import kif as KIF
 from . import fixtures as FX
-from .sql import bounded, noise, phenomena_list, scoped, squash, unsupported, values, words
+from .sql import BLANK, bounded, noise, phenomena_list, scoped, squash, unsupported, values, words
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -37,8 +37,8 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-PIECES = r"""(SELECT doc_id, lang, i AS k, trim(regexp_replace(p, '\s+', ' ', 'g')) AS sentence
-  FROM (SELECT doc_id, lang, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, lang, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)))"""
+PIECES = rf"""(SELECT doc_id, lang, i AS k, {squash('p')} AS sentence
+  FROM (SELECT doc_id, lang, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, lang, string_split(regexp_replace(text, '([.!?]){BLANK}', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)))"""
 IS_SENT = rf"({words('sentence')} >= 5 AND regexp_matches(sentence, '\p{{L}}') AND NOT regexp_matches(sentence, '^\s*([▪⚫•◦●■]|[-*] )'))"
 SENT = f"(SELECT doc_id, lang, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS position FROM {PIECES} WHERE {IS_SENT})"
 
@@ -66,7 +66,7 @@ def flt_route_histogram(spark, d):
     """FLT-01, FLT-02, FLT-05, AGG-13: the flagship"""
     docs = table(spark, d, "documents")
     parts = docs.select("lang", F.explode(X.sentences(F.col("text"))).alias("sentence")).where(X.is_sentence(F.col("sentence")))
-    return S.routed(parts).groupBy("lang", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(X.n_words(F.col("sentence"))).cast("long").alias("n_words"))
+    return S.routed(parts).groupBy("lang", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(X.n_squashed(F.col("sentence"))).cast("long").alias("n_words"))
 
 
 @query(f"SELECT t AS tag, count(*) AS n FROM (SELECT unnest({phenomena_list('sentence')}) AS t FROM {SENT}) GROUP BY 1")
@@ -137,12 +137,13 @@ def prj_terms(spark, d):
     return t.select("term", s.alias("spaced"), X.pascal(F.when(F.col("term") == "USArmy", F.lit("US Army")).otherwise(F.initcap(s))).alias("again"), X.article(s).alias("article"), X.singular(F.col("plural")).alias("singular"))
 
 
-@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:8] AS t FROM benchmark),
-g AS (SELECT DISTINCT item_id, array_to_string(t[k:k + n - 1], ' ') AS gram FROM w, range(1, 7) a(n), range(1, 9) b(k) WHERE k + n - 1 <= len(t))
+@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM benchmark),
+p AS (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS k FROM w),
+g AS (SELECT DISTINCT item_id, array_to_string(t[k:k + n - 1], ' ') AS gram FROM p, range(1, 7) a(n) WHERE k + n - 1 <= len(t))
 SELECT item_id, count(*) AS n_grams, md5(string_agg(gram, '|' ORDER BY gram)) AS grams_md5 FROM g GROUP BY 1""")
 def prj_ngrams(spark, d):
     """PRJ-20"""
-    t = table(spark, d, "benchmark").select("item_id", F.explode(X.ngrams(F.slice(X.words(F.col("text")), 1, 8))).alias("gram"))
+    t = table(spark, d, "benchmark").select("item_id", F.explode(X.ngrams(X.words(F.col("text")))).alias("gram"))
     return t.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_grams"), F.md5(F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("grams_md5"))
 
 
@@ -205,9 +206,9 @@ def cmp_terms(spark, d):
 
 @query(values(FX.GATE, ["id", "cnl", "source", "rel", "cls", "pattern", "reason"], "SELECT id, pattern, coalesce(reason, 'accepted') AS reason"))
 def grd_gate(spark, d):
-    """GRD-01 to GRD-15"""
+    """GRD-01 to GRD-15, PRJ-19"""
     rows = FX.frame(spark, FX.GATE, "id int, cnl string, source string, rel string, cls string, p string, r string").select("id", "cnl", "source", F.filter(F.split("rel", ","), lambda x: x != "").alias("relations"), F.filter(F.split("cls", ","), lambda x: x != "").alias("classes"))
-    return K.gate(rows).select("id", "pattern", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+    return K.gate(rows, aliases={"Watercraft": ["small boat"]}, background=_background(spark)).select("id", "pattern", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
 # ---------------------------------------------------------------- sources
@@ -247,11 +248,11 @@ def rsn_inherited_arity(spark, d):
 # ---------------------------------------------------------------- reasoning
 
 
-PART_EDGES = "(SELECT DISTINCT 'B' || p_brand AS a, 'T' || p_type AS b FROM part WHERE p_partkey <= 400 UNION SELECT DISTINCT 'T' || p_type, 'S' || (p_size % 7) FROM part WHERE p_partkey <= 400 UNION SELECT 'S' || r_regionkey, 'S' || (r_regionkey + 1) FROM region UNION SELECT 'S6', 'S0')"
+PART_EDGES = "(SELECT DISTINCT 'B' || p_brand AS a, 'T' || p_type AS b FROM part UNION SELECT DISTINCT 'T' || p_type, 'S' || (p_size % 7) FROM part UNION SELECT 'S' || r_regionkey, 'S' || (r_regionkey + 1) FROM region UNION SELECT 'S6', 'S0')"
 
 
 def _part_edges(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 400")
+    p = table(spark, d, "part")
     one = p.select(F.concat(F.lit("B"), "p_brand").alias("a"), F.concat(F.lit("T"), "p_type").alias("b"))
     two = p.select(F.concat(F.lit("T"), "p_type"), F.concat(F.lit("S"), (F.col("p_size") % 7).cast("string")))
     three = table(spark, d, "region").select(F.concat(F.lit("S"), F.col("r_regionkey").cast("string")), F.concat(F.lit("S"), (F.col("r_regionkey") + 1).cast("string")))
@@ -304,11 +305,11 @@ def jon_leakage(spark, d):
     return lines.join(table(spark, d, "benchmark").select("item_id", X.text_key(F.col("text")).alias("k")), "k").select("doc_id", "item_id").distinct()
 
 
-@query(f"SELECT doc_id, array_to_string(f, ',') AS found_in FROM (SELECT doc_id, lower({squash('text')}) AS k FROM documents) JOIN (SELECT k, list(DISTINCT source ORDER BY source) AS f FROM (SELECT lower({squash('text')}) AS k, source FROM documents WHERE doc_id % 3 = 0) GROUP BY k) USING (k)")
+@query(f"SELECT conv_id, turn, array_to_string(f, ',') AS found_in FROM (SELECT conv_id, turn, lower({squash('text')}) AS k FROM conversations) JOIN (SELECT k, list(DISTINCT lang ORDER BY lang) AS f FROM (SELECT lower({squash('text')}) AS k, 'benchmark' AS lang FROM benchmark UNION ALL SELECT lower({squash("unnest(string_split(text, chr(10)))")}), lang FROM documents) WHERE k <> '' GROUP BY k) USING (k)")
 def jon_overlap(spark, d):
-    """JON-04"""
-    docs = table(spark, d, "documents")
-    return A.overlap(docs.select("doc_id", "text"), docs.where("doc_id % 3 = 0")).select("doc_id", F.array_join("found_in", ",").alias("found_in"))
+    """JON-04: turns that are a benchmark text or a line of a document, with what holds them"""
+    known = table(spark, d, "benchmark").select("text", F.lit("benchmark").alias("source")).unionByName(table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text"), F.col("lang").alias("source")))
+    return A.overlap(table(spark, d, "conversations").select("conv_id", "turn", "text"), known.where(X.squash(F.col("text")) != "")).select("conv_id", "turn", F.array_join("found_in", ",").alias("found_in"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'toxic' WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'quality' END AS excluded_by FROM documents")
@@ -333,7 +334,7 @@ def jon_changed(spark, d):
 
 @query("WITH v AS (SELECT unnest(['thor', 'des', 'ist', 'en la']) AS phrase) SELECT c.conv_id, c.turn, v.phrase FROM conversations c, v WHERE contains(' ' || regexp_replace(lower(c.text), '\\s+', ' ', 'g') || ' ', ' ' || v.phrase || ' ')")
 def jon_ngram_link(spark, d):
-    """PRJ-12, JON-08, RTE-18: n-grams meet a phrase index in an equi join"""
+    """JON-08, RTE-18: n-grams meet a phrase index in an equi join"""
     index = spark.createDataFrame([(p,) for p in ("thor", "des", "ist", "en la")], "phrase string")
     toks = X.words(F.lower("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.explode(X.ngrams(toks, 2)).alias("phrase")).join(F.broadcast(index), "phrase").select("conv_id", "turn", "phrase")  # four rows
@@ -386,7 +387,7 @@ def srt_top(spark, d):
 
 @query("SELECT item_id, 'short' AS rule FROM benchmark WHERE length(text) < 120 UNION ALL SELECT item_id, 'several lines' FROM benchmark WHERE contains(text, chr(10)) UNION ALL SELECT item_id, 'odd id' FROM benchmark WHERE item_id % 2 = 1")
 def val_violations(spark, d):
-    """VAL-01, VAL-03, VAL-06"""
+    """The form of all validators, with three rules of its own"""
     t = F.col("text")
     return A.violations(table(spark, d, "benchmark"), "item_id", {"short": F.length(t) < 120, "several lines": F.contains(t, F.lit("\n")), "odd id": F.col("item_id") % 2 == 1})
 
@@ -407,7 +408,7 @@ def grd_declared(spark, d):
 
 @query(values(FX.PROPOSED, ["seq", "candidate", "evidence", "symbol", "genus_phrase", "parents", "kept"], "SELECT seq, symbol, genus_phrase, parents, kept") + " WHERE symbol IS NOT NULL")
 def grd_proposed(spark, d):
-    """GRD-29 to GRD-31, PRJ-27, SRC-15, SET-05"""
+    """GRD-29 to GRD-31, PRJ-27, SET-05"""
     rows = FX.frame(spark, [r[:3] for r in FX.PROPOSED], "seq int, candidate string, evidence string")
     got = D.proposals(rows, _known(spark)).where("symbol IS NOT NULL")
     return D.registry(D.parent_candidates(got, ["Process"], _known(spark))).select("seq", "symbol", "genus_phrase", F.array_join("parents", ",").alias("parents"), "kept")
@@ -569,7 +570,7 @@ def val_run(spark, d):
 
 @query("WITH c AS (" + values(FX.CLASSES, ["seq", "term"], "SELECT *") + r"), n AS (SELECT term, lower(regexp_replace(regexp_replace(term, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')) AS s FROM c), a AS (SELECT term, CASE WHEN s[1] IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || s AS an FROM n) SELECT 'instance' AS pattern, unnest(['It is ' || an || '.', 'The entity is ' || an || '.']) AS nl, '?x is-a ' || term AS cnl, '(instance ?x ' || term || ')' AS kif FROM a UNION ALL SELECT 'existential', unnest(['There is ' || an || '.', 'Some entity is ' || an || '.']), 'some ?x is-a ' || term, '(exists (?x) (instance ?x ' || term || '))' FROM a UNION ALL SELECT 'negation', 'It is not ' || an || '.', 'not ?x is-a ' || term, '(not (instance ?x ' || term || '))' FROM a")
 def gen_unary(spark, d):
-    """GEN-01, GEN-08, GEN-09, each in part"""
+    """GEN-01, GEN-08 and GEN-09, each in part"""
     c = FX.frame(spark, FX.CLASSES, "seq int, term string")
     return A.union_all([P.instance_pairs(c), P.existential_pairs(c), P.negation_pairs(c)])
 

@@ -13,10 +13,12 @@ def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 LINES = [
     (1, "  The   harbour  was  closed. ", "The harbour was closed."), (2, "   ", ""), (3, "42", None), (4, "CHAPTER ONE", None), (5, "FM 7-0", None), (6, "12 March 2021", None),
     (7, "THE HARBOUR MASTER", None), (8, "THE HARBOUR MASTER KEEPS A LOG", "THE HARBOUR MASTER KEEPS A LOG"), (9, "a re- port is kept", "a report is kept"), (10, "sof­t hyphen", "soft hyphen"), (11, "Section Two", None),
+    (12, "the oﬃce keeps ½ a log", "the office keeps 1⁄2 a log"), (13, "an a- b- c of ports", "an abc of ports"), (14, "the\u00a0port\u2003is open", "the port is open"), (15, "ﬁfty é- tages", "fifty étages"),
 ]
 #: term, spaced, article, plural phrase, its singular
 TERMS = [
     ("HarbourMaster", "harbour master", "a", "harbour masters", "harbour master"), ("Estuary", "estuary", "an", "wide estuaries", "wide estuary"), ("OreShip", "ore ship", "an", "boxes", "box"), ("Ferry", "ferry", "a", "the crews", "the crew"), ("Glass", "glass", "a", "glass", "glass"),
+    ("Analysis", "analysis", "an", "port analysis", "port analysis"), ("Size", "size", "a", "hull sizes", "hull size"), ("Tie", "tie", "a", "ties", "tie"), ("Walrus", "walrus", "a", "old Walrus", "old Walrus"), ("Bus", "bus", "a", "HARBOUR BUSES", "HARBOUR BUS"),
 ]
 #: id, sentence, reason, subject, head
 DEFINITIONS = [
@@ -47,6 +49,12 @@ GATE = [
     (10, "guides ?x ?y", "It guides things.", "guides", "", "relation", "degenerate_form"), (11, "guides Pilot Unit", "A pilot guides a unit.", "guides", "Pilot,Unit", "relation", "weak_argument"), (12, "guides Pilot Ferry", "A pilot leads a ferry.", "guides", "Pilot,Ferry", "relation", "ungrounded_relation"),
     (13, "guides Pilot Cargo", "A pilot guides a ferry.", "guides", "Pilot,Cargo", "relation", "ungrounded_class_terms"), (14, "guides Pilot Ferry", "A pilot may guides a ferry.", "guides", "Pilot,Ferry", "relation", "unverified_scope"), (15, "between [ Port , Ferry ]", "The port is between a ferry.", "between", "Port,Ferry", "nary", "degenerate_form"),
     (16, "not Ferry subclass-of Vessel", "A ferry is a vessel.", "", "Ferry,Vessel", "negation", "unverified_subclass_direction"), (17, "guides Pilot Ferry", "A pilot guides a ferry.", "guides", "Pilot,Ferry", "relation", None),
+    (18, "Ferry subclass-of Vessel Tug subclass-of Tug", "A ferry is a vessel and a tug.", "", "Ferry,Vessel,Tug", "subclass", "degenerate_form"), (19, "Ferry subclass-of Vessel Vessel subclass-of Tug", "A ferry is a vessel and a tug.", "", "Ferry,Vessel,Tug", "subclass", "unverified_subclass_direction"),
+    (20, "Ferry subclass-of Fleet Tug subclass-of Fleet", "The fleet consists of ferries and tugs.", "", "Ferry,Fleet,Tug", "subclass", None), (21, "guides Pilot Mission", "A pilot guides a mission.", "guides", "Pilot,Mission", "relation", "weak_argument"), (22, "guides Pilot Group", "A pilot guides a group.", "guides", "Pilot,Group", "relation", None),
+    (23, "guides Pilot Estuary", "A pilot guides in estuaries.", "guides", "Pilot,Estuary", "relation", None), (24, "states Pilot UnitedStates", "A pilot states the united states.", "states", "Pilot,UnitedStates", "relation", "weak_argument"), (25, "guides Pilot UnitedStates", "A pilot guides the united states.", "guides", "Pilot,UnitedStates", "relation", None),
+    (26, "guides Pilot Watercraft", "A pilot guides a small boat.", "guides", "Pilot,Watercraft", "relation", None), (27, "Tug subclass-of Vessel", "A tug is a strong boat.", "", "Tug,Vessel", "subclass", None), (28, "Tug subclass-of Vessel", "Tugs tow ships.", "", "Tug,Vessel", "subclass", "weak_grounding"),
+    (29, "Pilot subclass-of Procedure", "A pilot is a guide.", "", "Pilot,Procedure", "subclass", "ungrounded_class_terms"), (30, "some ?x is-a OreShip", "At least one ore-ship exists.", "", "OreShip", "existential", None), (31, "guides Pilot Ferry", None, "guides", "Pilot,Ferry", "relation", "ungrounded_relation"),
+    (32, "Ferry subclass-of Vessel", "Ferries are the vessels of the bay.", "", "Ferry,Vessel", "subclass", "unverified_subclass_direction"), (33, "guides Glass Bus", "Glasses and buses: it guides them.", "guides", "Glass,Bus", "relation", None),
 ]
 #: file, line, text
 KIF = [

@@ -11,12 +11,16 @@ def bounded(col: str, words: str) -> str:
     return f"regexp_matches({col}, '{EDGE_L}({words}){EDGE_R}', 'i')"
 
 
+#: White space of the Unicode standard, listed anew: the text functions have their own.
+BLANK = r"[\t\n\x0B\f\r\x1C-\x1F \x{0085}\x{00A0}\x{1680}\x{2000}\x{2001}\x{2002}\x{2003}\x{2004}\x{2005}\x{2006}\x{2007}\x{2008}\x{2009}\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def squash(col: str) -> str:
-    return rf"trim(regexp_replace({col}, '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace({col}, '{BLANK}', ' ', 'g'))"
 
 
 def words(col: str) -> str:
-    return rf"len(list_filter(regexp_split_to_array({col}, '\s+'), lambda x: x <> ''))"
+    return rf"len(list_filter(regexp_split_to_array({col}, '{BLANK}'), lambda x: x <> ''))"
 
 
 def scoped(col: str) -> str:
