@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.artifacts import numbered
 
 
 def _rows(df: DataFrame, pattern: str, nl: list[Column], cnl: Column, kif: Column) -> DataFrame:
@@ -20,78 +21,92 @@ def _noun(term: str) -> tuple[Column, Column]:
     return n, F.concat_ws(" ", X.article(n), n)
 
 
+#: Wordings of our own. {1} is a class as written, {1n} in words, {1a} in words with its article, {1A} that with a capital; {r} is a relation.
+INSTANCE_WORDINGS = [
+    "Here we have {1a}.", "What you see is {1a}.", "This counts as {1a}.", "It was listed as {1a}.", "The item at hand is {1a}.", "One would call it {1a}.", "Its class is {1n}.", "The record describes {1a}.", "The object in question is {1a}.",
+    "That is surely {1a}.", "We speak of {1a}.", "The thing found is {1a}.", "It belongs to the class {1}.",
+]
+EXISTENTIAL_WORDINGS = [
+    "There is {1a}.", "There exists {1a}.", "{1A} exists.", "At least one {1n} exists.", "Some {1n} can be found.", "Somewhere there is {1a}.", "One {1n} or more can be found.", "The world has {1a}.", "Among all things is {1a}.", "Something is {1a}.",
+    "We know of {1a}.", "{1A} can be found.", "Some member of the class {1} exists.",
+]
+DENIED_WORDINGS = ["This is no {1n}.", "It does not count as {1a}.", "What you see is not {1a}.", "The item at hand is not {1a}.", "One would not call it {1a}."]
+EDGE_WORDINGS = ["{1} falls under {2}.", "Each {1} counts as a {2}.", "All of {1} lies inside {2}.", "{1A} is one sort of {2n}.", "To be {1a} is to be {2a}.", "Each {1n} counts as {2a}.", "The class of {1n} lies inside that of {2n}."]
+BINARY_OPEN_WORDINGS = ["Two things are linked by {r}.", "One thing bears {r} to another.", "Some pair of things has {r}."]
+BINARY_WORDINGS = ["{1A} bears {r} to {2a}.", "Between {1a} and {2a} there is {r}.", "{1A} and {2a} are linked by {r}.", "By {r}, {1a} is tied to {2a}.", "The pair of {1} and {2} has {r}.", "{r} leads from {1a} to {2a}."]
+EVERY_WORDINGS = ["Each {1n} bears {r} to {2a}.", "Whatever is {1a} bears {r} to {2a}.", "From each {1n}, {r} leads to {2a}.", "All of {1} is tied to {2} by {r}.", "Take any {1n}: by {r} it is tied to {2a}."]
+BINARY_DENIED_WORDINGS = ["{1A} does not bear {r} to {2a}.", "Between {1a} and {2a} there is no {r}.", "The pair of {1} and {2} lacks {r}."]
+OPEN_TERNARY_WORDINGS = ["Three things share {r}.", "A triple of things has {r}.", "By {r}, three things are tied together."]
+TERNARY_WORDINGS = ["{1A}, {2a} and {3a} share {r}.", "By {r}, {1a}, {2a} and {3a} are tied together.", "The triple of {1}, {2} and {3} has {r}.", "There is {r} for {1a} with {2a} and {3a}.", "{r} ties {1a} to {2a} and {3a}."]
+TERNARY_DENIED_WORDINGS = ["{1A}, {2a} and {3a} do not share {r}.", "The triple of {1}, {2} and {3} lacks {r}."]
+IF_WORDINGS = ["Whatever bears {r} to {2a} is {1a}.", "Once a thing bears {r} to {2}, it falls under {1}.", "Only {1a} bears {r} to {2a}.", "A thing that {r} leads from to {2a} is {1a}.", "Where {r} leads to {2a}, it starts at {1a}."]
+TOP = "Entity"
+
+
+def worded(template: str, relation: str = "term", classes: tuple[str, ...] = ("a", "b", "c")) -> Column:
+    """A wording as a Column over a relation column and class columns."""
+    out = []
+    for part in re.split(r"(\{\w+\})", template):
+        if not part.startswith("{"):
+            out.append(F.lit(part))
+        elif part == "{r}":
+            out.append(F.col(relation))
+        else:
+            name = classes[int(part[1]) - 1]
+            noun, with_article = _noun(name)
+            out.append({"n": noun, "a": with_article, "A": X.upper_first(with_article)}.get(part[2], F.col(name)))
+    return F.concat(*out)
+
+
+def _wordings(templates: list[str], *classes: str) -> list[Column]:
+    return [worded(t, classes=classes or ("a", "b", "c")) for t in templates]
+
+
 def instance_pairs(classes: DataFrame) -> DataFrame:
-    n, an = _noun("term")
+    """Instance pairs of classes (term, and doc if there is one: it is a wording of its own where it is not empty)."""
     t = F.col("term")
-    return _rows(classes, "instance", [F.concat(F.lit("It is "), an, F.lit(".")), F.concat(F.lit("The entity is "), an, F.lit("."))], F.concat(F.lit("?x is-a "), t), F.concat(F.lit("(instance ?x "), t, F.lit(")")))
+    cnl, kif = F.concat(F.lit("?x is-a "), t), F.concat(F.lit("(instance ?x "), t, F.lit(")"))
+    out = _rows(classes, "instance", _wordings(INSTANCE_WORDINGS, "term"), cnl, kif)
+    return out.unionByName(_rows(classes.where("doc <> ''"), "instance", [F.col("doc")], cnl, kif)) if "doc" in classes.columns else out
 
 
 def existential_pairs(classes: DataFrame) -> DataFrame:
-    n, an = _noun("term")
     t = F.col("term")
-    return _rows(classes, "existential", [F.concat(F.lit("There is "), an, F.lit(".")), F.concat(F.lit("Some entity is "), an, F.lit("."))], F.concat(F.lit("some ?x is-a "), t), F.concat(F.lit("(exists (?x) (instance ?x "), t, F.lit("))")))
+    return _rows(classes, "existential", _wordings(EXISTENTIAL_WORDINGS, "term"), F.concat(F.lit("some ?x is-a "), t), F.concat(F.lit("(exists (?x) (instance ?x "), t, F.lit("))")))
 
 
 def negation_pairs(classes: DataFrame) -> DataFrame:
-    n, an = _noun("term")
     t = F.col("term")
-    return _rows(classes, "negation", [F.concat(F.lit("It is not "), an, F.lit("."))], F.concat(F.lit("not ?x is-a "), t), F.concat(F.lit("(not (instance ?x "), t, F.lit("))")))
+    return _rows(classes, "negation", _wordings(DENIED_WORDINGS, "term"), F.concat(F.lit("not ?x is-a "), t), F.concat(F.lit("(not (instance ?x "), t, F.lit("))")))
 
 
 def adjacent(classes: DataFrame, seq: str = "seq") -> DataFrame:
-    """(child, parent): each class and the next in order; the order is numbered in parts, so no task sorts all."""
-    return classes.select("term", F.col(seq).alias("k")).join(classes.select(F.col("term").alias("parent"), (F.col(seq) - 1).alias("k")), "k").select(F.col("term").alias("child"), "parent")
+    """(child, parent): each class and the next in order of seq, whatever its gaps; the order is numbered in parts, so no task sorts all."""
+    rows = numbered(classes.select("term", seq), seq, "k")
+    return rows.select("term", "k").join(rows.select(F.col("term").alias("parent"), (F.col("k") - 1).alias("k")), "k").select(F.col("term").alias("child"), "parent")
 
 
 def subclass_pairs(edges: DataFrame) -> DataFrame:
-    _, c = _noun("child")
-    _, p = _noun("parent")
-    return _rows(edges, "subclass", [F.concat(F.initcap(F.substring(c, 1, 1)), F.substring(c, 2, 1000), F.lit(" is "), p, F.lit(".")), F.concat(c, F.lit(" is a kind of "), X.spaced(F.col("parent")), F.lit("."))], F.concat_ws(" subclass-of ", "child", "parent"), F.concat(F.lit("(subclass "), F.concat_ws(" ", "child", "parent"), F.lit(")")))
-
-
-def relation_pairs(relations: DataFrame, signature: DataFrame) -> DataFrame:
-    """Binary, conditional and if-then pairs for relations of two arguments with classes for both."""
-    s = signature.groupBy("term").agg(F.max(F.when(F.col("position") == 1, F.col("class"))).alias("a"), F.max(F.when(F.col("position") == 2, F.col("class"))).alias("b"))
-    r = relations.where("arity = 2").join(s, "term").where("a IS NOT NULL AND b IS NOT NULL")
-    _, a = _noun("a")
-    _, b = _noun("b")
-    t, na = F.col("term"), X.spaced(F.col("a"))
-    binary = _rows(r, "binary", [F.concat(F.lit("The "), t, F.lit(" relation holds between "), a, F.lit(" and "), b, F.lit("."))], F.concat_ws(" ", "term", "a", "b"), F.concat(F.lit("("), F.concat_ws(" ", "term", "a", "b"), F.lit(")")))
-    body = F.concat_ws(" ", t, F.lit("?x"), F.col("b"))
-    cond = _rows(r, "conditional", [F.concat(F.lit("For every "), na, F.lit(", the "), t, F.lit(" relation holds with "), b, F.lit("."))], F.concat(F.lit("every ?x is-a "), F.col("a"), F.lit(" implies "), body), F.concat(F.lit("(forall (?x) (=> (instance ?x "), F.col("a"), F.lit(") ("), body, F.lit(")))")))
-    return binary.unionByName(cond)
-
-
-#: Wordings of three further kinds of pair. {r} is a relation; {1} a class as written, {1n} in words, {1a} in words with its article.
-EDGE_WORDINGS = ["{1} is a type of {2}.", "Every {1} is a {2}.", "{1} is a subclass of {2}.", "A {1n} is a type of {2n}.", "{1A} is a type of {2n}.", "Every {1n} is {2a}.", "A {1n} is a subclass of {2n}."]
-OPEN_TERNARY_WORDINGS = ["The {r} relation holds among three entities.", "{r} connects three entities.", "Three entities stand in the {r} relation."]
-TERNARY_WORDINGS = ["The {r} relation holds among a {1}, a {2}, and a {3}.", "{r} connects a {1}, a {2}, and a {3}.", "A {1}, a {2}, and a {3} stand in the {r} relation.", "The {r} relation holds among {1a}, {2a}, and {3a}.", "{r} connects {1a}, {2a}, and {3a}."]
-IF_WORDINGS = [
-    "If something stands in the {r} relation to a {2}, then it is a {1}.", "If the {r} relation holds from something to a {2}, then the first argument is a {1}.", "Anything that {r}s a {2} is a {1}.",
-    "If something stands in the {r} relation to {2a}, then it is {1a}.", "Anything that {r}s {2a} is {1a}.",
-]
-TOP = "Entity"
+    """Subclass pairs for (child, parent), true edges or adjacent classes."""
+    return _rows(edges, "subclass", _wordings(EDGE_WORDINGS, "child", "parent"), F.concat_ws(" subclass-of ", "child", "parent"), F.concat(F.lit("(subclass "), F.concat_ws(" ", "child", "parent"), F.lit(")")))
 
 
-def worded(template: str, relation: str = "term", classes: tuple[str, ...] = ("a", "b", "c")) -> Column:
-    """A wording as a Column over a relation column and class columns."""
-    out = []
-    for part in re.split(r"(\{\w+\})", template):
-        if not part.startswith("{"):
-            out.append(F.lit(part))
-        elif part == "{r}":
-            out.append(F.col(relation))
-        else:
-            name = classes[int(part[1]) - 1]
-            noun, with_article = _noun(name)
-            out.append({"n": noun, "a": with_article, "A": F.concat(F.upper(F.substring(with_article, 1, 1)), F.substring(with_article, 2, 1000))}.get(part[2], F.col(name)))
-    return F.concat(*out)
+def relation_pairs(relations: DataFrame, signature: DataFrame, narrower: DataFrame) -> DataFrame:
+    """Binary (open and typed), conditional and denied pairs for relations of two arguments, for each typed pair of classes."""
+    t, two = F.col("term"), typed(relations, signature, 2, narrower)
+    form = lambda *x: F.concat(F.lit("("), F.concat_ws(" ", "term", *x), F.lit(")"))
+    free = [F.lit("?x"), F.lit("?y")]
+    opened = _rows(relations.where("arity = 2"), "binary", _wordings(BINARY_OPEN_WORDINGS), F.concat_ws(" ", "term", *free), form(*free))
+    binary = _rows(two, "binary", _wordings(BINARY_WORDINGS), F.concat_ws(" ", "term", "a", "b"), form("a", "b"))
+    body = F.concat_ws(" ", t, F.lit("?x"), F.col("b"))
+    every = _rows(two, "conditional", _wordings(EVERY_WORDINGS), F.concat(F.lit("every ?x is-a "), F.col("a"), F.lit(" implies "), body), F.concat(F.lit("(forall (?x) (=> (instance ?x "), F.col("a"), F.lit(") ("), body, F.lit(")))")))
+    denied = _rows(two, "negation", _wordings(BINARY_DENIED_WORDINGS), F.concat_ws(" ", F.lit("not"), "term", "a", "b"), F.concat(F.lit("(not "), form("a", "b"), F.lit(")")))
+    return opened.unionByName(binary).unionByName(every).unionByName(denied)
 
 
 def edge_pairs(edges: DataFrame) -> DataFrame:
     """Subclass pairs for true edges (child, parent)."""
-    nl = [worded(t, classes=("child", "parent")) for t in EDGE_WORDINGS]
-    return _rows(edges.distinct(), "subclass", nl, F.concat_ws(" subclass-of ", "child", "parent"), F.concat(F.lit("(subclass "), F.concat_ws(" ", "child", "parent"), F.lit(")"))).distinct()
+    return subclass_pairs(edges.distinct())
 
 
 def typed(relations: DataFrame, signature: DataFrame, arity: int, narrower: DataFrame) -> DataFrame:
@@ -113,21 +128,24 @@ def ternary_pairs(relations: DataFrame, signature: DataFrame, narrower: DataFram
     listed = lambda *x: F.concat(F.col("term"), F.lit(" [ "), F.concat_ws(" , ", *x), F.lit(" ]"))
     form = lambda *x: F.concat(F.lit("("), F.concat_ws(" ", "term", *x), F.lit(")"))
     free = [F.lit(v) for v in ("?x", "?y", "?z")]
-    abstract = _rows(relations.where("arity = 3"), "nary", [worded(t) for t in OPEN_TERNARY_WORDINGS], listed(*free), form(*free))
-    return abstract.unionByName(_rows(typed(relations, signature, 3, narrower), "nary", [worded(t) for t in TERNARY_WORDINGS], listed("a", "b", "c"), form("a", "b", "c")))
+    abstract = _rows(relations.where("arity = 3"), "nary", _wordings(OPEN_TERNARY_WORDINGS), listed(*free), form(*free))
+    three = typed(relations, signature, 3, narrower)
+    said = _rows(three, "nary", _wordings(TERNARY_WORDINGS), listed("a", "b", "c"), form("a", "b", "c"))
+    denied = _rows(three, "negation", _wordings(TERNARY_DENIED_WORDINGS), F.concat(F.lit("not "), listed("a", "b", "c")), F.concat(F.lit("(not "), form("a", "b", "c"), F.lit(")")))
+    return abstract.unionByName(said).unionByName(denied)
 
 
 def if_pairs(relations: DataFrame, signature: DataFrame, narrower: DataFrame) -> DataFrame:
     """If-then pairs: what stands in a relation to a class is of another class."""
     head, body = F.concat(F.lit("if "), F.col("term"), F.lit(" ?x "), F.col("b")), F.concat(F.lit("?x is-a "), F.col("a"))
     kif = F.concat(F.lit("(=> ("), F.col("term"), F.lit(" ?x "), F.col("b"), F.lit(") (instance ?x "), F.col("a"), F.lit("))"))
-    return _rows(typed(relations, signature, 2, narrower), "conditional", [worded(t) for t in IF_WORDINGS], F.concat_ws(" then ", head, body), kif)
+    return _rows(typed(relations, signature, 2, narrower), "conditional", _wordings(IF_WORDINGS), F.concat_ws(" then ", head, body), kif)
 
 
 def minimal_pairs(aliases: DataFrame, variants: DataFrame) -> DataFrame:
     """One definition for each alias and variant (parent, cue, tail): they differ in the genus alone. The variants are a short written list, so they are exploded, not joined."""
     listed = variants.agg(F.array_sort(F.collect_list(F.struct("parent", "cue", "tail"))).alias("v"))
-    subject = F.concat(F.upper(F.substring("alias", 1, 1)), F.substring("alias", 2, 1000))
+    subject = X.upper_first(F.col("alias"))
     got = aliases.select("alias", F.lit(1).alias("_k")).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k").select("alias", F.explode("v").alias("v"))
     return got.select("alias", X.pascal(F.lower("alias")).alias("symbol"), F.col("v.parent").alias("stated_parent"), F.concat_ws(" ", subject, F.col("v.tail")).alias("sentence"), F.concat_ws(" ", subject, F.col("v.cue")).alias("candidate_text"))
 
@@ -151,7 +169,13 @@ def balanced(rows: DataFrame, cap: int, *, by: str = "pattern", order: list | No
 def grouped_split(rows: DataFrame, share: int, *, key: list[str], order: Column) -> DataFrame:
     """rows with split: whole groups, in hash order, go to validation while the rows before them are under share percent of all; the last group trains."""
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
-    w = W.orderBy("o", *key)  # one row a group
-    total = F.sum("n").over(W.partitionBy())
-    sized = sizes.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("last", F.row_number().over(w) == F.count(F.lit(1)).over(W.partitionBy()))
-    return rows.join(sized.select(*key, F.when((F.col("before") * 100 < total * share) & ~F.col("last"), "validation").otherwise("train").alias("split")), key)
+    parts = numbered(sizes.withColumn("_o", F.struct("o", *key)), "_o", "k")
+    # Running sums by parts of the numbers, then the parts' sums before them: no task sees all groups.
+    block = F.floor(F.col("k") / 10_000)
+    whole = parts.groupBy(block.alias("_b")).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_groups"))
+    ahead = whole.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_ahead"))  # a row for each 10,000 groups
+    total = whole.agg(F.sum("_n").alias("_total"), F.sum("_groups").alias("_groups"))
+    inside = F.sum("n").over(W.partitionBy("_b").orderBy("k")) - F.col("n")
+    sized = parts.withColumn("_b", block).withColumn("_inside", inside).join(ahead, "_b").crossJoin(F.broadcast(total))  # one row
+    first = ((F.col("_inside") + F.col("_ahead")) * 100 < F.col("_total") * share) & (F.col("k") < F.col("_groups") - 1)
+    return rows.join(sized.select(*key, F.when(first, "validation").otherwise("train").alias("split")), key)

@@ -54,15 +54,3 @@ def routed(rows: DataFrame, text: str = "sentence") -> DataFrame:
     t = F.col(text)
     noise, no, scope = X.is_noise(t), X.unsupported(t), X.scoped(t)
     return rows.withColumn("route", F.when(noise, "reject").when(no, "abstain").when(scope, "review").otherwise("candidate"))
-
-
-def decomposed(rows: DataFrame, text: str = "sentence") -> DataFrame:
-    """rows with parts: a sentence cut at semicolons, or at one relative clause, unless it holds a scope word."""
-    t = X.squash(F.col(text))
-    tidy = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^(?i)(and|but|or)\s+", ""), r"^[ ,;]+|[ ,;]+$", ""), r"([^.!?])$", "$1.")
-    lift = X.upper_first
-    rel = r"^(?i)([^,;]+?),\s*(?:which|who|that)\s+([^,;]+?),\s*(.+)$"
-    semis = F.filter(F.transform(F.split(t, ";"), lambda x: F.trim(x)), lambda x: x != "")
-    parts = F.when(X.has_word(t, "or|either|neither|nor|if|unless|not|no|never"), F.array(t)).when(F.size(semis) > 1, semis).when(
-        F.regexp_like(t, F.lit(rel)), F.array(F.concat_ws(" ", F.regexp_extract(t, rel, 1), F.regexp_extract(t, rel, 3)), F.concat_ws(" ", F.regexp_extract(t, rel, 1), F.regexp_extract(t, rel, 2)))).otherwise(F.array(t))
-    return rows.withColumn("parts", F.transform(parts, lambda x: lift(tidy(x))))

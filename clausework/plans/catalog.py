@@ -10,6 +10,7 @@ from ..operators import audit as A
 from ..operators import baseline as B
 from ..operators import candidates as N
 from ..operators import definitions as D
+from ..operators import ingest as I
 from ..operators import knowledge as K
 from ..operators import pairs as P
 from ..operators import routing as R
@@ -181,8 +182,42 @@ def flt_definition_head(spark, d):
 
 @query(values(FX.COMPOUNDS, ["id", "sentence", "parts"], "SELECT id, parts"))
 def prj_decompose(spark, d):
-    """PRJ-13 in part: one split at semicolons or a relative clause"""
-    return S.decomposed(FX.frame(spark, FX.COMPOUNDS, "id int, sentence string, want string")).select("id", F.array_join("parts", "|").alias("parts"))
+    """PRJ-13, FLT-04"""
+    return FX.frame(spark, FX.COMPOUNDS, "id int, sentence string, want string").select("id", F.array_join(I.decomposed(F.col("sentence")), "|").alias("parts"))
+
+
+@query(values(FX.LINKED, ["id", "text", "linked"], "SELECT id, linked"))
+def prj_linked(spark, d):
+    """PRJ-12"""
+    rows = FX.frame(spark, FX.LINKED, "id int, text string, want string")
+    return I.linked(rows, _known(spark), key="id", text="text", abbreviations={"HP": "HarbourPilot", "XX": "Nowhere"}).select("id", F.col("text").alias("linked"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_-])(the)($|[^A-Za-z0-9_-])', '\\1The\\3', 'gi'), '(^|[^A-Za-z0-9_-])(the)($|[^A-Za-z0-9_-])', '\\1The\\3', 'gi'), '(^|[^A-Za-z0-9_-])(of)($|[^A-Za-z0-9_-])', '\\1Origin\\3', 'gi'), '(^|[^A-Za-z0-9_-])(of)($|[^A-Za-z0-9_-])', '\\1Origin\\3', 'gi') AS linked FROM conversations")
+def prj_linked_turns(spark, d):
+    """PRJ-12 over all turns: two terms, one by its abbreviation"""
+    rows = table(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn", F.monotonically_increasing_id().alias("n")))
+    return I.linked(rows, FX.frame(spark, [("The",), ("Origin",)], "term string"), key="key", text="text", abbreviations={"of": "Origin"}).select("conv_id", "turn", F.col("text").alias("linked"))
+
+
+def _ingested(spark, rows):
+    relations = FX.frame(spark, [*((r[0], 3 if r[0] == "between" else 2) for r in FX.ROUTE_RELATIONS)], "term string, arity int")
+    return I.ingested(rows, _known(spark), relations, background=_background(spark))
+
+
+@query(values([(i, k, *row) for i, _, out in FX.INGESTED for k, row in enumerate(out)], ["id", "k", "subclaim", "route", "reason", "cnl"], "SELECT id, subclaim, route, reason, cnl"))
+def ing_routes(spark, d):
+    """The chain of PRJ-12, PRJ-13, FLT, RTE, CMP, GRD to three routes; WIN-04"""
+    return _ingested(spark, FX.frame(spark, [r[:2] for r in FX.INGESTED], "sentence_id int, sentence string")).select(F.col("sentence_id").alias("id"), "subclaim", "route", "reason", "cnl")
+
+
+@query()
+def ing_documents(spark, d):
+    """AGG-02: the same chain over all sentences of all documents, counted by language; rows only, tests hold the rules"""
+    s = S.sentences(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = s.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("position").cast("string")).alias("sentence_id"), "sentence", "lang")
+    got = _ingested(spark, rows).join(rows.select("sentence_id", "lang"), "sentence_id")
+    return I.run_counters(got, ["lang"])
 
 
 # ---------------------------------------------------------------- controlled language
@@ -229,14 +264,26 @@ def src_pairs(spark, d):
     return KIF.asserted_pairs(FX.frame(spark, FX.KIF, "file string, line int, text string"))
 
 
-@query(rf"""SELECT term, position, max_by(class, (how = 'domain', CASE WHEN how = 'domain' THEN line ELSE -line END)) AS class, CASE WHEN bool_or(how = 'domain') THEN 'instance' ELSE 'subclass' END AS kind FROM (
-SELECT regexp_extract(text, '^\((domain|domainSubclass) ([A-Za-z]+) ([0-9]+) ([A-Za-z]+)\)', 1) AS how, regexp_extract(text, '^\((domain|domainSubclass) ([A-Za-z]+) ([0-9]+) ([A-Za-z]+)\)', 2) AS term,
-regexp_extract(text, '^\((domain|domainSubclass) ([A-Za-z]+) ([0-9]+) ([A-Za-z]+)\)', 3)::INT AS position, regexp_extract(text, '^\((domain|domainSubclass) ([A-Za-z]+) ([0-9]+) ([A-Za-z]+)\)', 4) AS class, line FROM ({KIF_SQL}) WHERE regexp_matches(text, '^\((domain|domainSubclass) ')) GROUP BY 1, 2""")
+STATEMENTS_SQL = rf"""(SELECT m[1] AS form, m[2] AS term, coalesce(try_cast(m[3] AS INT), CASE WHEN starts_with(m[1], 'range') THEN 0 END) AS position, m[4] AS class, file, line FROM (
+SELECT file, line, [regexp_extract(text, '{{p}}', 1), regexp_extract(text, '{{p}}', 2), regexp_extract(text, '{{p}}', 3), regexp_extract(text, '{{p}}', 4)] AS m FROM ({KIF_SQL})) WHERE m[1] <> '')""".replace("{p}", r"^\s*\(\s*(domain|domainSubclass|range|rangeSubclass)\s+([a-z][A-Za-z0-9_-]*)\s+([0-9]*)\s*([A-Z][A-Za-z0-9_-]*)\s*\)")
+
+
+@query(f"""SELECT term, position, coalesce(max_by(class, (file, line)) FILTER (NOT ends_with(form, 'Subclass')), min_by(class, (file, line)) FILTER (ends_with(form, 'Subclass'))) AS class,
+CASE WHEN bool_or(NOT ends_with(form, 'Subclass')) THEN 'instance' ELSE 'subclass' END AS kind FROM {STATEMENTS_SQL} GROUP BY 1, 2""")
 def src_signatures(spark, d):
     """SRC-07, AGG-20"""
     return KIF.signatures(FX.frame(spark, FX.KIF, "file string, line int, text string"))
 
 
+@query("SELECT * FROM (VALUES ('class', 'Craft', NULL, NULL), ('class', 'Ferry', NULL, NULL), ('class', 'Ada', NULL, NULL), ('class', 'Place', NULL, NULL), ('class', 'Port', NULL, NULL), ('class', 'Tug', NULL, NULL), ('class', 'Vessel', NULL, NULL), "
+       "('relation', 'guides', 'BinaryPredicate', 2), ('relation', 'located', NULL, 2), ('relation', 'tows', NULL, 2), ('relation', 'weighs', 'UnaryFunction', 1), ('relation', 'lost', NULL, NULL)) t(kind, term, type, arity)")
+def src_bundle(spark, d):
+    """SRC-07, SRC-03, SRC-04, RSN-14: classes and relations of a bundle"""
+    lines = FX.frame(spark, FX.KIF, "file string, line int, text string")
+    classes = KIF.class_terms(lines).select(F.lit("class").alias("kind"), "term", F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("arity"))
+    return classes.unionByName(KIF.relation_terms(lines).select(F.lit("relation").alias("kind"), "term", "type", "arity"))
+
+
 @query("SELECT * FROM (VALUES ('located', 2), ('near', 2), ('inside', 2), ('agent', 2), ('odd', NULL), ('odder', NULL)) t(term, arity)")
 def rsn_inherited_arity(spark, d):
     """RSN-14"""
@@ -568,17 +615,25 @@ def val_run(spark, d):
 # ---------------------------------------------------------------- training pairs
 
 
-@query("WITH c AS (" + values(FX.CLASSES, ["seq", "term"], "SELECT *") + r"), n AS (SELECT term, lower(regexp_replace(regexp_replace(term, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')) AS s FROM c), a AS (SELECT term, CASE WHEN s[1] IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || s AS an FROM n) SELECT 'instance' AS pattern, unnest(['It is ' || an || '.', 'The entity is ' || an || '.']) AS nl, '?x is-a ' || term AS cnl, '(instance ?x ' || term || ')' AS kif FROM a UNION ALL SELECT 'existential', unnest(['There is ' || an || '.', 'Some entity is ' || an || '.']), 'some ?x is-a ' || term, '(exists (?x) (instance ?x ' || term || '))' FROM a UNION ALL SELECT 'negation', 'It is not ' || an || '.', 'not ?x is-a ' || term, '(not (instance ?x ' || term || '))' FROM a")
+def _said(templates: list[str]) -> str:
+    """Wordings as an SQL list over columns term, s (in words) and an (with its article)."""
+    cell = lambda t: "'" + t.replace("{1n}", "' || s || '").replace("{1a}", "' || an || '").replace("{1A}", "' || upper(an[1]) || an[2:] || '").replace("{1}", "' || term || '") + "'"
+    return "[" + ", ".join(map(cell, templates)) + "]"
+
+
+@query("WITH c AS (" + values(FX.CLASSES, ["seq", "term"], "SELECT *") + r"), n AS (SELECT term, lower(regexp_replace(regexp_replace(term, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')) AS s FROM c), a AS (SELECT term, s, CASE WHEN s[1] IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || s AS an FROM n) "
+       + f"SELECT 'instance' AS pattern, unnest({_said(P.INSTANCE_WORDINGS)}) AS nl, '?x is-a ' || term AS cnl, '(instance ?x ' || term || ')' AS kif FROM a UNION ALL SELECT 'instance', 'A doc of it.', '?x is-a Port', '(instance ?x Port)' UNION ALL SELECT 'existential', unnest({_said(P.EXISTENTIAL_WORDINGS)}), 'some ?x is-a ' || term, '(exists (?x) (instance ?x ' || term || '))' FROM a "
+       + f"UNION ALL SELECT 'negation', unnest({_said(P.DENIED_WORDINGS)}), 'not ?x is-a ' || term, '(not (instance ?x ' || term || '))' FROM a")
 def gen_unary(spark, d):
-    """GEN-01, GEN-08 and GEN-09, each in part"""
-    c = FX.frame(spark, FX.CLASSES, "seq int, term string")
+    """GEN-01, GEN-08, GEN-09 (of instances)"""
+    c = FX.frame(spark, FX.CLASSES, "seq int, term string").withColumn("doc", F.when(F.col("term") == "Port", "A doc of it."))
     return A.union_all([P.instance_pairs(c), P.existential_pairs(c), P.negation_pairs(c)])
 
 
-@query("WITH c AS (" + values(FX.CLASSES, ["seq", "term"], "SELECT *") + ") SELECT a.term AS child, b.term AS parent FROM c a JOIN c b ON b.seq = a.seq + 1")
+@query("SELECT p_name AS child, parent FROM (SELECT p_name, lead(p_name) OVER (ORDER BY p_partkey) AS parent FROM part WHERE p_size % 3 <> 0) WHERE parent IS NOT NULL")
 def gen_adjacent(spark, d):
-    """GEN-02 in part, WIN-05"""
-    return P.adjacent(FX.frame(spark, FX.CLASSES, "seq int, term string"))
+    """GEN-02, WIN-05: the order has gaps"""
+    return P.adjacent(table(spark, d, "part").where("p_size % 3 <> 0").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("term")))
 
 
 def _typed(spark):
@@ -609,11 +664,10 @@ def gen_prepared(spark, d):
 
 @query()
 def gen_compiled(spark, d):
-    """GEN-03 to GEN-07 (GEN-04 and GEN-06 in part), FLT-08, VAL-04: every generated text compiles to its formula"""
-    sig = KIF.signatures(FX.frame(spark, FX.KIF, "file string, line int, text string"))
+    """GEN-02 to GEN-07, GEN-09 (of relations), FLT-08, VAL-04, AGG-01: every generated text compiles to its formula"""
     classes, relations = FX.frame(spark, FX.CLASSES, "seq int, term string"), FX.frame(spark, FX.RELATIONS, "term string, arity int")
     more = [P.edge_pairs(FX.frame(spark, [("Ferry", "Vessel")], "child string, parent string")), P.ternary_pairs(*_typed(spark)), P.if_pairs(*_typed(spark))]
-    rows = A.union_all([P.relation_pairs(relations, sig), P.subclass_pairs(P.adjacent(classes)), *more]).withColumnRenamed("kif", "want")
+    rows = A.union_all([P.relation_pairs(*_typed(spark)), P.subclass_pairs(P.adjacent(classes)), *more]).withColumnRenamed("kif", "want")
     return C.compile_cnl(rows, classes, relations).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kif") == F.col("want")).alias("n_same"))
 
 

@@ -29,6 +29,18 @@ DEFINITIONS = [
 COMPOUNDS = [
     (1, "The ferry sails; the pilot waits", "The ferry sails.|The pilot waits."), (2, "The ferry, which crosses the bay, carries cars.", "The ferry carries cars.|The ferry crosses the bay."),
     (3, "The ferry sails; or the pilot waits.", "The ferry sails; or the pilot waits."), (4, "The ferry sails.", "The ferry sails."),
+    (5, "The ferry sails, and the pilot waits.", "The ferry sails.|The pilot waits."), (6, "The ferry and the pilot wait.", "The ferry and the pilot wait."), (7, "The ferry sails; the tug pulls and the crew rests", "The ferry sails.|The tug pulls.|The crew rests."),
+    (8, "The ferry, which is old, sails and the tug, which is new, pulls.", "The ferry sails.|The tug pulls.|The ferry sails.|The tug is new.|The ferry is old."), (9, "The ferry sails but never at night.", "The ferry sails but never at night."), (10, None, ""), (11, " ;, ", ""),
+]
+#: id, text, linked text, over KNOWN and two abbreviations, of which one names no class
+LINKED = [
+    (1, "the FERRY meets a cargoship.", "the Ferry meets a CargoShip."), (2, "a ferry-boat is no Ferry", "a ferry-boat is no Ferry"), (3, "HP and XX wait in port", "HarbourPilot and XX wait in Port"), (4, "", ""), (5, None, None), (6, "Ports", "Ports"),
+]
+#: id, sentence, and what comes of it: subclaim, route, reason, cnl
+INGESTED = [
+    (1, "A tug is a vessel; the fleet consists of ferries and tugs.", [("A Tug is a Vessel.", "reject", "abstained", None), ("The Fleet consists of ferries and tugs.", "review", "unverified_subclass_direction", "Ferry subclass-of Fleet Tug subclass-of Fleet")]), (9, "The fleet consists of ferries and tugs.", [("The Fleet consists of ferries and tugs.", "accepted", None, "Ferry subclass-of Fleet Tug subclass-of Fleet")]), (2, "The guides relation holds between a pilot and a tug.", [("The guides relation holds between a Pilot and a Tug.", "accepted", None, "guides Pilot Tug")]),
+    (3, "The guides relation holds between a process and a pilot.", [("The guides relation holds between a Process and a Pilot.", "review", "weak_argument", "guides Process Pilot")]), (4, "See FM 3-0 for the harbour pilots.", [("See FM 3-0 for the harbour pilots.", "reject", "noise", None)]), (5, "It waits in the port.", [("It waits in the Port.", "reject", "abstained", None)]),
+    (6, "A tug can be located in a port, and the pilot sleeps.", [("A Tug can be located in a Port.", "review", "unverified_scope", "located Tug Port"), ("The Pilot sleeps.", "reject", "abstained", None)]), (7, None, [("", "reject", "noise", None)]), (8, "The between relation holds between a pilot and a tug.", [("The between relation holds between a Pilot and a Tug.", "reject", "compile_error", "between Pilot Tug")]),
 ]
 CLASSES = [(k + 1, t) for k, t in enumerate(["Vessel", "Ferry", "Pilot", "Port", "HarbourMaster", "Agent", "Cargo", "OreShip"])]
 RELATIONS = [("guides", 2), ("located", 2), ("between", 3), ("loose", None)]
@@ -60,6 +72,8 @@ GATE = [
 KIF = [
     ("a.kif", 1, "(subclass Ferry Vessel)"), ("a.kif", 2, "; (subclass Port Vessel)"), ("a.kif", 3, "  (subclass Tug Vessel)"), ("a.kif", 4, "(subclass Ferry Craft) ; later parent"), ("b.kif", 1, "(and (subclass Pilot Agent) (subclass Cook Agent))"), ("b.kif", 2, "(subclass Port Place)"),
     ("b.kif", 3, "(domain guides 1 Pilot)"), ("b.kif", 4, "(domain guides 2 Ferry)"), ("b.kif", 5, "(domainSubclass guides 2 Vessel)"), ("b.kif", 6, "(domain located 1 Cargo)"), ("b.kif", 7, "(domainSubclass located 2 Port)"), ("b.kif", 8, "(domain guides 2 Vessel)"),
+    ("a.kif", 9, "( domain located 1 Pilot )"), ("a.kif", 10, "(range weighs Number)"), ("b.kif", 9, "(rangeSubclass weighs Mass)"), ("b.kif", 10, "(domainSubclass weighs 1 Vessel)"), ("b.kif", 11, "(domainSubclass weighs 1 Tug)"), ("b.kif", 12, "(instance weighs UnaryFunction)"), ("b.kif", 13, "(instance guides BinaryPredicate)"),
+    ("b.kif", 14, "(subrelation tows guides)"), ("b.kif", 15, "(subrelation lost nowhere)"), ("b.kif", 16, "(instance Ada Ferry)"), ("b.kif", 17, "(instance guides TransitiveRelation)"),
 ]
 FACTS = [(k, x) for k, x in enumerate([
     "(subclass Ferry Vessel)", "(subclass Vessel Craft)", "(instance Ada Ferry)", "(not (subclass Ferry Building))", "(instance Bob Pilot)", "(not (instance Bob Ghost))", "(subclass Craft Thing)",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names; a folder of our own only where none is set."""
+    """df as a checkpoint in the folder that spark.checkpoint.dir names. Where none is set: in a folder of our own if the master is this machine, else an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/clausework-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {sc.master} share")
+        sc.setCheckpointDir(folder or "/tmp/clausework-checkpoints")
     return df.checkpoint()

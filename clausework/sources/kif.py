@@ -34,17 +34,47 @@ def asserted_pairs(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(hits).alias("h")).select(F.split("h", "[ ()]+")[2].alias("child"), F.split("h", "[ ()]+")[3].alias("parent")).distinct()
 
 
+_NAME = "[A-Za-z0-9_-]*"
+
+
+def statements(lines: DataFrame) -> DataFrame:
+    """(form, term, position, class, file, line) of statements that begin a line, blanks inside aside: subclass, instance, domain, range, domainSubclass, rangeSubclass, subrelation, and `type` for an instance statement that declares a relation. Position 0 is the range."""
+    upper, lower = f"([A-Z]{_NAME})", f"([a-z]{_NAME})"
+    forms = {
+        "subclass": (rf"subclass\s+{upper}\s+()?{upper}"), "instance": rf"instance\s+{upper}\s+()?{upper}", "type": rf"instance\s+{lower}\s+()?([A-Z]{_NAME}(?:Predicate|Relation|Function){_NAME})",
+        "domain": rf"domain\s+{lower}\s+([0-9]+)\s+{upper}", "domainSubclass": rf"domainSubclass\s+{lower}\s+([0-9]+)\s+{upper}", "range": rf"range\s+{lower}\s+()?{upper}", "rangeSubclass": rf"rangeSubclass\s+{lower}\s+()?{upper}",
+        "subrelation": rf"subrelation\s+{lower}\s+()?([A-Za-z]{_NAME})",
+    }
+    found = [F.struct(F.lit(f).alias("form"), *[F.regexp_extract("text", rf"^\s*\(\s*{p}\s*\)", k).alias(n) for k, n in ((1, "term"), (2, "position"), (3, "class"))]) for f, p in forms.items()]
+    got = lines.select("file", "line", F.explode(F.array(*found)).alias("s")).where("s.term <> ''")
+    return got.select("s.form", "s.term", F.when(F.col("s.position") != "", F.col("s.position").cast("int")).when(F.startswith("s.form", F.lit("range")), 0).alias("position"), "s.class", "file", "line")
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(term, position, class, kind) of domain statements. A later `domain` wins over an earlier one; `domainSubclass` only fills gaps."""
-    p = r"^\((domain|domainSubclass) ([A-Za-z][A-Za-z0-9_]*) ([0-9]+) ([A-Za-z][A-Za-z0-9_]*)\)"
-    got = lines.select(*[F.regexp_extract("text", p, k).alias(n) for k, n in ((1, "how"), (2, "term"), (3, "position"), (4, "class"))], "file", "line").where("how <> ''")
-    best = F.struct((F.col("how") == "domain").cast("int"), F.when(F.col("how") == "domain", F.col("line")).otherwise(-F.col("line")))
-    return got.groupBy("term", F.col("position").cast("int").alias("position")).agg(F.max_by("class", best).alias("class"), F.when(F.max_by("how", best) == "domain", "instance").otherwise("subclass").alias("kind"))
+    """(term, position, class, kind) of domain and range (position 0) statements. A later `domain` or `range`, by file and line, wins over an earlier one; their `Subclass` forms only fill gaps, the first of them."""
+    got = statements(lines).where("form IN ('domain', 'domainSubclass', 'range', 'rangeSubclass')").withColumn("sure", F.col("form").isin("domain", "range"))
+    sure, gap = F.max_by(F.when(F.col("sure"), F.col("class")), F.when(F.col("sure"), F.struct("file", "line"))), F.min_by(F.when(~F.col("sure"), F.col("class")), F.when(~F.col("sure"), F.struct("file", "line")))
+    return got.groupBy("term", "position").agg(F.coalesce(sure, gap).alias("class"), F.when(F.bool_or("sure"), "instance").otherwise("subclass").alias("kind"))
+
+
+def class_terms(lines: DataFrame) -> DataFrame:
+    """Classes: both sides of subclass statements, and what is an instance of a class and written in capitals."""
+    s = statements(lines)
+    return s.where("form = 'subclass'").select(F.explode(F.array("term", "class")).alias("term")).union(s.where("form = 'instance'").select("term")).distinct()
+
+
+def relation_terms(lines: DataFrame) -> DataFrame:
+    """(term, type, arity): relations of any statement; the first type declared; the largest argument number, or that of the nearest parent relation, or NULL."""
+    s = statements(lines).where("form NOT IN ('subclass', 'instance')")
+    rel = s.groupBy("term").agg(F.min_by(F.when(F.col("form") == "type", F.col("class")), F.when(F.col("form") == "type", F.struct("file", "line"))).alias("type"), F.max(F.when(F.col("position") > 0, F.col("position"))).alias("arity"))
+    up = s.where("form = 'subrelation'").groupBy("term").agg(F.max_by("class", F.struct("file", "line")).alias("parent"))
+    arity = inherited_arities(rel.select("term", "arity"), up.select(F.col("term").alias("child"), "parent"))
+    return rel.drop("arity").join(arity, "term")
 
 
 def arities(sig: DataFrame) -> DataFrame:
     """term and arity: the largest argument number."""
-    return sig.groupBy("term").agg(F.max("position").alias("arity"))
+    return sig.where("position > 0").groupBy("term").agg(F.max("position").alias("arity"))
 
 
 def inherited_arities(arity: DataFrame, parents: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def test_against_sql(spark, sf, duck, name):
 
 def test_generated_pairs_compile(spark, sf):
     rows = catalog.Q["gen_compiled"](spark, sf).collect()
-    assert {r.pattern for r in rows} == {"binary", "conditional", "subclass", "nary"} and all(r.n == r.n_same for r in rows)
+    assert {r.pattern for r in rows} == {"binary", "conditional", "subclass", "nary", "negation"} and all(r.n == r.n_same for r in rows)
 
 
 def test_parser_refuses():
