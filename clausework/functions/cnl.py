@@ -138,7 +138,7 @@ def parse(text: str) -> Formula:
     return Formula("\n".join(out), p.atoms, p.free)
 
 
-_PARSED = "kif string, error string, relations array<string>, arities array<int>, classes array<string>, free_vars array<string>"
+_PARSED = "kif string, error string, relations array<string>, arities array<int>, classes array<string>, free_vars array<string>, arguments array<string>"
 
 
 def _parse(texts: pd.Series) -> pd.DataFrame:
@@ -148,25 +148,37 @@ def _parse(texts: pd.Series) -> pd.DataFrame:
             f = parse(t or "")
             rel = [(w, len(a)) for w, a in f.atoms if w not in ("instance", "subclass")]
             classes = [x for w, a in f.atoms for k, x in enumerate(a) if x[0] != "?" and (w == "subclass" or w == "instance" and k == 1)]
-            rows.append((f.kif, None, [r for r, _ in rel], [n for _, n in rel], list(dict.fromkeys(classes)), f.free))
+            rows.append((f.kif, None, [r for r, _ in rel], [n for _, n in rel], list(dict.fromkeys(classes)), f.free, [" ".join((w, str(k), x)) for w, a in f.atoms if w not in ("instance", "subclass") for k, x in enumerate(a, 1)]))
         except ParseError as e:
-            rows.append((None, f"syntax: {e}", [], [], [], []))
-    return pd.DataFrame(rows, columns=["kif", "error", "relations", "arities", "classes", "free_vars"])
+            rows.append((None, f"syntax: {e}", [], [], [], [], []))
+    return pd.DataFrame(rows, columns=["kif", "error", "relations", "arities", "classes", "free_vars", "arguments"])
 
 
-def compile_cnl(rows: DataFrame, classes: DataFrame, relations: DataFrame, *, cnl: str = "cnl", closed: bool = False) -> DataFrame:
+def compile_cnl(rows: DataFrame, classes: DataFrame, relations: DataFrame, *, cnl: str = "cnl", closed: bool = False, kinds: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """rows with kif and error. Each distinct text is parsed once; terms meet the vocabulary (classes: term; relations: term, arity) in joins.
 
-    The first of: syntax, unknown class, unknown relation, wrong arity (unless unknown), and, if closed, a free variable.
+    The first of: syntax, unknown class, unknown relation, wrong arity (unless unknown), if kinds (term, position, kind) are
+    given, an argument without a kind, a class where an instance is asked or a variable where a class is, and, if closed, a
+    free variable. declared (term): further classes.
     """
+    classes = classes.select("term") if declared is None else classes.select("term").union(declared.select("term")).distinct()
     parsed = rows.select(F.col(cnl).alias("_c")).distinct().withColumn("p", pandas_udf(_parse, _PARSED)("_c")).select("_c", "p.*")
     used = parsed.select("_c", F.explode("classes").alias("term")).join(classes.select("term"), "term", "left_anti").groupBy("_c").agg(F.min("term").alias("bad_class"))
     rel = parsed.select("_c", F.explode(F.arrays_zip("relations", "arities")).alias("r")).select("_c", F.col("r.relations").alias("term"), F.col("r.arities").alias("n"))
     rel = rel.join(relations.select("term", "arity", F.lit(True).alias("known")), "term", "left")
     faults = rel.groupBy("_c").agg(F.min(F.when(F.col("known").isNull(), F.col("term"))).alias("bad_rel"), F.min(F.when(F.col("known") & (F.col("arity") != F.col("n")), F.concat_ws("/", "term", "n"))).alias("bad_arity"))
     out = parsed.join(used, "_c", "left").join(faults, "_c", "left")
+    if kinds is not None:
+        args = parsed.select("_c", F.posexplode("arguments").alias("k", "a")).select("_c", "k", F.split("a", " ").alias("a"))
+        args = args.select("_c", "k", F.col("a")[0].alias("term"), F.col("a")[1].cast("int").alias("position"), F.col("a")[2].alias("x")).join(kinds.select("term", "position", "kind"), ["term", "position"], "left")
+        free = F.startswith("x", F.lit("?"))
+        wrong = F.when(F.col("kind").isNull(), "no kind").when((F.col("kind") == "instance") & ~free, "class for an instance").when((F.col("kind") == "subclass") & free, "variable for a class")
+        args = args.withColumn("_w", wrong).where("_w IS NOT NULL").groupBy("_c").agg(F.min_by(F.concat(F.col("_w"), F.lit(": "), F.concat_ws("/", "term", "position")), "k").alias("bad_kind"))
+        out = out.join(args, "_c", "left")
+    else:
+        out = out.withColumn("bad_kind", F.lit(None).cast("string"))
     error = F.coalesce(
-        "error", F.concat(F.lit("unknown class: "), "bad_class"), F.concat(F.lit("unknown relation: "), "bad_rel"), F.concat(F.lit("arity: "), "bad_arity"),
+        "error", F.concat(F.lit("unknown class: "), "bad_class"), F.concat(F.lit("unknown relation: "), "bad_rel"), F.concat(F.lit("arity: "), "bad_arity"), F.concat(F.lit("argument kind: "), "bad_kind"),
         F.when((F.size("free_vars") > 0) & F.lit(closed), F.concat(F.lit("free variable: "), F.element_at("free_vars", 1))))
     out = out.select("_c", error.alias("error"), F.when(error.isNull(), F.col("kif")).alias("kif"))
     return rows.join(out, rows[cnl].eqNullSafe(out["_c"]), "left").drop("_c")

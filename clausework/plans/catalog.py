@@ -17,7 +17,9 @@ from ..operators import routing as R
 from ..operators import segment as S
 from ..sources import artifacts as ART
 from ..sources import kif as KIF
+from ..sources import records as REC
 from . import fixtures as FX
+from .lineage import scratch
 from .sql import BLANK, bounded, noise, phenomena_list, scoped, squash, unsupported, values, words
 
 Q: dict = {}
@@ -193,7 +195,7 @@ def prj_linked(spark, d):
     return I.linked(rows, _known(spark), key="id", text="text", abbreviations={"HP": "HarbourPilot", "XX": "Nowhere"}).select("id", F.col("text").alias("linked"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_-])(the)($|[^A-Za-z0-9_-])', '\\1The\\3', 'gi'), '(^|[^A-Za-z0-9_-])(the)($|[^A-Za-z0-9_-])', '\\1The\\3', 'gi'), '(^|[^A-Za-z0-9_-])(of)($|[^A-Za-z0-9_-])', '\\1Origin\\3', 'gi'), '(^|[^A-Za-z0-9_-])(of)($|[^A-Za-z0-9_-])', '\\1Origin\\3', 'gi') AS linked FROM conversations")
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_-])(the)($|[^A-Za-z0-9_-])', '\\1The\\3', 'gi'), '(^|[^A-Za-z0-9_-])(the)($|[^A-Za-z0-9_-])', '\\1The\\3', 'g'), '(^|[^A-Za-z0-9_-])(of)($|[^A-Za-z0-9_-])', '\\1Origin\\3', 'gi'), '(^|[^A-Za-z0-9_-])(of)($|[^A-Za-z0-9_-])', '\\1Origin\\3', 'g') AS linked FROM conversations")
 def prj_linked_turns(spark, d):
     """PRJ-12 over all turns: two terms, one by its abbreviation"""
     rows = table(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn", F.monotonically_increasing_id().alias("n")))
@@ -225,7 +227,7 @@ def ing_documents(spark, d):
 
 @query(values(FX.CNL, ["id", "cnl", "kif", "kind", "closed_kind", "pattern"], "SELECT id, kif, kind, closed_kind, pattern"))
 def cmp_compile(spark, d):
-    """CMP-01 to CMP-16, CMP-20, GRD-01"""
+    """CMP-01 to CMP-13, CMP-15, CMP-20, GRD-01"""
     rows = FX.frame(spark, FX.CNL, "id int, cnl string, want string, k string, ck string, p string").select("id", "cnl")
     classes, relations = FX.frame(spark, FX.CLASSES, "seq int, term string"), FX.frame(spark, FX.RELATIONS, "term string, arity int")
     one = C.compile_cnl(rows, classes, relations)
@@ -233,6 +235,15 @@ def cmp_compile(spark, d):
     return one.select("id", "kif", C.error_kind(F.col("error")).alias("kind"), C.classify(F.col("cnl")).alias("pattern")).join(two, "id")
 
 
+@query("SELECT * FROM (VALUES (1, NULL), (2, 'argument kind: class for an instance: guides/1'), (3, 'argument kind: variable for a class: guides/2'), (4, 'argument kind: no kind: located/1'), (5, NULL), (6, NULL), (7, 'unknown class: Moon')) t(id, error)")
+def cmp_kinds(spark, d):
+    """CMP-14, CMP-16"""
+    rows = FX.frame(spark, [(1, "guides ?x Ferry"), (2, "guides Pilot Ferry"), (3, "guides ?x ?y"), (4, "every ?x is-a Ferry implies located ?x Port"), (5, "?x is-a Ferry"), (6, "Dredger subclass-of Vessel"), (7, "Moon subclass-of Vessel")], "id int, cnl string")
+    kinds = FX.frame(spark, [("guides", 1, "instance"), ("guides", 2, "subclass")], "term string, position int, kind string")
+    got = C.compile_cnl(rows, FX.frame(spark, FX.CLASSES, "seq int, term string"), FX.frame(spark, FX.RELATIONS, "term string, arity int"), kinds=kinds, declared=FX.frame(spark, [("Dredger",)], "term string"))
+    return got.select("id", "error")
+
+
 @query("SELECT id, array_to_string(list_filter(regexp_extract_all(cnl, '[?]?[A-Za-z][A-Za-z0-9_]*(?:-[a-z]+)?'), lambda w: NOT list_contains(['is-a','subclass-of','not','every','some','no','if','and','then','implies'], w) AND w[1] <> '?'), '|') AS terms FROM (" + values([r[:2] for r in FX.CNL if r[0] < 5], ["id", "cnl"], "SELECT *") + ")")
 def cmp_terms(spark, d):
     """CMP-19"""
@@ -292,6 +303,62 @@ def rsn_inherited_arity(spark, d):
     return KIF.inherited_arities(a, up)
 
 
+# ---------------------------------------------------------------- record files
+
+
+@query("SELECT 'f' || p_partkey AS record_id, '(instance P' || p_partkey || ' Part)' AS kif, p_size AS page_number, p_brand AS section FROM part")
+def src_facts(spark, d):
+    """SRC-12, SNK-01, SNK-12: facts written as JSON lines and read back with their checks"""
+    key = F.col("p_partkey").cast("string")
+    rows = table(spark, d, "part").select(F.concat(F.lit("f"), key).alias("record_id"), F.concat(F.lit("(instance P"), key, F.lit(" Part)")).alias("kif"), F.col("p_size").alias("page_number"), F.col("p_brand").alias("section"))
+    path = scratch(spark, "facts")
+    REC.write(rows, path, "record_id")
+    return REC.good(REC.read(spark, path, "fact")).select("record_id", "kif", "page_number", "section")
+
+
+@query("SELECT conv_id::VARCHAR || '-' || lpad(turn::VARCHAR, 5, '0') AS nl, text AS kif FROM conversations WHERE trim(text) <> '' ORDER BY 1 LIMIT 50")
+def src_training(spark, d):
+    """SRC-09, SRC-10, SNK-08: pairs written in order, the first 50 read back"""
+    turns = table(spark, d, "conversations")
+    nl = F.concat_ws("-", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 5, "0"))
+    path = scratch(spark, "pairs")
+    REC.write(turns.select(nl.alias("nl"), F.lit("c").alias("cnl"), F.col("text").alias("kif"), F.col("role").alias("pattern")), path, "nl")
+    return REC.good(REC.read(spark, path, "pair"), limit=50).select("nl", "kif")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE text <> ''")
+def src_annotations(spark, d):
+    """SRC-20, SNK-11: a review table as CSV, cells over several lines"""
+    path = scratch(spark, "review")
+    REC.write(table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", "role", "text"), path, form="csv")
+    return REC.read_table(spark, path).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+
+
+@query("SELECT doc_id, position::INT AS position, sentence FROM " + SENT)
+def src_sentences(spark, d):
+    """SRC-02, SNK-10"""
+    path = scratch(spark, "sentences")
+    REC.write(S.sentences(table(spark, d, "documents")).select("sentence", F.col("doc_id").cast("int").alias("page_number"), "position", F.lit("s").alias("section")), path)
+    return REC.good(REC.read(spark, path, "sentence")).select(F.col("page_number").cast("long").alias("doc_id"), "position", "sentence")
+
+
+@query("SELECT term FROM (SELECT DISTINCT p_brand AS term FROM part UNION SELECT DISTINCT p_type FROM part)")
+def src_vocabulary(spark, d):
+    """SRC-03, SET-01, SNK-07: a vocabulary of terms from files and from statements"""
+    p = table(spark, d, "part")
+    path = scratch(spark, "terms")
+    REC.write(p.select(F.col("p_brand").alias("term"), F.lit("").alias("doc")).distinct(), path, "term")
+    return REC.good(REC.read(spark, path, "class")).select("term").union(p.select("p_type")).distinct()
+
+
+@query(values([(k + 1, v) for k, (_, v) in enumerate(FX.BENCH) if v is not None], ["line", "faults"], "SELECT line, faults"))
+def val_benchmark(spark, d):
+    """SRC-11, VAL-01, VAL-03 (form, ids and enumerations): faults of each line of a benchmark file"""
+    path = scratch(spark, "benchmark")
+    spark.createDataFrame([("\n".join(r[0] for r in FX.BENCH),)], "value string").coalesce(1).write.text(path)
+    return REC.read(spark, path, "benchmark").select("line", F.array_join("faults", ",").alias("faults"))
+
+
 # ---------------------------------------------------------------- reasoning
 
 

@@ -166,3 +166,9 @@ REGISTRY = [("dredger", "is a", "Dredger", "(instance Dredger Class)", ""), ("Tu
 NARROWER = [("Vessel", "Ferry"), ("Vessel", "OreShip")]
 TYPED_SIGNATURE = [("between", 1, "Vessel"), ("between", 2, "Port"), ("guides", 1, "Pilot"), ("guides", 2, "Vessel"), ("located", 1, "Vessel"), ("located", 2, "Vessel")]
 VARIANTS = [("Process", "is the", "is the process of moving goods."), ("IntelligenceProduct", "is an", "is an intelligence product for planners.")]
+#: lines of a benchmark file, and their faults
+BENCH = [
+    ('{"record_id": "a", "doc_id": "d", "nl": "A tug is a vessel.", "formalizable": true, "cnl": "Tug subclass-of Vessel", "kif": "(subclass Tug Vessel)", "status": "reviewed", "split": "eval"}', ""), ("not json", "not a record"),
+    ('{"record_id": "a", "doc_id": "d", "nl": "x", "formalizable": false, "status": "draft", "split": "seed"}', "repeated record_id"), ('{"record_id": "b", "doc_id": " ", "nl": "x", "formalizable": false, "kif": "(a)", "status": "odd", "split": "test"}', "missing doc_id,status,split,abstention asserts"),
+    ('{"record_id": "c", "doc_id": "d", "nl": "x", "status": "accepted", "split": "train"}', "formalizable missing"), ("  ", None), ('{"record_id": "e", "doc_id": "d", "nl": "x", "formalizable": true, "status": "accepted", "split": "train"}', "positive without form"),
+]

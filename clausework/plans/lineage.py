@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder for what outlives a task."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {spark.sparkContext.master} share")
+    return (folder or "/tmp/clausework-checkpoints").rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder that spark.checkpoint.dir names. Where none is set: in a folder of our own if the master is this machine, else an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {sc.master} share")
-        sc.setCheckpointDir(folder or "/tmp/clausework-checkpoints")
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
