@@ -5,6 +5,7 @@ Word edges are explicit classes of letters, digits and underscore, which mean th
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -43,10 +44,25 @@ def bounded(words: str) -> str:
     return rf"(?i)(?<!{WORD})(?:{words})(?!{WORD})"
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores (and '' at an end without one)."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+
+
 def has_word(text: Column, words: str) -> Column:
+    """Whether one of the words (alternatives of a pattern) stands in the text by itself, in any case. Plain words, with s? at their ends at most, are looked up among the tokens, which costs one pass for all of them."""
+    parts = words.split("|")
+    if all(re.fullmatch(r"[a-z]+(s\?)?", p) for p in parts):
+        plain = [x for p in parts for x in ((p[:-2], p[:-1]) if p.endswith("?") else (p,))]
+        return F.coalesce(F.arrays_overlap(tokens(text), F.array(*map(F.lit, plain))), text.isNotNull() & F.lit(False))
     return F.regexp_like(text, F.lit(bounded(words)))
 
 
+def denies(text: Column) -> Column:
+    """A contracted negation."""
+    return (F.contains(text, F.lit("'")) | F.contains(text, F.lit("’"))) & F.regexp_like(text, F.lit(rf"(?i)n['’]t(?!{WORD})"))
+
+
 def squash(text: Column) -> Column:
     """Runs of white space, of any script, become one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(text, BLANK + "+", " "))
@@ -146,16 +162,17 @@ def _fragment(text: Column) -> tuple[Column, Column, Column, Column]:
 def unsupported(text: Column) -> Column:
     """Whether there is any of unsupported_reasons(), with all markers in one pattern; so many tokens need twice as many characters."""
     t, several, n, said = _fragment(text)
-    return several | ((F.length(t) > 2 * MAX_TOKENS) & (n > MAX_TOKENS)) | has_word(said, "|".join(MARKERS))
+    one, more = ("|".join(m for m in MARKERS if (" " in m) == two) for two in (False, True))
+    return several | ((F.length(t) > 2 * MAX_TOKENS) & (n > MAX_TOKENS)) | has_word(said, one) | (F.contains(F.lower(said), F.lit("unit")) & has_word(said, more))
 
 
 def scoped(text: Column) -> Column:
     """Scope or modality words, or a contracted negation."""
-    return F.regexp_like(text, F.lit(rf"{bounded(SCOPE_WORDS)}|n['’]t(?!{WORD})"))
+    return has_word(text, SCOPE_WORDS) | denies(text)
 
 
 def phenomena(text: Column) -> Column:
-    tags = [F.when(has_word(text, p) | (F.regexp_like(text, F.lit(r"(?i)n['’]t($|[^\p{L}\p{N}_])")) if k == "negation" else F.lit(False)), F.lit(k)) for k, p in PHENOMENA.items()]
+    tags = [F.when(has_word(text, p) | (denies(text) if k == "negation" else F.lit(False)), F.lit(k)) for k, p in PHENOMENA.items()]
     got = F.array_compact(F.array(*tags))
     return F.when(F.size(got) > 0, got).otherwise(F.array(F.lit("other")))
 

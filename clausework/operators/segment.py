@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out over all cores if they come in fewer parts than those, as from one small file; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sentences(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, position, sentence): the sentences that pass the filters, numbered from 0 in each page."""
-    parts = pages.select(key, F.posexplode(X.sentences(F.col(text))).alias("k", "sentence")).where(X.is_sentence(F.col("sentence")))
+    parts = spread(pages.select(key, text)).select(key, F.posexplode(X.sentences(F.col(text))).alias("k", "sentence")).where(X.is_sentence(F.col("sentence")))
     return parts.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("k")) - 1).select(key, "position", "sentence")
 
 

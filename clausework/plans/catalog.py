@@ -67,7 +67,7 @@ ROUTE = f"CASE WHEN {noise('sentence')} THEN 'reject' WHEN {unsupported('sentenc
 @query(f"SELECT lang, {ROUTE} AS route, count(*) AS n, sum({words('sentence')})::BIGINT AS n_words FROM {SENT} GROUP BY 1, 2")
 def flt_route_histogram(spark, d):
     """FLT-01, FLT-02, FLT-05, AGG-13: the flagship"""
-    docs = table(spark, d, "documents")
+    docs = S.spread(table(spark, d, "documents").select("lang", "text"))
     parts = docs.select("lang", F.explode(X.sentences(F.col("text"))).alias("sentence")).where(X.is_sentence(F.col("sentence")))
     return S.routed(parts).groupBy("lang", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(X.n_squashed(F.col("sentence"))).cast("long").alias("n_words"))
 
@@ -451,7 +451,7 @@ def jon_ngram_link(spark, d):
     """JON-08, RTE-18: n-grams meet a phrase index in an equi join"""
     index = spark.createDataFrame([(p,) for p in ("thor", "des", "ist", "en la")], "phrase string")
     toks = X.words(F.lower("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(X.ngrams(toks, 2)).alias("phrase")).join(F.broadcast(index), "phrase").select("conv_id", "turn", "phrase")  # four rows
+    return S.spread(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.explode(X.ngrams(toks, 2)).alias("phrase")).join(F.broadcast(index), "phrase").select("conv_id", "turn", "phrase")  # four rows
 
 
 @query("SELECT count_if(q AND NOT t) AS first_only, count_if(t AND NOT q) AS second_only, count_if(q AND t) AS both, count_if(NOT q AND NOT t) AS neither FROM (SELECT quality = 1 AS q, toxic = 1 AS t FROM labels)")
