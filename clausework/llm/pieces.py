@@ -310,15 +310,16 @@ def _together(batch: pa.RecordBatch):
         yield batch.slice(lo)
 
 
-def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = VARIANTS, id_col: str = "doc_id", copy_col: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, *, path: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = VARIANTS, id_col: str = "doc_id", copy_col: str | None = None, by_place: bool = False) -> DataFrame:
     """(_row, variant int, ids array<int>, lossless boolean): the rows of docs with their pieces, and whether decoding gave the text back.
 
-    A document's variant hashes the seed, its id and, if copy_col is given, its copy's number, so copies differ and a rerun
-    gives the same pieces; rows with one id (or a null one) and copy share a variant. Null texts are empty and have no ids.
+    A document's variant hashes the seed, its id and, if copy_col is given, its copy's number, or, if by_place, its place in
+    the scan (which must be deterministic), so copies differ and a rerun gives the same pieces; rows that agree in all of
+    these share a variant. Null texts are empty and have no ids.
     An empty table gives an empty table. Texts of about a million characters, or one longer text, are in memory at a time,
     beside the cache, which is bounded by CACHE words.
     """
-    rows = packed(docs, "text").withColumn("variant", variant_of(seed, variants, *[F.col(f"_row.`{c}`") for c in (id_col, copy_col) if c]))
+    rows = packed(docs, "text").withColumn("variant", variant_of(seed, variants, *[F.col(f"_row.`{c}`") for c in (id_col, copy_col) if c], *([F.monotonically_increasing_id()] if by_place else [])))
     schema = rows.select("_row", "variant").schema.add("ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
 
     def run(batches):
