@@ -187,3 +187,30 @@ def evaluation(results: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("total"), n(s).alias("scored"), n(acc).alias("accepted"), n(acc & F.col("exact")).alias("accepted_exact"), ratio(acc & F.col("exact"), acc).alias("precision"), ratio(acc, s).alias("coverage"),
         ratio(acc & F.col("exact"), pos).alias("positive_coverage"), ratio(neg & (F.col("route") == "abstain"), neg).alias("abstention_accuracy"), n(neg & (F.col("route") == "accepted")).alias("false_accepts"),
         n(acc & ~F.col("restated")).alias("novel"), ratio(acc & ~F.col("restated"), s).alias("novel_coverage"), n(F.col("route") == "review").alias("review"))
+
+
+def proofs(facts: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(id, records) of atoms (id, relation, left, right) that follow from the positive facts (record_id, relation, left, right, negative): the sorted ids of the facts of one shortest proof; of equal facts the smallest id. An atom that does not follow has no row."""
+    pos = facts.where("NOT negative")
+    sub = pos.where("relation = 'subclass'").groupBy(F.col("left").alias("a"), F.col("right").alias("b")).agg(F.min("record_id").alias("record_id"))
+    up = closure(sub).select("a", "b", "hops", "path")
+    inst = pos.where("relation = 'instance'").groupBy(F.col("left").alias("i"), F.col("right").alias("a")).agg(F.min("record_id").alias("first"))
+    classes = atoms.where("relation = 'subclass'").join(up.withColumnsRenamed({"a": "left", "b": "right"}), ["left", "right"]).select("id", "path", F.lit(None).cast(facts.schema["record_id"].dataType).alias("first"))
+    asked = atoms.where("relation = 'instance'").join(inst.withColumnRenamed("i", "left"), "left")
+    reached = asked.join(up, "a", "left").where("a = right OR b = right")
+    ways = reached.select("id", F.when(F.col("a") == F.col("right"), F.array("a")).otherwise(F.col("path")).alias("path"), "first")
+    member = ways.groupBy("id").agg(F.min_by(F.struct("path", "first"), F.struct(F.size("path"), "first")).alias("w")).select("id", "w.path", "w.first")
+    found = cut(classes.unionByName(member))
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.element_at("path", k).alias("a"), F.element_at("path", k + 1).alias("b")))
+    used = found.where(F.size("path") > 1).select("id", F.inline(steps)).join(sub, ["a", "b"]).select("id", "record_id").unionByName(found.where("first IS NOT NULL").select("id", F.col("first").alias("record_id")))
+    return used.groupBy("id").agg(F.array_sort(F.collect_set("record_id")).alias("records"))
+
+
+def bundle_status(records: DataFrame) -> DataFrame:
+    """One row, status, of a bundle (record_id, kif): 'unsupported' if a formula is no ground classification, 'unsatisfiable' if the facts contradict each other, else 'satisfiable', which alone is valid."""
+    parsed = records.select("record_id", *[c.alias(k) for k, c in C.ground_literal(F.col("kif")).items()])
+    if not parsed.where("relation IS NULL").isEmpty():
+        return records.sparkSession.createDataFrame([("unsupported",)], "status string")
+    probe = parsed.limit(1).select(F.lit(1).alias("id"), "relation", "left", "right", "negative")  # any known term tells
+    told = answers(parsed.drop("record_id"), probe).select(F.when(F.col("status") == "inconsistent", "unsatisfiable").otherwise("satisfiable").alias("status"))
+    return told.agg(F.coalesce(F.first("status"), F.lit("satisfiable")).alias("status"))

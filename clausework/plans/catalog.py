@@ -20,26 +20,9 @@ from ..sources import kif as KIF
 from ..sources import records as REC
 from . import fixtures as FX
 from .lineage import scratch
+from .registry import SQL, Q, query, table
 from .sql import BLANK, bounded, noise, phenomena_list, scoped, squash, unsupported, values, words
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 PIECES = rf"""(SELECT doc_id, lang, i AS k, {squash('p')} AS sentence
   FROM (SELECT doc_id, lang, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, lang, string_split(regexp_replace(text, '([.!?]){BLANK}', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)))"""
 IS_SENT = rf"({words('sentence')} >= 5 AND regexp_matches(sentence, '\p{{L}}') AND NOT regexp_matches(sentence, '^\s*([▪⚫•◦●■]|[-*] )'))"
@@ -753,3 +736,6 @@ def win_grouped_split(spark, d):
     key = ["o_orderpriority", "o_orderstatus"]
     got = P.grouped_split(table(spark, d, "orders").select(*key), 20, key=key, order=F.md5(F.concat_ws("|", *key)))
     return got.groupBy(*key, "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import review_queries  # noqa: E402, F401  (its queries join the same registry)
