@@ -60,3 +60,44 @@ def routed(rows: DataFrame, text: str = "sentence") -> DataFrame:
     t = F.col(text)
     noise, no, scope = X.is_noise(t), X.unsupported(t), X.scoped(t)
     return rows.withColumn("route", F.when(noise, "reject").when(no, "abstain").when(scope, "review").otherwise("candidate"))
+
+
+def spans(rows: DataFrame, key: str, *, text: str = "text", first: str = "first") -> DataFrame:
+    """(key, n, start, end, sentence) with exact places, from 0 and without the end: the given first sentence, then pieces after . ! or ? and white space before a capital, abbreviations spared. No row for a passage that is NULL or does not begin with its first sentence."""
+    split = rf"(?s).+?(?:(?<=[.!?])(?<!U\.S\.|U\.K\.|e\.g\.|i\.e\.){X.BLANK}+(?=[A-Z])|\z)"
+    rest = F.substr(F.col(text), F.length(first) + 1)
+    gap = F.regexp_extract(rest, rf"^{X.BLANK}*", 0)
+    tail = F.substr(F.col(text), F.length(first) + F.length(gap) + 1)
+    found = rows.where((F.col(first) != "") & F.startswith(text, first)).select(key, F.posexplode(F.concat(F.array(F.concat(first, gap)), F.regexp_extract_all(tail, F.lit(split), 0))).alias("n", "_raw"))
+    before = F.coalesce(F.sum(F.length("_raw")).over(W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    said = F.regexp_replace("_raw", rf"{X.BLANK}+$", "")
+    return found.select(key, "n", before.cast("int").alias("start"), said.alias("sentence")).where("sentence <> ''").select(key, "n", "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence")
+
+
+def screened(sentence_spans: DataFrame, key: str) -> DataFrame:
+    """The spans of each passage up to and with the first whose definition head qualifies: (key, n, start, end, reason, subject, head); reason is NULL for that one alone."""
+    head = X.definition_head(F.col("sentence"))
+    rows = sentence_spans.select(key, "n", "start", "end", *[v.alias(k) for k, v in head.items()])
+    chosen = F.min(F.when(F.col("reason").isNull(), F.col("n"))).over(W.partitionBy(key))
+    return rows.withColumn("_n", chosen).where("_n IS NULL OR n <= _n").drop("_n")
+
+
+#: What ends a numbered paragraph.
+PARAGRAPH_STOPS = r"^(?:Chapter |SECTION |Figure \d|Table \d|[⚫•▪●])"
+
+
+def numbered_paragraphs(pages: DataFrame, publication: str, *, key: str = "page_id", chapter: str = "chapter", text: str = "text") -> DataFrame:
+    """(key, chapter, page, paragraph, excerpt, nl): paragraphs that a line like '2-14. ' opens, until the next one, a footer, a heading, a caption or a bullet; those with a first sentence. page is the number printed beside the publication in the last line that names it."""
+    lines = pages.select(key, chapter, F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("_i", "_raw")).withColumn("_l", F.regexp_replace("_raw", rf"^{X.BLANK}+|{X.BLANK}+$", ""))
+    mine = F.concat(F.lit("^("), F.col(chapter).cast("string"), F.lit(r"-\d+)\.\s+(.*)"))
+    number, opened = F.regexp_substr("_l", F.concat(F.lit("^"), F.col(chapter).cast("string"), F.lit(r"-\d+(?=\.\s)"))), F.regexp_like("_l", mine)
+    footer = F.contains("_l", F.lit(publication))
+    capitals = (F.col("_l") == F.upper("_l")) & F.regexp_like("_l", F.lit(r"\p{Lu}")) & (F.length("_l") < 100)
+    stop = (footer & F.regexp_like("_l", F.lit(r"\b20\d\d\b"))) | F.regexp_like("_l", F.lit(PARAGRAPH_STOPS)) | capitals
+    w = W.partitionBy(key, chapter)
+    run = F.sum((opened | stop).cast("int")).over(w.orderBy("_i").rowsBetween(W.unboundedPreceding, 0))
+    printed = F.regexp_substr(F.replace(F.max_by(F.when(footer, F.col("_l")), F.when(footer, F.col("_i"))).over(w), F.lit(publication), F.lit("")), F.concat(F.lit(r"\b"), F.col(chapter).cast("string"), F.lit(r"-\d+\b")))
+    lines = lines.withColumn("_run", run).withColumn("page", printed).withColumn("_p", F.when(opened, number)).withColumn("_t", F.when(opened, F.regexp_replace("_l", r"^\d+-\d+\.\s+", "")).when(~stop & (F.col("_l") != ""), F.col("_l")))
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_i", "_t")))), lambda x: x["_t"])
+    got = lines.groupBy(key, chapter, "_run").agg(F.max("page").alias("page"), F.max("_p").alias("paragraph"), F.array_join(kept, " ").alias("excerpt")).where("paragraph IS NOT NULL")
+    return got.withColumn("nl", X.first_sentence(F.col("excerpt"))).where("nl IS NOT NULL").select(key, chapter, "page", "paragraph", "excerpt", "nl")

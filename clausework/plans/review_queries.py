@@ -299,3 +299,21 @@ def rsn_bundles(spark, d):
     told = {"sound": n, "broken": more("(instance Spot N1)", "(subclass R1 World)", "(not (instance Spot World))"), "other": more("(=> (instance ?x N1) (instance ?x R1))")}
     rows = [K.bundle_status(b).select(F.lit(name).alias("bundle"), "status") for name, b in told.items()]
     return rows[0].union(rows[1]).union(rows[2])
+
+
+# ---------------------------------------------------------------- passages
+
+
+@query()
+def prj_spans(spark, d):
+    """PRJ-29, FLT-10: all documents as passages; their sentences with places, up to the first definition; rows only, tests hold the rules"""
+    rows = S.spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("first", X.first_sentence(c("text")))
+    return S.screened(S.spans(rows, "doc_id"), "doc_id")
+
+
+@query("SELECT * FROM (VALUES ('a', '2-7', '2-14', 'A tug is a small vessel that tows. It waits in port.', 'A tug is a small vessel that tows.'), ('a', '2-7', '2-15', 'Pilots guide the tugs into the port.', 'Pilots guide the tugs into the port.')) t(page_id, page, paragraph, excerpt, nl)")
+def prj_paragraphs(spark, d):
+    """PRJ-22"""
+    page = "Chapter 2\nlost line\n2-14. A tug is a small vessel that tows.\n\n It waits in port. \nFigure 2 shows one\nnot kept\n2-15. Pilots guide the tugs\ninto the port.\nALL CAPITALS\n2-16. Too short.\n3-1. Another chapter has this one here.\n2-7 FM 9-9 1 May 2021"
+    got = S.numbered_paragraphs(FX.frame(spark, [("a", 2, page), ("b", 2, ""), ("c", 2, None)], "page_id string, chapter int, text string"), "FM 9-9")
+    return got.select("page_id", "page", "paragraph", "excerpt", "nl")
