@@ -151,13 +151,19 @@ def minimal_pairs(aliases: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def prepared(rows: DataFrame, excluded: DataFrame, pinned: DataFrame, cap: int) -> DataFrame:
-    """rows (pattern, nl, cnl, kif) without texts of `excluded` (nl); pinned rows stay whatever the cap, others fill each pattern up to it."""
+    """rows (pattern, nl, cnl, kif) without texts of `excluded` (nl); pinned rows stay whatever the cap, others fill each pattern up to it.
+
+    Pinned rows are only counted. The window is over the others and keeps a bare cap, so that each task drops all but its
+    first rows of a pattern before the shuffle (Spark does so for caps up to spark.sql.optimizer.windowGroupLimitThreshold).
+    """
     key = lambda df: df.withColumn("_k", F.lower(X.squash(F.col("nl"))))
-    left = key(rows).join(key(excluded).select("_k").distinct(), "_k", "left_anti")
-    fixed = key(pinned).join(key(excluded).select("_k").distinct(), "_k", "left_anti").withColumn("_fixed", F.lit(0)).select("_k", "_fixed", "pattern", "nl", "cnl", "kif")
-    pool = left.join(fixed.select("_k").distinct(), "_k", "left_anti").withColumn("_fixed", F.lit(1)).select("_k", "_fixed", "pattern", "nl", "cnl", "kif")
-    w = W.partitionBy("pattern").orderBy("_fixed", F.md5(F.concat_ws("|", "nl", "cnl")))
-    return fixed.unionByName(pool).withColumn("_n", F.row_number().over(w)).where((F.col("_fixed") == 0) | (F.col("_n") <= cap)).select("pattern", "nl", "cnl", "kif")
+    out = key(excluded).select("_k").distinct()
+    fixed = key(pinned).join(out, "_k", "left_anti")
+    pool = key(rows).join(out.unionByName(fixed.select("_k")).distinct(), "_k", "left_anti").select("pattern", "nl", "cnl", "kif")
+    first = pool.withColumn("_n", F.row_number().over(W.partitionBy("pattern").orderBy(F.md5(F.concat_ws("|", "nl", "cnl"))))).where(F.col("_n") <= cap)
+    held = fixed.groupBy(F.col("pattern").alias("_p")).agg(F.count(F.lit(1)).alias("_held"))
+    free = first.join(held, F.col("pattern").eqNullSafe(F.col("_p")), "left").where(F.col("_n") + F.coalesce("_held", F.lit(0)) <= cap)
+    return fixed.select("pattern", "nl", "cnl", "kif").unionByName(free.select("pattern", "nl", "cnl", "kif"))
 
 
 def balanced(rows: DataFrame, cap: int, *, by: str = "pattern", order: list | None = None) -> DataFrame:

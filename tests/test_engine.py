@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import cnl as C
 from clausework.operators import knowledge as K
+from clausework.operators import pairs as P
 from clausework.operators import segment as S
 from clausework.plans import catalog
 from clausework.sources import kif as KIF
@@ -105,3 +107,19 @@ def test_deep_chains_are_followed_to_their_end(spark):
     known = spark.createDataFrame([("n066", 3)], "term string, arity int")
     up = KIF.inherited_arities(known, edges.selectExpr("a AS child", "b AS parent"))
     assert {r.arity for r in up.collect()} == {3}
+
+
+def test_prepared_pins_whole_and_keeps_few_rows_a_task(spark):
+    row = lambda p, k: (p, f"text {p} {k}", f"c{k}", f"k{k}")
+    rows = [row(p, k) for p, n in (("a", 40), ("b", 3), (None, 9)) for k in range(n)]
+    frame = lambda rs: spark.createDataFrame(rs, "pattern string, nl string, cnl string, kif string")
+    out, pins = [row("a", 0), row("b", 1)], [row("a", k) for k in range(7)] + [row("b", 2)]
+    for cap in (0, 5, 8, 20):
+        got = P.prepared(frame(rows), frame(out), frame(pins), cap)
+        want = []
+        for p in ("a", "b", None):
+            fixed = [r for r in pins if r[0] == p and r not in out]
+            rest = sorted((r for r in rows if r[0] == p and r not in out + pins), key=lambda r: hashlib.md5(f"{r[1]}|{r[2]}".encode()).hexdigest())
+            want += fixed + rest[: max(0, cap - len(fixed))]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
