@@ -34,6 +34,8 @@ REFUSED = "or|either|neither|nor|unless|except|if|not|no|may|might|can|must"
 CITED = rf"FM\s+[0-9][0-9-]*|(ATP|ADP|ADRP|JP)\s+[0-9][0-9.-]*|({MONTHS})\s+[0-9]{{4}}"
 #: White space in any script, in a notation that several dialects share.
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A run of white space that squash() changes: anything but a lone plain blank. The one range in front tells plain signs apart at once.
+GAP = rf"[^!-~](?:(?<! )(?<={BLANK})|(?<= )(?=[^!-~])(?={BLANK})){BLANK}*"
 WORD = r"[\p{L}\p{N}_]"
 MAX_TOKENS = 64
 MIN_SENTENCE_WORDS = 5
@@ -46,7 +48,7 @@ def bounded(words: str) -> str:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores (and '' at an end without one)."""
-    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    return F.split(F.lower(text), r"[^a-z0-9_\p{L}\p{N}]+")
 
 
 def has_word(text: Column, words: str) -> Column:
@@ -65,7 +67,7 @@ def denies(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """Runs of white space, of any script, become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
+    return F.trim(F.regexp_replace(text, GAP, " "))
 
 
 def text_key(text: Column) -> Column:
@@ -88,7 +90,7 @@ def n_squashed(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Squashed pieces that end in . ! or ? before white space."""
-    return F.split(squash(text), "(?<=[.!?]) ")
+    return F.split(squash(text), " (?<=[.!?] )")
 
 
 def is_sentence(s: Column) -> Column:
@@ -135,12 +137,12 @@ def join_hyphens(page: Column) -> Column:
     return F.regexp_replace(page, rf"(?<={WORD})-[ \t]*\n{BLANK}*(?={WORD})", "")
 
 
-def is_noise(text: Column) -> Column:
-    """Layout and citations: empty text, bullets, publication numbers, '(see', month and year, page numbers like 1-2."""
-    t = squash(text)
+def is_noise(text: Column, *, squashed: bool = False) -> Column:
+    """Layout and citations: empty text, bullets, publication numbers, '(see', month and year, page numbers like 1-2. A text that is squashed already is not squashed again; a citation has a blank before a digit."""
+    t = text if squashed else squash(text)
     return (
         (t == "") | F.regexp_like(t, F.lit(BULLETS)) | F.regexp_like(t, F.lit(r"^(?i)[(\[]see"))
-        | has_word(t, CITED) | F.regexp_like(t, F.lit(r"^[0-9]+-[0-9]+($|[^\p{L}\p{N}_])"))
+        | (F.regexp_like(t, F.lit(r"\s[0-9]")) & has_word(t, CITED)) | F.regexp_like(t, F.lit(r"^[0-9]+-[0-9]+($|[^\p{L}\p{N}_])"))
     )
 
 
@@ -151,19 +153,21 @@ def unsupported_reasons(text: Column) -> Column:
     return F.array_compact(F.array(F.when(several, F.lit("several sentences")), F.when(n > MAX_TOKENS, F.concat(F.lit("too long: "), n.cast("string"))), marker))
 
 
-def _fragment(text: Column) -> tuple[Column, Column, Column, Column]:
-    """A prompt's text, whether it is several sentences, its tokens, and it without the two exempted phrases."""
-    t = squash(F.regexp_replace(text, r"^(?i)\s*translate(\s+to\s+[A-Za-z0-9_]+)?\s*:\s*", ""))
-    several = F.regexp_like(t, F.lit("(?s)[^.!? ].*?[.!?].*?[^.!? ]"))
-    said = F.regexp_replace(F.regexp_replace(t, r"^(?i)it is not the case that\s+", ""), bounded(r"as\s+its\s+(agent|patient|destination|origin)"), "as SLOT")
+def _fragment(text: Column, squashed: bool = False) -> tuple[Column, Column, Column, Column]:
+    """A prompt's text, whether it is several sentences, its tokens, and it without the two exempted phrases. Each pattern passes once over the text, however long."""
+    bare = F.regexp_replace(text, r"^(?i)\s*translate(\s+to\s+[A-Za-z0-9_]+)?\s*:\s*", "")
+    t = F.when(F.lower(F.substring(text, 1, 9)) == "translate", bare).otherwise(text) if squashed else squash(bare)
+    several = F.regexp_like(t, F.lit("^[.!? ]*+[^.!? ][^.!?]*+[.!?][.!? ]*+[^.!? ]"))
+    role = lambda x: F.when(F.regexp_like(x, F.lit(r"(?i)as\s+its\s")), F.regexp_replace(x, bounded(r"as\s+its\s+(agent|patient|destination|origin)"), "as SLOT")).otherwise(x)
+    said = role(F.regexp_replace(t, r"^(?i)it is not the case that\s+", ""))
     return t, several, F.regexp_count(t, F.lit("[A-Za-z0-9_?'-]+")), said
 
 
-def unsupported(text: Column) -> Column:
-    """Whether there is any of unsupported_reasons(), with all markers in one pattern; so many tokens need twice as many characters."""
-    t, several, n, said = _fragment(text)
+def unsupported(text: Column, *, squashed: bool = False) -> Column:
+    """Whether there is any of unsupported_reasons(); so many tokens need twice as many characters. Only a text that holds a marker or "unit" is looked at without the exempted phrases."""
+    t, several, n, said = _fragment(text, squashed)
     one, more = ("|".join(m for m in MARKERS if (" " in m) == two) for two in (False, True))
-    return several | ((F.length(t) > 2 * MAX_TOKENS) & (n > MAX_TOKENS)) | has_word(said, one) | (F.contains(F.lower(said), F.lit("unit")) & has_word(said, more))
+    return several | ((F.length(t) > 2 * MAX_TOKENS) & (n > MAX_TOKENS)) | (has_word(t, one) & has_word(said, one)) | (F.contains(F.lower(t), F.lit(" unit")) & has_word(said, more))
 
 
 def scoped(text: Column) -> Column:
@@ -172,9 +176,17 @@ def scoped(text: Column) -> Column:
 
 
 def phenomena(text: Column) -> Column:
-    tags = [F.when(has_word(text, p) | (denies(text) if k == "negation" else F.lit(False)), F.lit(k)) for k, p in PHENOMENA.items()]
-    got = F.array_compact(F.array(*tags))
-    return F.when(F.size(got) > 0, got).otherwise(F.array(F.lit("other")))
+    """The tags of PHENOMENA that a text has, or other. Its tokens are made once and the plain words found among them; a definition has is or are among them."""
+    plain = {k: [x for w in p.split("|") for x in ((w[:-2], w[:-1]) if w.endswith("?") else (w,))] for k, p in PHENOMENA.items() if k != "definition"}
+    listed = F.array(*map(F.lit, dict.fromkeys(["is", "are", *(w for ws in plain.values() for w in ws)])))
+
+    def tags(found: Column) -> Column:
+        has = lambda ws: F.arrays_overlap(found, F.array(*map(F.lit, ws)))
+        holds = {k: has(plain[k]) if k in plain else has(["is", "are"]) & has_word(text, p) for k, p in PHENOMENA.items()}
+        return F.array_compact(F.array(*[F.when(c | denies(text) if k == "negation" else c, F.lit(k)) for k, c in holds.items()]))
+
+    got = F.element_at(F.transform(F.array(F.array_intersect(tokens(text), listed)), tags), 1)
+    return F.element_at(F.transform(F.array(got), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("other")))), 1)
 
 
 def shapes(text: Column) -> dict[str, Column]:

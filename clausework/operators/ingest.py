@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import cnl as C
 from ..functions import text as X
+from ..plans.lineage import SMALL_BYTES, kept
 from . import knowledge as K
 from . import routing as R
 
@@ -107,45 +108,83 @@ def decomposed(text: Column) -> Column:
     return pandas_udf(_subclaims, "array<string>")(text)
 
 
+def _linked_parts(terms: dict[str, str]) -> Callable[[pd.Series], pd.DataFrame]:
+    """linked(), for terms that every task can hold, and the parts of what it gives."""
+    token = re.compile(TOKEN)
+    piece = re.compile(rf"{TOKEN}|[^A-Za-z0-9_-]+")
+
+    def link(text: str) -> str:
+        if text.isascii():
+            return token.sub(lambda m: terms.get(m[0].lower(), m[0]), text)
+        known = terms.keys() & set(token.findall(text.lower()))  # a sign may become a letter in lower case
+        return piece.sub(lambda m: terms[m[0].lower()] if m[0].lower() in known else m[0], text) if known else text
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        said = [None if t is None else link(t) for t in texts] if terms else list(texts)
+        return pd.DataFrame({"text": pd.Series(said, dtype=object), "parts": pd.Series([subclaims(t) for t in said], dtype=object)})
+
+    return run
+
+
+def _split_up(base: DataFrame, vocabulary: DataFrame, abbreviations: dict[str, str] | None) -> DataFrame:
+    """base with _text linked and its _parts. A vocabulary of counted, small size is held by the tasks, so no row is shuffled; a larger one is met in joins."""
+    terms = lookup(vocabulary, abbreviations).where("_key IS NOT NULL")
+    size = terms.agg(F.coalesce(F.sum(F.length("_key") + F.length("_term") + 100), F.lit(0))).first()[0]
+    held = {r["_key"]: r["_term"] for r in terms.collect()} if size <= SMALL_BYTES else {}
+    rows = base if size <= SMALL_BYTES else linked(base, vocabulary, key="sentence_id", text="_text", abbreviations=abbreviations)
+    got = rows.withColumn("_c", pandas_udf(_linked_parts(held), "text string, parts array<string>")("_text"))
+    return got.withColumns({"_text": F.col("_c.text"), "_parts": F.col("_c.parts")}).drop("_c")
+
+
+def _met(big: DataFrame, few: DataFrame, width: int, how: str) -> DataFrame:
+    """big joined on _id with few, a stored table of rows about so wide; broadcast if that is small by count."""
+    return big.join(F.broadcast(few) if few.count() * width <= SMALL_BYTES else few, "_id", how)
+
+
 # ---------------------------------------------------------------- the chain
 
 
 def rules(rows: DataFrame, classes: DataFrame, relations: DataFrame) -> DataFrame:
-    """The predictor by fixed frames: (id, cnl) for rows (id, text)."""
-    return R.predictions(rows, classes, relations).select("id", "cnl")
+    """The predictor by fixed frames: (id, cnl) for rows (id, text) that may fit one; the others have none."""
+    return R.predictions(kept(rows.where(R.may_fit(F.col("text"))), "ingest-asked"), classes, relations).select("id", "cnl")
 
 
-def ingested(rows: DataFrame, classes: DataFrame, relations: DataFrame, *, abbreviations: dict[str, str] | None = None, aliases: dict[str, list[str]] | None = None, background: DataFrame | None = None, predictor: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = rules, normalizer: Callable[[Column], Column] | None = None) -> DataFrame:
+def ingested(rows: DataFrame, classes: DataFrame, relations: DataFrame, *, abbreviations: dict[str, str] | None = None, aliases: dict[str, list[str]] | None = None, background: DataFrame | None = None, predictor: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = rules, normalizer: Callable[[Column], Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """rows (sentence_id, sentence) to one row for each subclaim: (sentence_id, k, sentence, subclaim, route, reason, cnl, kif, pattern, terms, ungrounded, record_id).
 
     classes: term. relations: term, arity. route is accepted, review (the gate's reason) or reject (noise, abstained,
     compile_error). A sentence with no supported part is one reject. Records are numbered in order of the compiled subclaims
     of their sentence. normalizer turns a sentence into the text to work on; predictor gives (id, cnl) for (id, text) and
-    sees nothing else. The gate sees the sentence alone. Null sentences are empty, and noise.
+    sees nothing else. The gate sees the sentence alone. Null sentences are empty, and noise. keep: further columns of rows.
+
+    Linking, parts and gates of the input are one pass of each row by itself, stored; only what a predictor answers is joined.
     """
     said = F.coalesce("sentence", F.lit(""))
-    base = rows.select("sentence_id", said.alias("sentence"), (normalizer(said) if normalizer else said).alias("_text"))
+    base = rows.select("sentence_id", *keep, said.alias("sentence"), (normalizer(said) if normalizer else said).alias("_text"))
     vocabulary = classes.select("term").unionByName(relations.select("term")).distinct()
-    parts = linked(base, vocabulary, key="sentence_id", text="_text", abbreviations=abbreviations).withColumn("_parts", decomposed(F.col("_text")))
-    parts = parts.select("sentence_id", "sentence", "_text", F.posexplode_outer("_parts").alias("k", "subclaim")).withColumn("_no", F.coalesce(X.unsupported(F.col("subclaim")), F.lit(True)))
-    w = W.partitionBy("sentence_id")
-    parts = parts.withColumn("_some", F.max((~F.col("_no")).cast("int")).over(w)).where("NOT _no OR (_some = 0 AND coalesce(k, 0) = 0)")
-    parts = parts.withColumn("subclaim", F.when(F.col("_some") == 1, F.col("subclaim")).otherwise(F.col("_text"))).withColumn("k", F.coalesce("k", F.lit(0)))
-    parts = parts.withColumn("_noise", X.is_noise(F.col("subclaim"))).withColumn("_id", F.concat_ws(" ", F.col("sentence_id").cast("string"), F.col("k").cast("string"))).drop("_text")
-    asked = parts.where("_some = 1 AND NOT _noise").select(F.col("_id").alias("id"), F.col("subclaim").alias("text"))
-    answered = predictor(asked, classes, relations).where("cnl IS NOT NULL").select(F.col("id").alias("_id"), "cnl")
-    done = C.compile_cnl(answered, classes, relations).select("_id", "cnl", "kif", "error")
+    numbered = F.transform("_parts", lambda x, k: F.struct(k.alias("k"), x.alias("subclaim")))
+    good = F.filter(numbered, lambda p: ~F.coalesce(X.unsupported(p["subclaim"], squashed=True), F.lit(True)))  # parts are squashed
+    parts = _split_up(base, vocabulary, abbreviations).select("sentence_id", *keep, "sentence", "_text", good.alias("_good"))
+    some = F.size("_good") > 0
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.col("_text").alias("subclaim")))
+    parts = parts.select("sentence_id", *keep, "sentence", some.alias("_some"), F.explode(F.when(some, F.col("_good")).otherwise(whole)).alias("_p")).select("sentence_id", *keep, "sentence", "_some", "_p.*")
+    parts = parts.withColumn("_s", X.squash(F.col("subclaim"))).withColumn("_noise", X.is_noise(F.col("_s"), squashed=True)).drop("_s")
+    parts = kept(parts.withColumn("_id", F.concat_ws(" ", F.col("sentence_id").cast("string"), F.col("k").cast("string"))), "ingest-parts")
+    asked = parts.where("_some AND NOT _noise").select(F.col("_id").alias("id"), F.col("subclaim").alias("text"))
+    answered = kept(predictor(asked, classes, relations).where("cnl IS NOT NULL").select(F.col("id").alias("_id"), "cnl"), "ingest-answered")
+    asked_of = _met(parts.select("_id", "sentence_id", "k", "sentence"), answered.select("_id").distinct(), 100, "left_semi")
+    done = kept(C.compile_cnl(answered, classes, relations).select("_id", "cnl", "kif", "error").join(asked_of, "_id"), "ingest-compiled")
     terms = C.cnl_terms(F.col("cnl"))
-    ready = done.where("error IS NULL").join(parts.select("_id", "sentence"), "_id")
-    ready = ready.select(F.col("_id").alias("id"), "cnl", F.col("sentence").alias("source"), F.filter(terms, lambda t: F.regexp_like(t, F.lit("^[a-z]"))).alias("relations"), F.filter(terms, lambda t: F.regexp_like(t, F.lit("^[A-Z]"))).alias("classes"))
+    ready = done.where("error IS NULL").select(F.col("_id").alias("id"), "cnl", F.col("sentence").alias("source"), F.filter(terms, lambda t: F.regexp_like(t, F.lit("^[a-z]"))).alias("relations"), F.filter(terms, lambda t: F.regexp_like(t, F.lit("^[A-Z]"))).alias("classes"))
     judged = K.gate(ready, aliases=aliases, background=background).select(F.col("id").alias("_id"), "pattern", F.col("reason").alias("_why"), "ungrounded", F.concat("relations", "classes").alias("terms"))
-    out = parts.join(done, "_id", "left").join(judged, "_id", "left")
     compiled = F.col("cnl").isNotNull() & F.col("error").isNull()
+    ordinal = F.sum(compiled.cast("int")).over(W.partitionBy("sentence_id").orderBy("k")) - 1
+    record = F.when(compiled, F.concat(F.col("sentence_id").cast("string"), F.lit("-n"), ordinal.cast("string")))
+    told = kept(done.withColumn("record_id", record).drop("sentence_id", "k", "sentence").join(judged, "_id", "left"), "ingest-told")
+    out = _met(parts, told, 1000, "left")
     reason = F.when(F.col("_noise"), "noise").when(F.col("cnl").isNull(), "abstained").when(F.col("error").isNotNull(), "compile_error").otherwise(F.col("_why"))
     route = F.when(~compiled, "reject").when(F.col("_why").isNull(), "accepted").otherwise("review")
-    ordinal = F.sum(compiled.cast("int")).over(w.orderBy("k")) - 1
-    record = F.when(compiled, F.concat(F.col("sentence_id").cast("string"), F.lit("-n"), ordinal.cast("string")))
-    return out.select("sentence_id", "k", "sentence", "subclaim", route.alias("route"), reason.alias("reason"), "cnl", "kif", "pattern", "terms", "ungrounded", record.alias("record_id"))
+    return out.select("sentence_id", *keep, "k", "sentence", "subclaim", route.alias("route"), reason.alias("reason"), "cnl", "kif", "pattern", "terms", "ungrounded", "record_id")
 
 
 def run_counters(routed: DataFrame, by: list[str] | None = None) -> DataFrame:

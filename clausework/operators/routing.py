@@ -51,6 +51,15 @@ def prompt(text: Column) -> Column:
     return F.regexp_replace(X.squash(F.regexp_replace(text, r"^(?i)\s*translate(\s+to\s+[A-Za-z0-9_]+)?\s*:\s*", "")), "[.!?]+$", "")
 
 
+#: What a prompt that fits a frame or an enumeration holds.
+MAY_FIT = r"(?i) (?:relation holds |ha(?:s|ve) an? |(?:can be|is not) located in an? |do not stand in the |consists? of |comprises? )"
+
+
+def may_fit(text: Column) -> Column:
+    """Whether a sentence may have a prediction: one pattern that every frame and the enumeration imply."""
+    return F.regexp_like(prompt(text), F.lit(MAY_FIT))
+
+
 def framed(text: Column) -> Column:
     """All frames that a prompt fits, as an array of (k, template, relation, guarded, slots), in order of trial."""
     found = []
@@ -82,7 +91,7 @@ def resolved(phrases: DataFrame, classes: DataFrame, aliases: DataFrame | None =
 
 def route(rows: DataFrame, classes: DataFrame, relations: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """rows (id, text) with template and cnl. The first fitting frame decides, even if it yields nothing; a guarded one only where its second slot may be an agent."""
-    got = rows.select("id", F.explode(framed(prompt(F.col("text")))).alias("f")).select("id", "f.*")
+    got = rows.select("id", prompt(F.col("text")).alias("_p")).select("id", F.explode(framed(F.col("_p"))).alias("f")).select("id", "f.*")
     slot = got.select("id", "k", F.posexplode("slots").alias("pos", "phrase"))
     slot = slot.join(resolved(slot, classes, aliases), "phrase", "left").select("id", "k", "pos", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
     terms = slot.groupBy("id", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "terms"))), lambda x: x["terms"]).alias("terms"))

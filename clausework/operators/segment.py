@@ -15,10 +15,10 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def sentences(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, position, sentence): the sentences that pass the filters, numbered from 0 in each page."""
-    parts = spread(pages.select(key, text)).select(key, F.posexplode(X.sentences(F.col(text))).alias("k", "sentence")).where(X.is_sentence(F.col("sentence")))
-    return parts.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("k")) - 1).select(key, "position", "sentence")
+def sentences(pages: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, position, sentence) and the page's columns in keep: the sentences that pass the filters, numbered from 0 in each page."""
+    parts = spread(pages.select(key, *keep, text)).select(key, *keep, F.posexplode(X.sentences(F.col(text))).alias("k", "sentence")).where(X.is_sentence(F.col("sentence")))
+    return parts.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("k")) - 1).select(key, *keep, "position", "sentence")
 
 
 def first_seen(rows: DataFrame, value: str, *order: str) -> DataFrame:
@@ -55,10 +55,10 @@ def parse_response(response):
     return {"normalized": good, "ambiguous": F.when(F.size(lines) == 0, F.array(F.lit("empty response"))).otherwise(doubt)}
 
 
-def routed(rows: DataFrame, text: str = "sentence") -> DataFrame:
-    """rows with route and reason: noise is rejected, unsupported sentences abstain, scoped ones go to review, the rest are candidates."""
+def routed(rows: DataFrame, text: str = "sentence", *, squashed: bool = False) -> DataFrame:
+    """rows with route: noise is rejected, unsupported sentences abstain, scoped ones go to review, the rest are candidates. squashed: the texts are squashed, as those of X.sentences()."""
     t = F.col(text)
-    noise, no, scope = X.is_noise(t), X.unsupported(t), X.scoped(t)
+    noise, no, scope = X.is_noise(t, squashed=squashed), X.unsupported(t, squashed=squashed), X.scoped(t)
     return rows.withColumn("route", F.when(noise, "reject").when(no, "abstain").when(scope, "review").otherwise("candidate"))
 
 

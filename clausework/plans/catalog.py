@@ -52,7 +52,7 @@ def flt_route_histogram(spark, d):
     """FLT-01, FLT-02, FLT-05, AGG-13: the flagship"""
     docs = S.spread(table(spark, d, "documents").select("lang", "text"))
     parts = docs.select("lang", F.explode(X.sentences(F.col("text"))).alias("sentence")).where(X.is_sentence(F.col("sentence")))
-    return S.routed(parts).groupBy("lang", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(X.n_squashed(F.col("sentence"))).cast("long").alias("n_words"))
+    return S.routed(parts, squashed=True).groupBy("lang", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(X.n_squashed(F.col("sentence"))).cast("long").alias("n_words"))
 
 
 @query(f"SELECT t AS tag, count(*) AS n FROM (SELECT unnest({phenomena_list('sentence')}) AS t FROM {SENT}) GROUP BY 1")
@@ -185,9 +185,9 @@ def prj_linked_turns(spark, d):
     return I.linked(rows, FX.frame(spark, [("The",), ("Origin",)], "term string"), key="key", text="text", abbreviations={"of": "Origin"}).select("conv_id", "turn", F.col("text").alias("linked"))
 
 
-def _ingested(spark, rows):
+def _ingested(spark, rows, keep=()):
     relations = FX.frame(spark, [*((r[0], 3 if r[0] == "between" else 2) for r in FX.ROUTE_RELATIONS)], "term string, arity int")
-    return I.ingested(rows, _known(spark), relations, background=_background(spark))
+    return I.ingested(rows, _known(spark), relations, background=_background(spark), keep=keep)
 
 
 @query(values([(i, k, *row) for i, _, out in FX.INGESTED for k, row in enumerate(out)], ["id", "k", "subclaim", "route", "reason", "cnl"], "SELECT id, subclaim, route, reason, cnl"))
@@ -199,10 +199,9 @@ def ing_routes(spark, d):
 @query()
 def ing_documents(spark, d):
     """AGG-02: the same chain over all sentences of all documents, counted by language; rows only, tests hold the rules"""
-    s = S.sentences(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    s = S.sentences(table(spark, d, "documents"), keep=("lang",))
     rows = s.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("position").cast("string")).alias("sentence_id"), "sentence", "lang")
-    got = _ingested(spark, rows).join(rows.select("sentence_id", "lang"), "sentence_id")
-    return I.run_counters(got, ["lang"])
+    return I.run_counters(_ingested(spark, rows, ("lang",)), ["lang"])
 
 
 # ---------------------------------------------------------------- controlled language

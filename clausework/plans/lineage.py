@@ -21,6 +21,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: A side is broadcast, or held by every task, only when its counted bytes stay under this.
+SMALL_BYTES = 16 << 20
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to a new path in that folder and read back, so that plans which use it several times do its work once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder that spark.checkpoint.dir names. Where none is set: in a folder of our own if the master is this machine, else an error."""
     sc = df.sparkSession.sparkContext
