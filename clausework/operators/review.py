@@ -233,13 +233,18 @@ def stratified(rows: DataFrame, n: int, *, excluded: DataFrame | None = None, or
     Rows lie in hash order of their id (a stand-in for a random order). A tag takes at most one row a round, so only the
     first n rows of each tag can be taken: these, 6 n at most, are found by a window with a group limit and dealt out here;
     n is what the caller asks for. `excluded` (nl): texts that are not taken, by text key. n below one gives no rows.
+    Text keys are grouped by 128 bits of hash and tags are bits of a number, so that groups are hashed and not sorted.
     """
     spark, n = rows.sparkSession, max(0, n)
     place = F.struct((F.xxhash64("record_id") if order is None else order).alias("h"), F.col("record_id"))
-    once = rows.withColumn("_k", X.text_key(F.col("nl"))).groupBy("_k").agg(F.min_by(F.struct("record_id", "phenomena"), "record_id").alias("r")).select("_k", "r.*")
+    hashes = [F.xxhash64("_k").alias("_a"), F.xxhash64(F.lit(1), "_k").alias("_b")]
+    bits = sum((F.when(F.array_contains("phenomena", t), 1 << k).otherwise(0) for k, t in enumerate(TAGS)), F.lit(0))
+    keyed = rows.select("record_id", bits.alias("_m"), X.text_key(F.col("nl")).alias("_k")).select("record_id", "_m", *hashes)
+    once = keyed.groupBy("_a", "_b").agg(F.min_by("_m", "record_id").alias("_m"), F.min("record_id").alias("record_id"))
     if excluded is not None:
-        once = once.join(excluded.select(X.text_key(F.col("nl")).alias("_k")).distinct(), "_k", "left_anti")
-    tagged = once.select("record_id", F.explode(F.array_intersect("phenomena", F.array(*map(F.lit, TAGS)))).alias("tag"), place.alias("_o"))
+        once = once.join(excluded.where("nl IS NOT NULL").select(X.text_key(F.col("nl")).alias("_k")).select(*hashes).distinct(), ["_a", "_b"], "left_anti")
+    held = F.array_compact(F.array(*[F.when(F.col("_m").bitwiseAND(1 << k) != 0, F.lit(t)) for k, t in enumerate(TAGS)]))
+    tagged = once.select("record_id", F.explode(held).alias("tag"), place.alias("_o"))
     first = tagged.withColumn("_n", F.row_number().over(W.partitionBy("tag").orderBy("_o"))).where(F.col("_n") <= n)
     lists: dict[str, list] = {t: [] for t in TAGS}
     for r in first.select("tag", "record_id", "_n").orderBy("tag", "_n").collect():  # 6 n rows at most

@@ -85,3 +85,9 @@ def test_declarations_match_whole_words(spark):
     rows = spark.createDataFrame([(1, "The  Tug boats", "it is a b"), (2, "Tug boat", "is a"), (3, "axb", "is a"), (4, "A a.b c", "IS A"), (5, None, "is a"), (6, "tug", None)], "id int, text string, evidence string")
     assert {r.id: (r.n_matches, r.symbol) for r in R.declaration_matches(rows, registry).collect()} == {1: (1, "Small"), 2: (2, None), 3: (0, None), 4: (1, "Dot"), 5: (0, None), 6: (0, None)}
     assert R.declaration_matches(rows, registry.limit(0)).where("n_matches > 0").count() == 0
+
+
+def test_stratified_null_texts_and_tags(spark):
+    df = spark.createDataFrame([(k, None if k == 7 else f"Text  {k % 5}", None if k == 3 else ["other"]) for k in range(20)], TAGGED)
+    out = spark.createDataFrame([("text 0",), (None,)], "nl string")
+    assert sorted(r.record_id for r in R.stratified(df, 60, excluded=out).collect()) == [1, 2, 4, 7]
